@@ -9,8 +9,10 @@ ordinary prose is discarded by the scan instead of being split, normalised and s
 
 from __future__ import annotations
 
+import functools
 import re
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,11 +22,10 @@ from exposure.functions.text import (
     entropy,
     is_high_value_key,
     is_noise,
-    is_plausible,
     let,
+    may_pass,
     normalise,
     sha256_hex,
-    value_side,
 )
 from exposure.params import Gate
 
@@ -45,6 +46,23 @@ _JSON_TOKEN = rf"(?s){_JSON_STRING}(\s*+:(?:\s*+{_JSON_STRING})?)?"
 _EMPTY = "array<string>"
 
 
+def _remembered(build):
+    """Keep the column built for a column *name*: building and resolving a chain of this size
+    takes most of a second, and plans often use it more than once."""
+    kept: dict = {}
+
+    @functools.wraps(build)
+    def column(text: Column | str, gate: Gate = Gate()) -> Column:
+        if not isinstance(text, str):
+            return build(text, gate)
+        key = (text, gate, id(SparkContext._active_spark_context))
+        if key not in kept:
+            kept[key] = build(F.col(text), gate)
+        return kept[key]
+
+    return column
+
+
 def _empty() -> Column:
     return F.array().cast(_EMPTY)
 
@@ -136,73 +154,91 @@ def json_pairs(text: Column) -> Column:
     return F.when(valid, pairs).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
 
 
-def _normalised(values: Column, cut: bool) -> Column:
-    out = F.transform(F.array_distinct(values), normalise)
-    return F.transform(out, value_side) if cut else out
+# How a raw piece is treated, kept as its first character so that arrays of strings stay
+# hashable: cut at the first ``=``; as it is; or cut, and taken whatever its entropy.
+_CUT, _WHOLE, _NAMED = "c", "w", "n"
+
+
+def _tag(values: Column, tag: str) -> Column:
+    return F.transform(values, lambda v: F.concat(F.lit(tag), v))
+
+
+def _finish(tagged: Column, gate: Gate) -> Column:
+    """Normalise, cut and gate raw pieces; sorted and distinct.
+
+    All kinds go through one chain, which keeps the plan small.
+    """
+
+    def body(t: Column) -> Column:
+        return t.substr(F.lit(2), F.octet_length(t))
+
+    def clean(t: Column) -> Column:
+        return F.concat(F.left(t, F.lit(1)), normalise(body(t)))
+
+    def cut(t: Column) -> Column:
+        rest = F.concat(F.left(t, F.lit(1)), normalise(F.regexp_replace(t, "(?s)^[^=]*=", "")))
+        return F.when(~t.startswith(_WHOLE) & (F.instr(t, "=") > 0), rest).otherwise(t)
+
+    def passes(t: Column) -> Column:
+        return let(
+            body(t),
+            lambda c: (F.octet_length(c) >= gate.min_len)
+            & (t.startswith(_NAMED) | may_pass(c, gate))
+            & ~is_noise(c)
+            & (t.startswith(_NAMED) | (entropy(c) >= gate.min_entropy)),
+        )
+
+    cleaned = F.transform(F.array_distinct(tagged), clean)
+    values = F.filter(F.array_distinct(F.transform(cleaned, cut)), passes)
+    return F.sort_array(F.array_distinct(F.transform(values, body)))
+
+
+def _json_pieces(pairs: Column) -> Column:
+    named = F.filter(pairs, lambda p: is_high_value_key(p.key))
+    return F.concat(
+        F.transform(pairs, lambda p: F.concat(F.lit(_CUT), p.value)),
+        F.transform(named, lambda p: F.concat(F.lit(_NAMED), p.value)),
+    )
 
 
 def seeded(text: Column, gate: Gate = Gate()) -> Column:
     """Candidates found by shape alone."""
-    return F.array_sort(_gated(_normalised(shape_matches(text, gate.min_chars), True), gate))
+    return _finish(_tag(shape_matches(text, gate.min_chars), _CUT), gate)
 
 
 def from_lines(text: Column, gate: Gate = Gate()) -> Column:
     """Candidates found by markers, assignments and tokens of a line."""
     n = gate.min_chars
-    return F.array_sort(
-        _gated(
-            F.concat(
-                _normalised(prefix_tails(text), True),
-                _normalised(right_hand_sides(text, n), False),
-                _normalised(line_tokens(long_runs(text, n), n), False),
-            ),
-            gate,
-        )
-    )
+    whole = F.concat(right_hand_sides(text, n), line_tokens(long_runs(text, n), n))
+    return _finish(F.concat(_tag(prefix_tails(text), _CUT), _tag(whole, _WHOLE)), gate)
 
 
 def from_words(text: Column, gate: Gate = Gate()) -> Column:
     """Candidates found as plain words."""
     n = gate.min_chars
-    return F.array_sort(_gated(_normalised(plain_words(long_runs(text, n), n), False), gate))
+    return _finish(_tag(plain_words(long_runs(text, n), n), _WHOLE), gate)
 
 
 def from_json_text(text: Column, gate: Gate = Gate()) -> Column:
     """Candidates found as string values of a JSON text."""
-    return F.array_sort(let(json_pairs(text), lambda pairs: _json_candidates(pairs, gate)))
+    return _finish(let(json_pairs(text), _json_pieces), gate)
 
 
-def _json_candidates(pairs: Column, gate: Gate) -> Column:
-    values = _normalised(F.transform(pairs, lambda p: p.value), True)
-    named = F.transform(F.filter(pairs, lambda p: is_high_value_key(p.key)), lambda p: p.value)
-    lenient = F.filter(
-        F.array_distinct(_normalised(named, True)),
-        lambda c: (F.octet_length(c) >= gate.min_len) & ~is_noise(c),
-    )
-    return F.array_union(_gated(values, gate), lenient)
-
-
-def _gated(values: Column, gate: Gate) -> Column:
-    return F.filter(F.array_distinct(values), lambda c: is_plausible(c, gate))
-
-
-def candidates(text: Column, gate: Gate = Gate()) -> Column:
+@_remembered
+def candidates(text: Column | str, gate: Gate = Gate()) -> Column:
     """Sorted distinct plausible secret values of a text (``array<string>``)."""
     n = gate.min_chars
     text = F.coalesce(text, F.lit(""))
 
-    def collect(runs: Column) -> Column:
-        cut = _normalised(F.concat(shape_matches(runs, n), prefix_tails(text)), True)
-        whole = _normalised(
-            F.concat(right_hand_sides(text, n), line_tokens(runs, n), plain_words(runs, n)), False
-        )
-        return _gated(F.concat(cut, whole), gate)
+    def pieces(runs: Column) -> Column:
+        cut = F.concat(shape_matches(runs, n), prefix_tails(text))
+        whole = F.concat(right_hand_sides(text, n), line_tokens(runs, n), plain_words(runs, n))
+        return F.concat(_tag(cut, _CUT), _tag(whole, _WHOLE), let(json_pairs(text), _json_pieces))
 
-    strict = let(long_runs(text, n), collect)
-    structured = let(json_pairs(text), lambda pairs: _json_candidates(pairs, gate))
-    return F.array_sort(F.array_union(strict, structured))
+    return _finish(let(long_runs(text, n), pieces), gate)
 
 
-def candidate_hashes(text: Column, gate: Gate = Gate()) -> Column:
+@_remembered
+def candidate_hashes(text: Column | str, gate: Gate = Gate()) -> Column:
     """SHA-256 (hex) of every candidate of a text."""
     return F.transform(candidates(text, gate), sha256_hex)

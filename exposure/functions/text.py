@@ -102,12 +102,19 @@ def is_noise(c: Column) -> Column:
     return short | c.rlike(r"(?s)^([\x00-\x7F])\1*\z")
 
 
-def is_plausible(c: Column, gate: Gate = Gate()) -> Column:
-    """Length, noise and entropy gates, the cheap necessary conditions first."""
-    cheap = (F.octet_length(c) >= gate.min_len) & (F.char_length(c) >= gate.min_chars)
+def may_pass(c: Column, gate: Gate) -> Column:
+    """Cheap conditions every string that passes the entropy gate meets."""
+    cheap = F.char_length(c) >= gate.min_chars
     if gate.min_distinct > 1:
         cheap = cheap & (F.size(F.array_distinct(F.split(c, ""))) >= gate.min_distinct)
-    return cheap & ~is_noise(c) & (entropy(c) >= gate.min_entropy)
+    return cheap
+
+
+def is_plausible(c: Column, gate: Gate = Gate()) -> Column:
+    """Length, noise and entropy gates."""
+    return (
+        (F.octet_length(c) >= gate.min_len) & may_pass(c, gate) & ~is_noise(c) & (entropy(c) >= gate.min_entropy)
+    )
 
 
 def is_high_value_key(key: Column) -> Column:

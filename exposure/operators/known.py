@@ -33,7 +33,7 @@ def count_known(df: DataFrame, id_cols: list[str], hashes: str, registry: DataFr
 
 def known_per_text(df: DataFrame, id_cols: list[str], text: str, registry: DataFrame, gate: Gate = Gate()) -> DataFrame:
     """``id_cols, known``: distinct known secrets per text, zero rows included."""
-    hashes = df.select(*id_cols, candidate_hashes(F.col(text), gate).alias("_hashes"))
+    hashes = df.select(*id_cols, candidate_hashes(text, gate).alias("_hashes"))
     return count_known(hashes, id_cols, "_hashes", registry)
 
 
@@ -42,7 +42,7 @@ def output_check(captures: DataFrame, registry: DataFrame, gate: Gate = Gate())
 
     ``captures``: ``capture_id, ok, output``; gives ``capture_id, status, secrets_found``.
     """
-    hashes = captures.select("capture_id", "ok", candidate_hashes(F.col("output"), gate).alias("_hashes"))
+    hashes = captures.select("capture_id", "ok", candidate_hashes("output", gate).alias("_hashes"))
     return count_known(hashes, ["capture_id"], "_hashes", registry).select(
         "capture_id",
         F.when(F.col("ok"), "ok").otherwise("error").alias("status"),
@@ -60,7 +60,7 @@ def known_hashes_by_id(df: DataFrame, id_cols: list[str], hashes: str, registry:
     return known.groupBy(*id_cols).agg(F.collect_set("hash").alias("known_hashes"))
 
 
-def known_candidates(text: Column, known_hashes: Column, gate: Gate = Gate()) -> Column:
+def known_candidates(text: Column | str, known_hashes: Column, gate: Gate = Gate()) -> Column:
     """The candidates of a text whose hashes are listed, in ascending order."""
     return F.filter(candidates(text, gate), lambda c: F.array_contains(known_hashes, sha256_hex(c)))
 
@@ -91,7 +91,7 @@ def redact_texts(
     Only ids and hashes are shuffled to find out which texts hold secrets; candidates are
     extracted again inside the few rows that do.
     """
-    hashes = df.select(*id_cols, candidate_hashes(F.col(text), gate).alias("_hashes"))
+    hashes = df.select(*id_cols, candidate_hashes(text, gate).alias("_hashes"))
     found = known_hashes_by_id(hashes, id_cols, "_hashes", registry)
     joined = df.join(found, id_cols, "left")
     values = F.when(

@@ -201,7 +201,7 @@ def findings(
             *[c for c in detected.columns if c not in ("_text", "_d")],
             F.col("_d.format").alias("format"),
             F.col("_d.hits").alias("entropy_hits"),
-            F.when(wanted, candidate_hashes(F.col("_text"), gate)).alias("_hashes"),
+            F.when(wanted, candidate_hashes("_text", gate)).alias("_hashes"),
         ),
         F.col("_hashes").isNotNull(),
     )

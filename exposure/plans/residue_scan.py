@@ -77,11 +77,15 @@ def scan(
 
 
 def scanned_directories(corpus: DataFrame, policy: PathPolicy, rules: DataFrame | None = None) -> DataFrame:
-    """Distinct directories walked per surface that hold files (``surface_no, directory``)."""
-    dirs = with_surface(corpus.select(dirname(F.col("path")).alias("path")).distinct(), policy)
+    """``surface_no, directory`` of every directory walked: the ones that hold files and all
+    between them and their surface, without skipped and ignored ones."""
+    own = corpus.select(dirname(F.col("path")).alias("path")).distinct()
+    above = own.select(F.explode(P.path_prefixes(F.concat("path", F.lit("/")))).alias("path")).distinct()
+    placed = with_surface(above.withColumn("path", F.concat("path", F.lit("/"))), policy)
+    dirs = placed.withColumn("rel", F.when(F.col("rel") == "", ".").otherwise(F.regexp_replace("rel", "/$", "")))
     if rules is not None:
         dirs = P.mark_ignored(dirs.withColumn("is_dir", F.lit(True)), rules).filter(~F.col("ignored"))
-    return dirs.select("surface_no", F.col("path").alias("directory"))
+    return dirs.select("surface_no", F.regexp_replace("path", "/$", "").alias("directory"))
 
 
 def summary(found: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:

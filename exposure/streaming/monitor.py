@@ -38,7 +38,7 @@ def score(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate(), placeh
     ids = ["surface_id", "ts", "content_hash"]
     hashed = snapshots.withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")), 256))
     found = known_hashes_by_id(
-        hashed.select(*ids, candidate_hashes(F.col("content"), gate).alias("_hashes")), ids, "_hashes", registry
+        hashed.select(*ids, candidate_hashes("content", gate).alias("_hashes")), ids, "_hashes", registry
     )
     joined = hashed.join(found, ids, "left")
     values = known_candidates(F.col("content"), F.col("known_hashes"), gate)
@@ -56,7 +56,7 @@ def count_only(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate()) -
         "surface_id",
         "ts",
         F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"),
-        candidate_hashes(F.col("content"), gate).alias("_hashes"),
+        candidate_hashes("content", gate).alias("_hashes"),
     )
     counted = count_known(hashed, ["surface_id", "ts", "content_hash"], "_hashes", registry)
     return counted.withColumn("secrets", F.col("known").cast("int")).drop("known")
