@@ -5,27 +5,26 @@ text never has to leave the expression: ``candidate_hashes`` gives SHA-256 value
 
 A string needs ``gate.min_chars`` characters to pass the gate. The patterns carry that bound, so
 ordinary prose is discarded by the scan instead of being split, normalised and scored.
+
+The building blocks are SQL text (see ``sqltext``); the column functions are at the end.
 """
 
 from __future__ import annotations
 
-import functools
 import re
 
-from pyspark import SparkContext
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
+from exposure.functions import sqltext as S
 from exposure.functions.text import (
     ASCII_SPACE,
     UNICODE_SPACE,
-    entropy,
-    is_high_value_key,
-    is_noise,
-    let,
-    may_pass,
-    normalise,
-    sha256_hex,
+    after_equals_sql,
+    entropy_sql,
+    is_high_value_key_sql,
+    is_noise_sql,
+    may_pass_sql,
+    normalise_sql,
 )
 from exposure.params import Gate
 
@@ -43,115 +42,76 @@ TOKEN_DELIMITERS = r"\"'=,:\[\]{}|;"
 _JSON_STRING = r'"([^"\\]*+(?:\\.[^"\\]*+)*+)"'
 _JSON_TOKEN = rf"(?s){_JSON_STRING}(\s*+:(?:\s*+{_JSON_STRING})?)?"
 
-_EMPTY = "array<string>"
-
-
-def _remembered(build):
-    """Keep the column built for a column *name*: building and resolving a chain of this size
-    takes most of a second, and plans often use it more than once."""
-    kept: dict = {}
-
-    @functools.wraps(build)
-    def column(text: Column | str, gate: Gate = Gate()) -> Column:
-        if not isinstance(text, str):
-            return build(text, gate)
-        key = (text, gate, id(SparkContext._active_spark_context))
-        if key not in kept:
-            kept[key] = build(F.col(text), gate)
-        return kept[key]
-
-    return column
-
-
-def _empty() -> Column:
-    return F.array().cast(_EMPTY)
+_NONE = "cast(array() AS array<string>)"
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+def _all(text: str, pattern: str, group: int = 0) -> str:
+    return f"regexp_extract_all({text}, {S.raw(pattern)}, {group})"
 
 
-def _runs(text: Column, cls: str, least: int) -> Column:
+def _runs(text: str, cls: str, least: int) -> str:
     """Maximal runs of a character class, tried only where a run begins."""
     return _all(text, f"(?<![{cls}])[{cls}]{{{least},}}")
 
 
-def long_runs(text: Column, least: int) -> Column:
+def long_runs(text: str, least: int) -> str:
     """The text reduced to its unbroken runs of at least ``least`` characters."""
-    return F.array_join(_runs(text, f"^{ASCII_SPACE}", least), "\n")
+    return f"array_join({_runs(text, f'^{ASCII_SPACE}', least)}, '\\n')"
 
 
-def shape_matches(text: Column, least: int = 1) -> Column:
+def shape_matches(text: str, least: int = 1) -> str:
     """All matches of the secret shapes."""
-    return F.concat(*[_runs(text, cls, max(n, least)) for cls, n in SHAPES])
-
-
-def high_entropy_hits(text: Column, min_len: int = 12, min_entropy: float = 4.0) -> Column:
-    """How many distinct shape matches reach the length and the entropy."""
-    gate = Gate(min_len, min_entropy)
-
-    def passes(m: Column) -> Column:
-        enough = F.size(F.array_distinct(F.split(m, ""))) >= gate.min_distinct
-        return enough & (F.octet_length(m) >= min_len) & (entropy(m) >= min_entropy)
-
-    shortest = min(n for _, n in SHAPES)
-    return F.size(
-        let(
-            long_runs(text, shortest),
-            lambda runs: F.filter(F.array_distinct(shape_matches(runs, gate.min_chars)), passes),
-        )
-    )
+    return f"concat({', '.join(_runs(text, cls, max(n, least)) for cls, n in SHAPES)})"
 
 
-def prefix_tails(text: Column) -> Column:
+def prefix_tails(text: str) -> str:
     """Per line and marker: what follows the first marker, up to a space, quote, comma or semicolon."""
     parts = []
     for p in PREFIXES:
         pattern = f"(?:^|\\n)(?>[^\\n]*?{re.escape(p)})([^{UNICODE_SPACE}\"',;]*+)"
-        parts.append(F.when(F.contains(text, F.lit(p)), _all(text, pattern, 1)).otherwise(_empty()))
-    return F.concat(*parts)
+        parts.append(f"if(contains({text}, '{p}'), {_all(text, pattern, 1)}, {_NONE})")
+    return f"concat({', '.join(parts)})"
 
 
-def right_hand_sides(text: Column, least: int) -> Column:
+def right_hand_sides(text: str, least: int) -> str:
     """Per line: everything after the first ``=``."""
     pattern = f"(?:^|\\n)[^=\\n]*+=([^\\n]{{{least},}})"
-    return F.when(F.contains(text, F.lit("=")), _all(text, pattern, 1)).otherwise(_empty())
+    return f"if(contains({text}, '='), {_all(text, pattern, 1)}, {_NONE})"
 
 
-def line_tokens(runs: Column, least: int) -> Column:
+def line_tokens_sql(runs: str, least: int) -> str:
     return _runs(runs, f"^{ASCII_SPACE}{TOKEN_DELIMITERS}", least)
 
 
-def plain_words(runs: Column, least: int) -> Column:
+def plain_words(runs: str, least: int) -> str:
     """Words without ``=``, cut at commas, colons and semicolons."""
     pattern = f"(?<![^{UNICODE_SPACE}])[^={UNICODE_SPACE}]{{{least},}}+(?![^{UNICODE_SPACE}])"
-    return F.flatten(F.transform(_all(runs, pattern), lambda w: F.split(w, "[,:;]+")))
+    return f"flatten(transform({_all(runs, pattern)}, w -> split(w, '[,:;]+')))"
 
 
-def json_pairs(text: Column) -> Column:
+def json_pairs(text: str) -> str:
     """``array<struct<key,value>>`` of every string value of a valid JSON text, else empty.
 
     Array elements and a bare top-level string have the key ``''``.
     """
 
-    def unescape(c: Column) -> Column:
-        decoded = F.from_json(F.concat(F.lit('["'), c, F.lit('"]')), "array<string>")[0]
-        return F.when(F.instr(c, "\\") > 0, decoded).otherwise(c)
+    def part(i: int) -> str:
+        return f"regexp_extract(tok, {S.raw(_JSON_TOKEN)}, {i})"
 
-    def pair(tok: Column) -> Column:
-        first = F.regexp_extract(tok, _JSON_TOKEN, 1)
-        colon = F.regexp_extract(tok, _JSON_TOKEN, 2)
-        second = F.regexp_extract(tok, _JSON_TOKEN, 3)
-        keyed = colon != ""
-        return F.struct(
-            F.when(keyed, unescape(first)).otherwise("").alias("key"),
-            F.when(keyed, unescape(second)).otherwise(unescape(first)).alias("value"),
-        )
+    def unescape(c: str) -> str:
+        backslash = S.literal("\\")
+        decoded = f"from_json(concat('[\"', {c}, '\"]'), 'array<string>')[0]"
+        return f"if(contains({c}, {backslash}), {decoded}, {c})"
 
-    looks = text.rlike(r"^[ \t\r\n]*+[{\[\"]")
-    valid = F.when(looks, F.try_parse_json(text)).isNotNull()
-    pairs = F.filter(F.transform(_all(text, _JSON_TOKEN), pair), lambda p: F.octet_length(p.value) > 0)
-    return F.when(valid, pairs).otherwise(F.array().cast("array<struct<key:string,value:string>>"))
+    keyed = f"{part(2)} != ''"
+    pair = (
+        f"named_struct('key', if({keyed}, {unescape(part(1))}, ''), "
+        f"'value', if({keyed}, {unescape(part(3))}, {unescape(part(1))}))"
+    )
+    pairs = f"filter(transform({_all(text, _JSON_TOKEN)}, tok -> {pair}), p -> octet_length(p.value) > 0)"
+    looks = S.raw(r"^[ \t\r\n]*+[{\[\"]")
+    valid = f"(CASE WHEN {text} rlike {looks} THEN try_parse_json({text}) END) IS NOT NULL"
+    return f"CASE WHEN {valid} THEN {pairs} ELSE cast(array() AS array<struct<key:string,value:string>>) END"
 
 
 # How a raw piece is treated, kept as its first character so that arrays of strings stay
@@ -159,86 +119,130 @@ def json_pairs(text: Column) -> Column:
 _CUT, _WHOLE, _NAMED = "c", "w", "n"
 
 
-def _tag(values: Column, tag: str) -> Column:
-    return F.transform(values, lambda v: F.concat(F.lit(tag), v))
+def _tag(values: str, tag: str) -> str:
+    return f"transform({values}, v -> concat('{tag}', v))"
 
 
-def _finish(tagged: Column, gate: Gate) -> Column:
-    """Normalise, cut and gate raw pieces; sorted and distinct.
+def _finish(tagged: str, gate: Gate) -> str:
+    """Normalise, cut and gate raw pieces; sorted and distinct. All kinds go through one chain."""
+    cleaned = f"transform(array_distinct({tagged}), t -> concat(left(t, 1), {normalise_sql('substr(t, 2)')}))"
+    rest = f"concat(left(t, 1), {normalise_sql(after_equals_sql('t'))})"
+    cut = f"transform({cleaned}, t -> if(NOT startswith(t, '{_WHOLE}') AND instr(t, '=') > 0, {rest}, t))"
+    named = f"startswith(t, '{_NAMED}')"
+    passes = S.let(
+        "substr(t, 2)",
+        lambda c: f"octet_length({c}) >= {gate.min_len} AND ({named} OR {may_pass_sql(c, gate)}) "
+        f"AND NOT {is_noise_sql(c)} AND ({named} OR {entropy_sql(c)} >= {gate.min_entropy}D)",
+    )
+    values = f"filter(array_distinct({cut}), t -> {passes})"
+    return f"sort_array(array_distinct(transform({values}, t -> substr(t, 2))))"
 
-    All kinds go through one chain, which keeps the plan small.
-    """
 
-    def body(t: Column) -> Column:
-        return t.substr(F.lit(2), F.octet_length(t))
+def _json_pieces(pairs: str) -> str:
+    all_values = f"transform({pairs}, p -> concat('{_CUT}', p.value))"
+    named = f"filter({pairs}, p -> {is_high_value_key_sql('p.key')})"
+    return f"concat({all_values}, transform({named}, p -> concat('{_NAMED}', p.value)))"
 
-    def clean(t: Column) -> Column:
-        return F.concat(F.left(t, F.lit(1)), normalise(body(t)))
 
-    def cut(t: Column) -> Column:
-        rest = F.concat(F.left(t, F.lit(1)), normalise(F.regexp_replace(t, "(?s)^[^=]*=", "")))
-        return F.when(~t.startswith(_WHOLE) & (F.instr(t, "=") > 0), rest).otherwise(t)
+def _high_entropy_hits_sql(text: str, min_len: int = 12, min_entropy: float = 4.0) -> str:
+    gate = Gate(min_len, min_entropy)
+    passes = (
+        f"octet_length(m) >= {min_len} AND size(array_distinct(split(m, ''))) >= {gate.min_distinct} "
+        f"AND {entropy_sql('m')} >= {min_entropy}D"
+    )
+    shortest = min(n for _, n in SHAPES)
+    return S.let(
+        long_runs(text, shortest),
+        lambda runs: f"size(filter(array_distinct({shape_matches(runs, gate.min_chars)}), m -> {passes}))",
+    )
+
 
-    def passes(t: Column) -> Column:
-        return let(
-            body(t),
-            lambda c: (F.octet_length(c) >= gate.min_len)
-            & (t.startswith(_NAMED) | may_pass(c, gate))
-            & ~is_noise(c)
-            & (t.startswith(_NAMED) | (entropy(c) >= gate.min_entropy)),
-        )
+def _seeded_sql(text: str, gate: Gate = Gate()) -> str:
+    return _finish(_tag(shape_matches(text, gate.min_chars), _CUT), gate)
 
-    cleaned = F.transform(F.array_distinct(tagged), clean)
-    values = F.filter(F.array_distinct(F.transform(cleaned, cut)), passes)
-    return F.sort_array(F.array_distinct(F.transform(values, body)))
 
+def _from_lines_sql(text: str, gate: Gate = Gate()) -> str:
+    n = gate.min_chars
+    whole = f"concat({right_hand_sides(text, n)}, {line_tokens_sql(long_runs(text, n), n)})"
+    return _finish(f"concat({_tag(prefix_tails(text), _CUT)}, {_tag(whole, _WHOLE)})", gate)
 
-def _json_pieces(pairs: Column) -> Column:
-    named = F.filter(pairs, lambda p: is_high_value_key(p.key))
-    return F.concat(
-        F.transform(pairs, lambda p: F.concat(F.lit(_CUT), p.value)),
-        F.transform(named, lambda p: F.concat(F.lit(_NAMED), p.value)),
-    )
 
+def _from_words_sql(text: str, gate: Gate = Gate()) -> str:
+    n = gate.min_chars
+    return _finish(_tag(plain_words(long_runs(text, n), n), _WHOLE), gate)
 
-def seeded(text: Column, gate: Gate = Gate()) -> Column:
+
+def _from_json_sql(text: str, gate: Gate = Gate()) -> str:
+    return _finish(S.let(json_pairs(text), _json_pieces), gate)
+
+
+def _candidates_sql(text: str, gate: Gate = Gate()) -> str:
+    n = gate.min_chars
+
+    def of_runs(runs: str) -> str:
+        cut = f"concat({shape_matches(runs, n)}, {prefix_tails(text)})"
+        whole = f"concat({right_hand_sides(text, n)}, {line_tokens_sql(runs, n)}, {plain_words(runs, n)})"
+        return f"concat({_tag(cut, _CUT)}, {_tag(whole, _WHOLE)})"
+
+    pieces = f"concat({S.let(long_runs(text, n), of_runs)}, {S.let(json_pairs(text), _json_pieces)})"
+    return f"if({text} IS NULL, {_NONE}, {_finish(pieces, gate)})"
+
+
+def _candidate_hashes_sql(text: str, gate: Gate = Gate()) -> str:
+    return f"transform({_candidates_sql(text, gate)}, c -> sha2(c, 256))"
+
+
+def _line_tokens_column_sql(text: str, least: int) -> str:
+    return S.let(long_runs(text, least), lambda runs: line_tokens_sql(runs, least))
+
+
+# --- column functions -------------------------------------------------------------------------
+
+_high_entropy_hits = S.column_function(_high_entropy_hits_sql)
+_seeded = S.column_function(_seeded_sql)
+_from_lines = S.column_function(_from_lines_sql)
+_from_words = S.column_function(_from_words_sql)
+_from_json = S.column_function(_from_json_sql)
+_candidates = S.column_function(_candidates_sql)
+_candidate_hashes = S.column_function(_candidate_hashes_sql)
+_line_tokens = S.column_function(_line_tokens_column_sql)
+
+
+def high_entropy_hits(text: Column | str, min_len: int = 12, min_entropy: float = 4.0) -> Column:
+    """How many distinct shape matches reach the length and the entropy."""
+    return _high_entropy_hits(text, min_len, float(min_entropy))
+
+
+def seeded(text: Column | str, gate: Gate = Gate()) -> Column:
     """Candidates found by shape alone."""
-    return _finish(_tag(shape_matches(text, gate.min_chars), _CUT), gate)
+    return _seeded(text, gate)
 
 
-def from_lines(text: Column, gate: Gate = Gate()) -> Column:
+def from_lines(text: Column | str, gate: Gate = Gate()) -> Column:
     """Candidates found by markers, assignments and tokens of a line."""
-    n = gate.min_chars
-    whole = F.concat(right_hand_sides(text, n), line_tokens(long_runs(text, n), n))
-    return _finish(F.concat(_tag(prefix_tails(text), _CUT), _tag(whole, _WHOLE)), gate)
+    return _from_lines(text, gate)
 
 
-def from_words(text: Column, gate: Gate = Gate()) -> Column:
+def from_words(text: Column | str, gate: Gate = Gate()) -> Column:
     """Candidates found as plain words."""
-    n = gate.min_chars
-    return _finish(_tag(plain_words(long_runs(text, n), n), _WHOLE), gate)
+    return _from_words(text, gate)
 
 
-def from_json_text(text: Column, gate: Gate = Gate()) -> Column:
+def from_json_text(text: Column | str, gate: Gate = Gate()) -> Column:
     """Candidates found as string values of a JSON text."""
-    return _finish(let(json_pairs(text), _json_pieces), gate)
+    return _from_json(text, gate)
 
 
-@_remembered
-def candidates(text: Column | str, gate: Gate = Gate()) -> Column:
-    """Sorted distinct plausible secret values of a text (``array<string>``)."""
-    n = gate.min_chars
-    text = F.coalesce(text, F.lit(""))
+def line_tokens(text: Column | str, least: int) -> Column:
+    """Tokens of at least ``least`` characters, repeats included."""
+    return _line_tokens(text, least)
 
-    def pieces(runs: Column) -> Column:
-        cut = F.concat(shape_matches(runs, n), prefix_tails(text))
-        whole = F.concat(right_hand_sides(text, n), line_tokens(runs, n), plain_words(runs, n))
-        return F.concat(_tag(cut, _CUT), _tag(whole, _WHOLE), let(json_pairs(text), _json_pieces))
 
-    return _finish(let(long_runs(text, n), pieces), gate)
+def candidates(text: Column | str, gate: Gate = Gate()) -> Column:
+    """Sorted distinct plausible secret values of a text (``array<string>``)."""
+    return _candidates(text, gate)
 
 
-@_remembered
 def candidate_hashes(text: Column | str, gate: Gate = Gate()) -> Column:
     """SHA-256 (hex) of every candidate of a text."""
-    return F.transform(candidates(text, gate), sha256_hex)
+    return _candidate_hashes(text, gate)

@@ -65,21 +65,26 @@ def parse_receipt(line: Column, tag: str = RECEIPT_TAG) -> Column:
     )
 
 
+def is_receipt(line: Column, tag: str = RECEIPT_TAG) -> Column:
+    return F.contains(line, F.lit(tag)) & trim_space(line).rlike(receipt_pattern(tag))
+
+
 def latest_receipt(lines: Column, tag: str = RECEIPT_TAG) -> Column:
     """The last receipt of a file."""
     return let(
-        F.filter(lines, lambda x: trim_space(x).rlike(receipt_pattern(tag))),
+        F.filter(lines, lambda x: is_receipt(x, tag)),
         lambda found: F.when(F.size(found) > 0, parse_receipt(F.element_at(found, -1), tag)),
     )
 
 
 def last_marker(lines: Column, marker: str = SCRUB_MARKER) -> Column:
     """Zero-based index of the last line that ran the scrub itself, or -1."""
-    hits = F.filter(
-        F.transform(lines, lambda x, i: F.when(F.contains(line_command(x), F.lit(marker)), i).otherwise(-1)),
-        lambda i: i >= 0,
-    )
-    return F.coalesce(F.array_max(hits), F.lit(-1))
+
+    def at(line: Column, i: Column) -> Column:
+        ran = F.contains(line, F.lit(marker)) & F.contains(line_command(line), F.lit(marker))
+        return F.when(ran, i).otherwise(-1)
+
+    return F.coalesce(F.array_max(F.transform(lines, at)), F.lit(-1))
 
 
 def near_receipt(lines: Column, marker_at: Column, tag: str = RECEIPT_TAG) -> Column:
@@ -88,14 +93,15 @@ def near_receipt(lines: Column, marker_at: Column, tag: str = RECEIPT_TAG) -> Co
     return F.when(
         marker_at >= 0,
         let(
-            F.filter(window, lambda x: trim_space(x).rlike(receipt_pattern(tag))),
+            F.filter(window, lambda x: is_receipt(x, tag)),
             lambda found: F.when(F.size(found) > 0, parse_receipt(found[0], tag)),
         ),
     )
 
 
 def strip_receipts(lines: Column, tag: str = RECEIPT_TAG) -> Column:
-    return F.filter(lines, lambda x: ~trim_space(x).startswith(f"# {tag}:"))
+    head = f"# {tag}:"
+    return F.filter(lines, lambda x: ~(F.contains(x, F.lit(head)) & trim_space(x).startswith(head)))
 
 
 def fingerprint(lines: Column) -> Column:

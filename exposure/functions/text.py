@@ -1,4 +1,7 @@
-"""Column helpers on strings: white space, quotes, entropy and plausibility."""
+"""Column helpers on strings: white space, quotes, entropy and plausibility.
+
+The ``*_sql`` functions take and give SQL text; the ones without take and give columns.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +10,16 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from exposure.functions import sqltext as S
 from exposure.params import Gate
 
 # The Unicode White_Space characters, as the inside of a character class.
 UNICODE_SPACE = r"\t\n\x0B\f\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 # White space as a regular-expression \s without Unicode sees it.
 ASCII_SPACE = r"\t\n\f\r "
-QUOTES = "\"'`"
-# The same white space, as the characters themselves.
+# The Unicode white space as the characters themselves.
 SPACE_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+QUOTES = "\"'`"
 
 # Words that mark a short string as a placeholder rather than a secret.
 NOISE_WORDS = (
@@ -44,81 +48,88 @@ def trim_space(c: Column) -> Column:
     return F.btrim(c, F.lit(SPACE_CHARS))
 
 
-def strip_quote_pairs(c: Column) -> Column:
+def trim_space_sql(c: str) -> str:
+    return f"btrim({c}, {S.literal(SPACE_CHARS)})"
+
+
+def strip_quote_pairs_sql(c: str) -> str:
     """Drop every balanced outer pair of equal quotes, however deeply nested.
 
     The number of pairs is the length of the common prefix of the leading quote run and the
     reversed trailing one, at most half the string, so no level limit is needed.
     """
-    lead = F.regexp_extract(c, f"^[{QUOTES}]*", 0)
-    trail = F.reverse(F.regexp_extract(c, f"[{QUOTES}]*\\z", 0))
-    n = F.char_length(c)
-    same = F.zip_with(F.split(lead, ""), F.split(trail, ""), lambda a, b: a.eqNullSafe(b))
-    common = let(
-        F.array_position(same, F.lit(False)).cast("int"),
-        lambda at: F.when(at > 0, at - 1).otherwise(F.char_length(lead)),
-    )
-    stripped = let(F.least(common, F.floor(n / 2).cast("int")), lambda k: c.substr(k + 1, n - 2 * k))
-    return F.when(c.rlike(f"^[{QUOTES}]"), stripped).otherwise(c)
+    lead = f"regexp_extract({c}, {S.raw(f'^[{QUOTES}]*')}, 0)"
+    trail = f"reverse(regexp_extract({c}, {S.raw(f'[{QUOTES}]*' + chr(92) + 'z')}, 0))"
+    first_difference = f"array_position(zip_with(split({lead}, ''), split({trail}, ''), (a, b) -> a <=> b), false)"
+    common = S.let(f"cast({first_difference} AS int)", lambda at: f"if({at} > 0, {at} - 1, char_length({lead}))")
+    pairs = f"least({common}, cast(char_length({c}) div 2 AS int))"
+    return S.let(pairs, lambda k: f"substr({c}, {k} + 1, char_length({c}) - 2 * {k})")
 
 
-def normalise(c: Column) -> Column:
+def normalise_sql(c: str) -> str:
     """Trim, remove balanced outer quote pairs, trim again."""
-    return let(trim_space(c), lambda t: F.when(t.rlike(f"^[{QUOTES}]"), trim_space(strip_quote_pairs(t))).otherwise(t))
+    quoted = S.raw(f"^[{QUOTES}]")
+    return S.let(
+        trim_space_sql(c),
+        lambda t: f"if({t} rlike {quoted}, {trim_space_sql(strip_quote_pairs_sql(t))}, {t})",
+    )
 
 
-def value_side(c: Column) -> Column:
-    """What follows the first ``=``, normalised; the string itself where there is none."""
-    return F.when(F.instr(c, "=") > 0, normalise(F.regexp_replace(c, "(?s)^[^=]*=", ""))).otherwise(c)
+def after_equals_sql(c: str) -> str:
+    return f"regexp_replace({c}, {S.raw('(?s)^[^=]*=')}, '')"
 
 
-def distinct_chars(c: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(c, "")), "")
+def value_side_sql(c: str) -> str:
+    """What follows the first ``=``, normalised; the string itself where there is none."""
+    return f"if(instr({c}, '=') > 0, {normalise_sql(after_equals_sql(c))}, {c})"
 
 
-def entropy(c: Column) -> Column:
+def entropy_sql(c: str) -> str:
     """Shannon entropy in bits: character counts over the byte length, rounded to 9 digits.
 
     Each distinct character is counted by removing it from what is left of the string, so the
     rest shrinks with every step and long strings stay cheap.
     """
-    n = F.octet_length(c).cast("double")
-
-    def step(acc: Column, ch: Column) -> Column:
-        def counted(rest: Column) -> Column:
-            share = (F.octet_length(acc.rest) - F.octet_length(rest)) / F.octet_length(ch) / n
-            bits = let(share, lambda p: acc.bits - p * F.log2(p))
-            return F.struct(rest.alias("rest"), bits.alias("bits"))
-
-        return let(F.replace(acc.rest, ch, F.lit("")), counted)
+    share = f"(octet_length(acc.rest) - octet_length(rest)) / octet_length(ch) / octet_length({c})"
+    bits = f"acc.bits - {S.let(share, lambda p: f'{p} * log2({p})')}"
+    step = f"transform(array(replace(acc.rest, ch, '')), rest -> named_struct('rest', rest, 'bits', {bits}))[0]"
+    chars = f"array_remove(array_distinct(split({c}, '')), '')"
+    start = f"named_struct('rest', {c}, 'bits', cast(0 AS double))"
+    return f"round(aggregate({chars}, {start}, (acc, ch) -> {step}, acc -> acc.bits), 9)"
 
-    start = F.struct(c.alias("rest"), F.lit(0.0).alias("bits"))
-    return F.aggregate(distinct_chars(c), start, step, lambda acc: F.round(acc.bits, 9))
 
-
-def is_noise(c: Column) -> Column:
+def is_noise_sql(c: str) -> str:
     """Short strings holding a placeholder word, and one byte repeated."""
-    short = (F.octet_length(c) < 20) & F.lower(c).rlike("|".join(NOISE_WORDS))
-    return short | c.rlike(r"(?s)^([\x00-\x7F])\1*\z")
+    words = f"(octet_length({c}) < 20 AND lower({c}) rlike '{'|'.join(NOISE_WORDS)}')"
+    same = S.raw(r"(?s)^([\x00-\x7F])\1*\z")
+    return f"({words} OR {c} rlike {same})"
 
 
-def may_pass(c: Column, gate: Gate) -> Column:
+def may_pass_sql(c: str, gate: Gate) -> str:
     """Cheap conditions every string that passes the entropy gate meets."""
-    cheap = F.char_length(c) >= gate.min_chars
+    cheap = f"char_length({c}) >= {gate.min_chars}"
     if gate.min_distinct > 1:
-        cheap = cheap & (F.size(F.array_distinct(F.split(c, ""))) >= gate.min_distinct)
-    return cheap
+        cheap += f" AND size(array_distinct(split({c}, ''))) >= {gate.min_distinct}"
+    return f"({cheap})"
 
 
-def is_plausible(c: Column, gate: Gate = Gate()) -> Column:
+def is_plausible_sql(c: str, gate: Gate = Gate()) -> str:
     """Length, noise and entropy gates."""
     return (
-        (F.octet_length(c) >= gate.min_len) & may_pass(c, gate) & ~is_noise(c) & (entropy(c) >= gate.min_entropy)
+        f"(octet_length({c}) >= {gate.min_len} AND {may_pass_sql(c, gate)} AND NOT {is_noise_sql(c)} "
+        f"AND {entropy_sql(c)} >= {gate.min_entropy}D)"
     )
 
 
-def is_high_value_key(key: Column) -> Column:
-    return F.lower(key).rlike("|".join(HIGH_VALUE_KEYS))
+normalise = S.column_function(normalise_sql)
+value_side = S.column_function(value_side_sql)
+entropy = S.column_function(entropy_sql)
+is_noise = S.column_function(is_noise_sql)
+is_plausible = S.column_function(is_plausible_sql)
+
+
+def is_high_value_key_sql(key: str) -> str:
+    return f"lower({key}) rlike '{'|'.join(HIGH_VALUE_KEYS)}'"
 
 
 def sha256_hex(c: Column) -> Column:

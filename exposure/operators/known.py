@@ -19,16 +19,15 @@ def known_values(rows: DataFrame, registry: DataFrame, spread_by: list[str]) ->
 def count_known(df: DataFrame, id_cols: list[str], hashes: str, registry: DataFrame) -> DataFrame:
     """Replace the array column ``hashes`` by ``known``, how many of them the registry holds.
 
-    One pass over ``df``: the other columns ride along, rows without any hash included, so keep
-    them narrow. Partial aggregation folds each row's hashes before the shuffle on its id.
+    One pass over ``df``: the other columns ride along as grouping columns, rows without any hash
+    included, so keep them narrow and ``id_cols`` unique. Partial aggregation folds each row's
+    hashes before the shuffle.
     """
-    rest = [c for c in df.columns if c not in (*id_cols, hashes)]
-    carried = F.struct(*rest) if rest else F.struct(F.lit(0).alias("_none"))
-    rows = df.select(*id_cols, carried.alias("_rest"), F.explode_outer(hashes).alias("hash"))
+    carried = [c for c in df.columns if c != hashes]
+    rows = df.select(*carried, F.explode_outer(hashes).alias("hash"))
     lookup = registry.select("hash", F.lit(1).alias("_hit"))
     flagged = join_by_hash(rows, lookup, [*id_cols, "hash"])
-    counted = flagged.groupBy(*id_cols).agg(F.first("_rest").alias("_rest"), F.count("_hit").alias("known"))
-    return counted.select(*id_cols, *[F.col("_rest").getField(c).alias(c) for c in rest], "known")
+    return flagged.groupBy(*carried).agg(F.count("_hit").alias("known"))
 
 
 def known_per_text(df: DataFrame, id_cols: list[str], text: str, registry: DataFrame, gate: Gate = Gate()) -> DataFrame:

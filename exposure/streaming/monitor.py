@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from exposure.functions.extract import candidate_hashes
-from exposure.operators.known import count_known, known_candidates, known_hashes_by_id, replace_all
+from exposure.operators.joins import join_by_hash
+from exposure.operators.known import known_candidates, known_hashes_by_id, known_values, replace_all
 from exposure.operators.timeline import with_neighbour
 from exposure.params import Gate, MonitorPolicy
 from exposure.schema import ACTIONS, SCORED
@@ -30,36 +31,57 @@ EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 DAY = 86_400
 
 
+def _hashed(snapshots: DataFrame) -> DataFrame:
+    content = F.coalesce("content", F.lit(""))
+    return snapshots.select("surface_id", "ts", F.sha2(content, 256).alias("content_hash"), content.alias("content"))
+
+
+def _contents(hashed: DataFrame) -> DataFrame:
+    """Each content once. A surface shows the same content for most of its snapshots, so this is
+    far less text to search; repeats within a task fold before the shuffle."""
+    return hashed.select("content_hash", "content").dropDuplicates(["content_hash"])
+
+
+def _on_snapshots(hashed: DataFrame, per_content: DataFrame) -> DataFrame:
+    """Bring per-content facts to the narrow snapshot rows; a hot content is spread."""
+    rows = hashed.select("surface_id", "ts", "content_hash")
+    return join_by_hash(rows, per_content, ["surface_id", "ts"], key="content_hash")
+
+
 def score(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate(), placeholder: str = "[REDACTED]") -> DataFrame:
     """``surface_id, ts, content_hash, secrets, redacted, redacted_hash`` of snapshots.
 
     The redacted text is kept only where there is something to redact.
     """
-    ids = ["surface_id", "ts", "content_hash"]
-    hashed = snapshots.withColumn("content_hash", F.sha2(F.coalesce("content", F.lit("")), 256))
+    hashed = _hashed(snapshots)
+    contents = _contents(hashed)
     found = known_hashes_by_id(
-        hashed.select(*ids, candidate_hashes("content", gate).alias("_hashes")), ids, "_hashes", registry
+        contents.select("content_hash", candidate_hashes("content", gate).alias("_hashes")),
+        ["content_hash"], "_hashes", registry,
     )
-    joined = hashed.join(found, ids, "left")
-    values = known_candidates(F.col("content"), F.col("known_hashes"), gate)
-    redacted = F.when(F.col("known_hashes").isNotNull(), replace_all(F.col("content"), values, placeholder))
-    return (
-        joined.withColumn("redacted", redacted)
-        .withColumn("redacted_hash", F.sha2("redacted", 256))
-        .select(*ids, F.coalesce(F.size("known_hashes"), F.lit(0)).alias("secrets"), "redacted", "redacted_hash")
+    dirty = contents.join(found, "content_hash")
+    values = known_candidates("content", F.col("known_hashes"), gate)
+    redacted = dirty.select(
+        "content_hash",
+        F.size("known_hashes").alias("secrets"),
+        replace_all(F.col("content"), values, placeholder).alias("redacted"),
+    ).withColumn("redacted_hash", F.sha2("redacted", 256))
+    return _on_snapshots(hashed, redacted).select(
+        "surface_id", "ts", "content_hash", F.coalesce("secrets", F.lit(0)).alias("secrets"), "redacted", "redacted_hash"
     )
 
 
 def count_only(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate()) -> DataFrame:
-    """``surface_id, ts, content_hash, secrets``: the score without redacted text, in one pass."""
-    hashed = snapshots.select(
-        "surface_id",
-        "ts",
-        F.sha2(F.coalesce("content", F.lit("")), 256).alias("content_hash"),
-        candidate_hashes("content", gate).alias("_hashes"),
+    """``surface_id, ts, content_hash, secrets``: the score without redacted text."""
+    hashed = _hashed(snapshots)
+    hashes = _contents(hashed).select("content_hash", candidate_hashes("content", gate).alias("_hashes"))
+    rows = hashes.select("content_hash", F.explode_outer("_hashes").alias("hash")).filter(F.col("hash").isNotNull())
+    counts = known_values(rows, registry, ["content_hash"]).groupBy("content_hash").agg(
+        F.count(F.lit(1)).cast("int").alias("secrets")
+    )
+    return _on_snapshots(hashed, counts).select(
+        "surface_id", "ts", "content_hash", F.coalesce("secrets", F.lit(0)).alias("secrets")
     )
-    counted = count_known(hashed, ["surface_id", "ts", "content_hash"], "_hashes", registry)
-    return counted.withColumn("secrets", F.col("known").cast("int")).drop("known")
 
 
 def start_scoring(

@@ -58,8 +58,8 @@ def high_entropy_hits(spark, d):
 
 @query
 def entropy_tokens(spark, d):
-    tokens = X.line_tokens(X.long_runs(F.col("html"), 16), 16)
-    rows = T.table(spark, d, "pages").select(F.explode_outer(F.array_distinct(tokens)).alias("t"))
+    tokens = F.array_distinct(X.line_tokens("html", 16))
+    rows = T.table(spark, d, "pages").select(F.explode_outer(tokens).alias("t"))
     return (
         rows.filter(F.col("t").isNotNull())
         .distinct()
