@@ -25,6 +25,7 @@ from exposure.functions.text import (
     is_noise_sql,
     may_pass_sql,
     normalise_sql,
+    parse_json_sql,
 )
 from exposure.params import Gate
 
@@ -110,7 +111,7 @@ def json_pairs(text: str) -> str:
     )
     pairs = f"filter(transform({_all(text, _JSON_TOKEN)}, tok -> {pair}), p -> octet_length(p.value) > 0)"
     looks = S.raw(r"^[ \t\r\n]*+[{\[\"]")
-    valid = f"(CASE WHEN {text} rlike {looks} THEN try_parse_json({text}) END) IS NOT NULL"
+    valid = f"(CASE WHEN {text} rlike {looks} THEN {parse_json_sql(text)} END) IS NOT NULL"
     return f"CASE WHEN {valid} THEN {pairs} ELSE cast(array() AS array<struct<key:string,value:string>>) END"
 
 

@@ -121,6 +121,25 @@ def is_plausible_sql(c: str, gate: Gate = Gate()) -> str:
     )
 
 
+def parse_json_sql(c: str) -> str:
+    """The text as a variant, NULL unless it is exactly one JSON value.
+
+    The parser stops after the first value. Read as the first element of an array that ends in a
+    number made from the text itself, nothing can follow that value unseen.
+    """
+
+    def first(mark: str) -> str:
+        wrapped = S.let(
+            f"try_parse_json(concat('[', {c}, ',', {mark}, ']'))",
+            lambda w: f"if(try_variant_get({w}, '$[1]', 'bigint') = {mark}, "
+            f"try_variant_get({w}, '$[0]', 'variant'), NULL)",
+        )
+        return f"if({c} IS NULL, NULL, {wrapped})"
+
+    return S.let(f"xxhash64({c})", first)
+
+
+parse_json = S.column_function(parse_json_sql)
 normalise = S.column_function(normalise_sql)
 value_side = S.column_function(value_side_sql)
 entropy = S.column_function(entropy_sql)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exposure.functions.extract import candidate_hashes, high_entropy_hits
 from exposure.functions.globs import any_of, suspicious_format
 from exposure.functions.names import basename, masked_location
-from exposure.functions.text import entropy, let
+from exposure.functions.text import entropy, let, parse_json
 from exposure.operators.joins import keep_where
 from exposure.operators.known import count_known
 from exposure.params import GENERIC_MIN_HITS, MAX_FILE_BYTES, Gate
@@ -93,7 +93,7 @@ def vault_json(content: Column) -> Column:
         )
 
     looks = content.rlike(r"^[ \t\r\n]*+\{")
-    parsed = F.when(looks, F.try_parse_json(content))
+    parsed = F.when(looks, parse_json(content))
     return let(parsed, lambda v: F.when(v.isNotNull(), detect(v)).otherwise(_hits(F.lit(0), F.lit(False))))
 
 

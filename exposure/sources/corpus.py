@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StructType
 
 from exposure.schema import CORPUS
 
@@ -146,7 +145,7 @@ class CorpusSource(DataSource):
         return "corpus"
 
     def schema(self):
-        return StructType.fromDDL(CORPUS)
+        return CORPUS
 
     def reader(self, schema):
         return CorpusReader(self.options)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exposure.functions.globs import any_of
 from exposure.functions.names import logical_id
-from exposure.functions.text import sha256_hex
+from exposure.functions.text import parse_json, sha256_hex
 from exposure.operators.residue import json_items, json_text
 
 MIN_NOTE_BYTES = 9
@@ -15,8 +15,7 @@ MIN_NOTE_BYTES = 9
 
 def parse_items(items: Column) -> Column:
     """The items of a listing as variants; NULL unless it is an array of objects (or nulls)."""
-    v = F.try_parse_json(items)
-    elements = F.try_variant_get(v, "$", "array<variant>")
+    elements = F.try_variant_get(parse_json(items), "$", "array<variant>")
     odd = F.exists(
         elements,
         lambda i: ~(F.schema_of_variant(i).startswith("OBJECT") | (F.schema_of_variant(i) == "VOID")),
