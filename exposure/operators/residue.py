@@ -33,9 +33,7 @@ def is_text_file(size: Column, content: Column) -> Column:
     binary.
     """
     header = F.rpad(F.hex(F.substring(content, 1, HEADER_BYTES)), 2 * HEADER_BYTES, "0")
-    nuls = F.size(F.regexp_extract_all(header, F.lit("(?:[0-9A-F]{2})"), F.lit(0))) - F.size(
-        F.filter(F.regexp_extract_all(header, F.lit("(?:[0-9A-F]{2})"), F.lit(0)), lambda b: b != "00")
-    )
+    nuls = F.size(F.filter(F.regexp_extract_all(header, F.lit(".."), F.lit(0)), lambda b: b == "00"))
     magic = any_of(header.startswith(m) for m in BINARY_MAGIC)
     return size.between(1, MAX_FILE_BYTES) & ~magic & (nuls <= MAX_HEADER_NULS)
 
@@ -149,15 +147,18 @@ def detect_format(content: Column, name: Column) -> Column:
 
     def choose(score: Column) -> Column:
         generic = result(F.when(score >= GENERIC_MIN_HITS, FORMAT_GENERIC).otherwise(hinted), score)
-        by_json = let(
-            vault_json(content), lambda d: F.when(found(d), result(FORMAT_VAULT_JSON, d.hits)).otherwise(generic)
+
+        def or_else(fmt: str, detected: Column, other: Column) -> Column:
+            return let(detected, lambda d: F.when(found(d), result(fmt, d.hits)).otherwise(other))
+
+        by_csv = or_else(
+            FORMAT_VAULT_CSV, vault_csv(content, score),
+            or_else(FORMAT_DASHLANE, dashlane(content, score), generic),
         )
-        csv, dash, pif = vault_csv(content, score), dashlane(content, score), onepassword(content, score)
         return (
-            F.when(lower.endswith(".json"), by_json)
-            .when(lower.endswith(".csv") & found(csv), result(FORMAT_VAULT_CSV, csv.hits))
-            .when(lower.endswith(".csv") & found(dash), result(FORMAT_DASHLANE, dash.hits))
-            .when(lower.endswith(".1pif") & found(pif), result(FORMAT_1PIF, pif.hits))
+            F.when(lower.endswith(".json"), or_else(FORMAT_VAULT_JSON, vault_json(content), generic))
+            .when(lower.endswith(".csv"), by_csv)
+            .when(lower.endswith(".1pif"), or_else(FORMAT_1PIF, onepassword(content, score), generic))
             .otherwise(generic)
         )
 

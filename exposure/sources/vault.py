@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from exposure.functions.globs import any_of
 from exposure.functions.names import logical_id
-from exposure.functions.text import parse_json, sha256_hex
+from exposure.functions.text import let, parse_json, sha256_hex
 from exposure.operators.residue import json_items, json_text
 
 MIN_NOTE_BYTES = 9
@@ -15,23 +15,26 @@ MIN_NOTE_BYTES = 9
 
 def parse_items(items: Column) -> Column:
     """The items of a listing as variants; NULL unless it is an array of objects (or nulls)."""
-    elements = F.try_variant_get(parse_json(items), "$", "array<variant>")
-    odd = F.exists(
-        elements,
-        lambda i: ~(F.schema_of_variant(i).startswith("OBJECT") | (F.schema_of_variant(i) == "VOID")),
-    )
-    return F.when(elements.isNotNull() & ~F.coalesce(odd, F.lit(False)), elements)
+
+    def checked(elements: Column) -> Column:
+        odd = F.exists(
+            elements,
+            lambda i: let(F.schema_of_variant(i), lambda t: ~(t.startswith("OBJECT") | (t == "VOID"))),
+        )
+        return F.when(~odd, elements)
+
+    return let(F.try_variant_get(parse_json(items), "$", "array<variant>"), checked)
 
 
 def item_values(item: Column, ignore=()) -> Column:
     """Secret values of an item: login password, notes of more than 8 bytes, field values and a
     top-level password, without those that contain an ignored string."""
-    notes = json_text(item, "$.notes")
+    notes = let(json_text(item, "$.notes"), lambda n: F.when(F.octet_length(n) >= MIN_NOTE_BYTES, n))
     fields = F.transform(json_items(item, "$.fields"), lambda f: json_text(f, "$.value"))
     values = F.concat(
         F.array(
             json_text(item, "$.login.password"),
-            F.when(F.octet_length(notes) >= MIN_NOTE_BYTES, notes),
+            notes,
         ),
         fields,
         F.array(json_text(item, "$.password")),

@@ -12,7 +12,7 @@ from exposure.functions import globs, names, receipts, text
 from exposure.operators import history, known, policy, registry, residue
 from exposure.params import MonitorPolicy, PathPolicy, Surface
 from exposure.plans import rescan, residue_scan, status
-from exposure.sources import envfile, vault
+from exposure.sources import corpus, envfile, vault
 from exposure.streaming import monitor
 from queries import tables as T
 
@@ -227,6 +227,15 @@ def rescan_delta(spark, d):
 # --- sources ----------------------------------------------------------------------------------
 
 
+@query
+def corpus_scan(spark, d):
+    """The table files themselves, listed by the corpus source (contents left out)."""
+    T.prepare(spark)
+    spark.dataSource.register(corpus.CorpusSource)
+    files = spark.read.format("corpus").option("roots", d).option("maxBytes", "0").load()
+    return files.select(names.basename(F.col("path")).alias("name"), "size")
+
+
 @query
 def env_pairs(spark, d):
     pairs = envfile.env_pairs(T.texts(spark, d).withColumnRenamed("text", "content"), ["tab", "id"])
