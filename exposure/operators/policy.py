@@ -166,10 +166,14 @@ def mark_ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("ignored", F.coalesce(ignored, F.lit(False))).drop("rules")
 
 
-def history_targets(corpus: DataFrame, roots, extras=(), history_file: str | None = None) -> DataFrame:
-    """Files to scrub: history files directly in a root, and the ones named explicitly; sorted."""
-    p = F.col("path")
+def is_history_target(path: Column, roots, extras=(), history_file: str | None = None) -> Column:
+    """A history file directly in a root, or one named explicitly."""
     named = [x for x in (*extras, history_file) if x]
-    direct = dirname(p).isin([r.rstrip("/") or "/" for r in roots]) & is_history_file(basename(p))
-    wanted = direct | p.isin(named) if named else direct
-    return corpus.filter(wanted).dropDuplicates(["path"]).orderBy("path")
+    direct = dirname(path).isin([r.rstrip("/") or "/" for r in roots]) & is_history_file(basename(path))
+    return direct | path.isin(named) if named else direct
+
+
+def history_targets(corpus: DataFrame, roots, extras=(), history_file: str | None = None) -> DataFrame:
+    """``path`` of the files to scrub, distinct and sorted; contents are not touched."""
+    wanted = is_history_target(F.col("path"), roots, extras, history_file)
+    return corpus.filter(wanted).select("path").distinct().orderBy("path")

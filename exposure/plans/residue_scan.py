@@ -89,7 +89,10 @@ def scanned_directories(corpus: DataFrame, policy: PathPolicy, rules: DataFrame
 
 
 def summary(found: DataFrame, files: DataFrame, directories: DataFrame) -> DataFrame:
-    """One row: findings, files examined, directories scanned, first three locations."""
+    """One row: findings, files examined, directories scanned, first three locations.
+
+    Reads ``found`` twice; pass the stored findings rather than the plan that computes them.
+    """
     none = F.lit(None).cast("long")
 
     def column(df: DataFrame, name: str) -> DataFrame:

@@ -20,8 +20,12 @@ def scrub(
     full: bool = False,
     gate: Gate = Gate(),
 ) -> DataFrame:
-    """Scrub the history files of a corpus; see ``history.scrub_files`` for the columns."""
-    targets = policy.history_targets(corpus, roots, extras, history_file)
+    """Scrub the history files of a corpus; see ``history.scrub_files`` for the columns.
+
+    The targets are a filter on the path, so contents are read for these files only and stay
+    where they are.
+    """
+    targets = corpus.filter(policy.is_history_target(F.col("path"), roots, extras, history_file))
     files = targets.select(F.col("path").alias("file_id"), F.col("content").cast("string").alias("content"))
     regfp = registry.fingerprint(pairs).scalar()
     return history.scrub_files(files, registry.hashes(pairs), regfp, mode, placeholder, full, gate)

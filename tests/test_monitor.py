@@ -17,6 +17,13 @@ def sha(s):
     return hashlib.sha256(s.encode()).hexdigest()
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 @pytest.fixture
 def registry(spark):
     return spark.createDataFrame([(sha(SECRET),)], "hash string")
