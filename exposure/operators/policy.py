@@ -16,8 +16,10 @@ from exposure.functions.globs import (
 )
 from exposure.functions.names import basename, dirname
 from exposure.functions.text import trim_space
+from exposure.operators.joins import join_by_hash
 from exposure.params import PathPolicy, Surface
 
+PREFIX_SALTS = 64
 BROAD_PATTERNS = ("", "*", "**", "**/*")
 CLAIMED_REASON = "claimed by a root"
 OUTSIDE_REASON = "outside every surface"
@@ -88,10 +90,11 @@ def path_prefixes(path: Column) -> Column:
 def join_on_prefix(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     """Each path with every row of a root table whose ``root`` is one of its ancestors.
 
-    An equi join on the ancestors replaces comparing every path with every root.
+    An equi join on the ancestors replaces comparing every path with every root. High ancestors
+    are shared by nearly all paths, hence the wide spread.
     """
     exploded = paths.withColumn("root", F.explode(path_prefixes(F.col(path))))
-    return exploded.join(roots, "root")
+    return join_by_hash(exploded, roots, [path], "inner", key="root", salts=PREFIX_SALTS)
 
 
 def claimed_by_table(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
@@ -161,7 +164,7 @@ def is_ignored(rules: Column, rel: Column, is_dir: Column) -> Column:
 
 def mark_ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``ignored`` to ``root, rel, is_dir, ...``; rules are per root (``root, rules``)."""
-    joined = paths.join(rules, "root", "left")
+    joined = join_by_hash(paths, rules, ["rel"], "left", key="root")
     ignored = F.when(F.col("rules").isNotNull(), is_ignored(F.col("rules"), F.col("rel"), F.col("is_dir")))
     return joined.withColumn("ignored", F.coalesce(ignored, F.lit(False))).drop("rules")
 

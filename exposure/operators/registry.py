@@ -70,8 +70,9 @@ def approximate_size(pairs: DataFrame, rsd: float = 0.01) -> DataFrame:
 
 
 def with_display_names(pairs: DataFrame, project_meta: DataFrame) -> DataFrame:
-    """Add ``display_name``, falling back to a short form of the id."""
-    named = pairs.join(project_meta.select("project_id", "display_name"), "project_id", "left")
+    """Add ``display_name``, falling back to a short form of the id. Large projects are spread."""
+    meta = project_meta.select("project_id", "display_name")
+    named = join_by_hash(pairs, meta, ["hash"], "left", key="project_id")
     name = F.coalesce(F.nullif(F.col("display_name"), F.lit("")), fallback_name(F.col("project_id")))
     return named.withColumn("display_name", name)
 
