@@ -6,7 +6,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-IN_TASKS: tuple[str, ...] = ()
+IN_TASKS: tuple[str, ...] = ("blocks", "hyperminhash")
 
 
 def travel_with_jobs() -> None:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import lines
+from exposure.llm import hyperminhash, lines
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_quality(documents(spark, sf_dir, "doc_id", "text", "source"))
 
 
-QUERIES = {"op1_line_frequency": op1_line_frequency}
+def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("fingerprint")
+
+
+QUERIES = {"op1_line_frequency": op1_line_frequency, "op6_hyperminhash": op6_hyperminhash}
 
 ORACLES: dict[str, str] = {}
