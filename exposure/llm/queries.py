@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import hyperminhash, lines
+from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -20,6 +21,32 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("fingerprint")
 
 
-QUERIES = {"op1_line_frequency": op1_line_frequency, "op6_hyperminhash": op6_hyperminhash}
+def op5_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
+def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicate(documents(spark, sf_dir))
+
+
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytecnn.quality(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_line_frequency,
+        op5_bin_slack,
+        op6_hyperminhash,
+        op7_compression,
+        op9_poisson_mix,
+        op10_byte_cnn,
+    )
+}
 
 ORACLES: dict[str, str] = {}
