@@ -1,6 +1,6 @@
 """Language identification by compression.
 
-For each language a raw-content zstandard dictionary is made of learning texts; a text is encoded with each and the
+Texts are read in lower case with everything but letters as blanks. For each language a raw-content zstandard dictionary is made of learning texts; a text is encoded with each and the
 smallest result names the language. Ties go to the language with more learning rows, then by name. The posterior of the code lengths (a
 byte is eight bits) is the score. A text is *rejected*, its language still being the best guess, where the runner-up is less than
 ``margin_bytes`` or ``margin_share`` larger.
@@ -27,9 +27,14 @@ from exposure.llm.blocks import utf8
 
 LEVEL = 3
 LETTER = re.compile(r"[^\W\d_]")
+OTHERS = re.compile(r"[\W\d_]+")
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean"
 
 
+def letters(text: str) -> bytes:
+    return OTHERS.sub(" ", text.lower()).encode()
+
+
 def remainder(by: int) -> Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % by
 
@@ -48,7 +53,7 @@ def dictionaries(
     sample = picked.select("lang", spot.alias("_at"), F.substring("text", 1, sample_chars).alias("text")).collect()
     content: dict[str, bytes] = dict.fromkeys(counts, b"")
     for r in sorted(sample, key=lambda r: (r["_at"], r["text"]), reverse=True):
-        content[r["lang"]] = (content[r["lang"]] + b"\n" + r["text"].encode())[-dictionary_bytes:]
+        content[r["lang"]] = (content[r["lang"]] + b" " + letters(r["text"]))[-dictionary_bytes:]
     return [(lang, content[lang]) for lang in sorted(counts, key=lambda x: (-counts[x], x))]
 
 
@@ -67,10 +72,11 @@ def predict(docs: DataFrame, known: list[tuple[str, bytes]], held_out: Column, m
             data, at = utf8(batch.column(1))
             data, at, out = data.tobytes(), at.tolist(), []
             for lo, hi in zip(at[:-1], at[1:]):
-                text = data[lo:hi]
-                if not coders or not LETTER.search(text.decode("utf-8", "replace")):
+                text = data[lo:hi].decode("utf-8", "replace")
+                if not coders or not LETTER.search(text):
                     out.append(("und", 0.0, True))
                     continue
+                text = letters(text)
                 sizes = np.array([len(c.compress(text)) for c in coders])
                 best = int(sizes.argmin())
                 over = sizes - sizes[best]

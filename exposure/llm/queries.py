@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing
+from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, webp
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -21,6 +21,15 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("fingerprint")
 
 
+def op3_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return pii.tag(docs, pii.learned(docs))
+
+
+def op4_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.read_back(webp.stored(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op5_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -41,6 +50,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_frequency,
+        op3_skip_chain,
+        op4_lossless_webp,
         op5_bin_slack,
         op6_hyperminhash,
         op7_compression,
