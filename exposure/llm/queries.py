@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, webp
+from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, suffixes, webp
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op7_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op8_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op9_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.replicate(documents(spark, sf_dir))
 
@@ -55,6 +59,7 @@ QUERIES = {
         op5_bin_slack,
         op6_hyperminhash,
         op7_compression,
+        op8_suffixes,
         op9_poisson_mix,
         op10_byte_cnn,
     )

@@ -46,3 +46,21 @@ def near_components(rows: list[tuple[int, str | None]], percent: int = 85) -> li
     for i, (d, _) in enumerate(rows):
         least[root(i)] = min(least.get(root(i), d), d)
     return [least[root(i)] for i in range(len(rows))]
+
+
+def repeated_bytes(texts: list[str | None], length: int = 200) -> list[tuple[int, int, bytes]]:
+    """Removed bytes, maximal removed runs and what is kept, for each text."""
+    data = [(t or "").encode() for t in texts]
+    count: dict = {}
+    for d in data:
+        for i in range(len(d) - length + 1):
+            count[d[i : i + length]] = count.get(d[i : i + length], 0) + 1
+    out = []
+    for d in data:
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        runs = sum(1 for i in range(len(d)) if gone[i] and not (i and gone[i - 1]))
+        out.append((sum(gone), runs, bytes(b for b, g in zip(d, gone) if not g)))
+    return out
