@@ -6,7 +6,7 @@ import importlib
 
 from pyspark import cloudpickle
 
-IN_TASKS: tuple[str, ...] = ("blocks", "bytecnn", "hyperminhash", "langid", "packing", "pii", "suffixes", "webp")
+IN_TASKS: tuple[str, ...] = ("blocks", "bytecnn", "hyperminhash", "langid", "packing", "pii", "pitmanyor", "suffixes", "webp")
 
 
 def travel_with_jobs() -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, suffixes, webp
+from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, pitmanyor, suffixes, webp
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("fingerprint")
 
 
+def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitmanyor.score_texts(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return pii.tag(docs, pii.learned(docs))
@@ -54,6 +58,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_line_frequency,
+        op2_pitman_yor,
         op3_skip_chain,
         op4_lossless_webp,
         op5_bin_slack,
