@@ -1,6 +1,6 @@
 """Near duplicates by HyperMinHash registers, banding and exact verification.
 
-A text is the set of 64-bit hashes of its 3-word shingles (fewer words: the whole sequence is one; none: empty, linked with
+A text is the set of 64-bit hashes of its shingles of ``width`` words, 3 by default (fewer words: the whole sequence is one; none: empty, linked with
 nothing). Of each of ``REGISTERS`` hash functions the least value is kept as a 16-bit register: the count of leading
 zeros (6 bits) and the 10 bits behind the first one. Bands of ``ROWS`` registers find candidates: at similarity 0.85 a
 pair shares no band with a probability of 2e-8. The share of equal registers, less the collisions that sets of these
@@ -34,24 +34,23 @@ REGISTERS = 96
 ROWS = 4
 MANTISSA = 10
 BLOCK = 256
-SKETCH = "doc_id long, n_shingles long, fingerprint binary, registers binary"
+SKETCH = "doc_id long, row long, n_shingles long, fingerprint binary, registers binary"
 
 
-def shingle_sets(column: pa.Array, words: Words) -> Iterator[np.ndarray]:
+def shingle_sets(column: pa.Array, words: Words, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, at = utf8(column)
-    a, b, c = (np.uint64(x) for x in (0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+    factor = mix(np.arange(1, width + 1, dtype=np.uint64)) | np.uint64(1)
     for run in words.runs(data, at):
         h = run.hash
-        three = mix(h[:-2] * a + h[1:-1] * b + h[2:] * c) if len(h) > 2 else h[:0]
+        full = max(len(h) - width + 1, 0)
+        shingles = mix(sum(h[k : k + full] * factor[k] for k in range(width)))
         bounds = np.searchsorted(run.doc, np.arange(run.count + 1))
         for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if hi - lo > 2:
-                yield np.unique(three[lo : hi - 2])
-            elif hi > lo:
-                yield mix(h[lo : lo + 1] * a + (h[hi - 1 : hi] * b if hi - lo == 2 else np.uint64(0)))
+            if hi - lo >= width:
+                yield np.unique(shingles[lo : hi - width + 1])
             else:
-                yield h[:0]
+                yield mix((h[lo:hi] * factor[: hi - lo]).sum(keepdims=True, dtype=np.uint64)) if hi > lo else h[:0]
 
 
 def multipliers() -> np.ndarray:
@@ -103,30 +102,30 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fingerprint and registers of each row."""
+def sketches(docs: DataFrame, width: int = 3) -> DataFrame:
+    """doc_id, row (hash of doc_id and text), n_shingles, fingerprint and registers of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, by = Words(), multipliers()
         for batch in batches:
             sizes, prints, regs = [], [], []
-            for s in shingle_sets(batch.column(1), words):
+            for s in shingle_sets(batch.column(2), words, width):
                 sizes.append(len(s))
                 prints.append(fingerprint(s))
                 regs.append(registers(s, by).tobytes() if len(s) else b"")
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "fingerprint", "registers"])
+            arrays = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(regs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n_shingles", "fingerprint", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SKETCH)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row"), "text").mapInArrow(run, SKETCH)
 
 
-def full_sets(docs: DataFrame) -> DataFrame:
+def full_sets(docs: DataFrame, width: int) -> DataFrame:
     """fingerprint and the sorted shingle hashes (binary) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
-            sets = list(shingle_sets(batch.column(0), words))
+            sets = list(shingle_sets(batch.column(0), words, width))
             arrays = [pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["fingerprint", "shingles"])
 
@@ -168,11 +167,11 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a binary, b binary")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """Full sets of the wanted classes (fingerprint, doc_id of a row of the class)."""
     rows = wanted.select(F.col("doc_id").alias("_id"), F.col("fingerprint").alias("_fp"))
     texts = docs.select("doc_id", "text").join(rows.select("_id").distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    found = full_sets(texts).groupBy("fingerprint").agg(F.first("shingles").alias("shingles"))
+    found = full_sets(texts, width).groupBy("fingerprint").agg(F.first("shingles").alias("shingles"))
     return found.join(rows, F.col("fingerprint") == F.col("_fp"), "left_semi")
 
 
@@ -212,16 +211,16 @@ def block_edges(names: list[bytes], labels: list[bytes], sets: list[np.ndarray],
     return edges
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept and fingerprint (of the shingle set) of each row of ``docs (doc_id, text)``."""
-    rows = saved(sketches(docs))
+def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, row and label (the component) of each row of ``docs (doc_id, text)``."""
+    rows = saved(sketches(docs, width))
     classes = saved(
         rows.where("n_shingles > 0")
         .groupBy("fingerprint")
         .agg(F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"), F.min("doc_id").alias("doc_id"))
     )
-    width = 2 * ROWS
-    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.col("registers").substr(i * width + 1, F.lit(width)))
+    band_bytes = 2 * ROWS
+    bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.col("registers").substr(i * band_bytes + 1, F.lit(band_bytes)))
     buckets = classes.select("fingerprint", F.posexplode(bands).alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
     buckets = saved(buckets.join(shared, ["band", "key"]))
@@ -232,9 +231,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = saved(likely(stars, classes, percent))
     in_play = buckets.select("fingerprint").distinct().join(classes.select("fingerprint", "doc_id"), "fingerprint")
     in_play = in_play.join(pairs.select(F.col("a").alias("fingerprint")).union(pairs.select("b")).distinct(), "fingerprint", "left_semi")
-    sets = saved(sets_of(docs, in_play))
+    sets = saved(sets_of(docs, in_play, width))
     edges = saved(confirmed(pairs, sets, percent))
-    edges = edges.union(_rest(edges, buckets, classes, docs, sets, percent))
+    edges = edges.union(_rest(edges, buckets, classes, docs, sets, percent, width))
     labels = components(edges).withColumnsRenamed({"node": "fingerprint"})
     return _named(rows, labels, classes)
 
@@ -242,13 +241,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def _named(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
     least = classes.join(labels, "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     ids = least.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    by_class = least.select("fingerprint", "label").join(ids, "label").select("fingerprint", "component_id")
+    by_class = least.select("fingerprint", "label").join(ids, "label").select("fingerprint", "component_id", "label")
     out = rows.join(by_class, "fingerprint", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "fingerprint")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"), "row", "label")
 
 
-def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """Edges between components that still meet in a bucket."""
     labels = components(edges).withColumnRenamed("node", "fingerprint")
     held = buckets.select("band", "key", "fingerprint").join(labels, "fingerprint", "left")
@@ -284,7 +283,7 @@ def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFr
     undecided = saved(narrow.groupBy(*place).applyInArrow(open_members, schema))
     known = sets.select("fingerprint").distinct()
     missing = undecided.select("fingerprint").distinct().join(known, "fingerprint", "left_anti").join(classes.select("fingerprint", "doc_id"), "fingerprint")
-    sets = sets.union(sets_of(docs, missing))
+    sets = sets.union(sets_of(docs, missing, width))
 
     def merges(t: pa.Table) -> pa.Table:
         found = block_edges(t.column("fingerprint").to_pylist(), t.column("label").to_pylist(), _numbers(t.column("shingles"), np.uint64), percent)
@@ -294,9 +293,10 @@ def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFr
     return saved(whole.groupBy(*place).applyInArrow(merges, "a binary, b binary"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that stay: one for each component, all rows without words, repeats of a row once."""
-    key = F.xxhash64("doc_id", "text")
-    stay = near_duplicates(docs.select("doc_id", "text"), percent).where("kept").select("doc_id").distinct()
-    stay = stay.withColumnRenamed("doc_id", "_id")
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").withColumn("_key", key).dropDuplicates(["doc_id", "_key"]).drop("_key")
+def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the one of smallest doc_id, and all rows without words, repeats of a row once."""
+    found = near_duplicates(docs.select("doc_id", "text"), percent, width)
+    chosen = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    stay = chosen.select("row").union(found.where("n_shingles = 0").select("row")).distinct()
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
+    return keyed.join(stay.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)

@@ -7,6 +7,9 @@ sampled by Gibbs: a customer leaves its table and sits down anew, table sizes be
 1 to ``SIZES - 1`` customers, larger tables together. Dishes of many customers are first seated in growing parties. The
 predictive probability is averaged over the samples.
 
+``score`` is over the known tokens and one event for any other word, which is what a new table serves if its spelling is of no
+known token; these probabilities add up to 1. ``open_score`` spells such words out, over all strings.
+
 What grows with the corpus is never gathered: words are dealt by hash into buckets; texts are worked on in blocks, and a
 block asks each bucket for its own different words and gets their counts and probabilities back. The driver holds the
 spelling counts (at most 257**3, whatever the corpus) and a few sums.
@@ -35,7 +38,7 @@ SYMBOLS = 257
 SIZES = 16
 PARTY = 24
 SWEEPS, BURN, MOVES = 6, 3, 2
-OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, open_score double"
 
 
 def squeeze(**arrays) -> bytes:
@@ -314,9 +317,11 @@ def seat_words(vocab: DataFrame, spelling: Spelling, cut: float, strength: float
                 spelled = spelling.of(keys, word, len(held["hash"]))
                 found = word_tables(held["count"], spelled, cut, strength, tables, bucket)
                 out = squeeze(hash=held["hash"], count=held["count"], tables=found.astype(np.int32), spelled=spelled)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket]), pa.array([out], pa.binary()), pa.array([found.sum(axis=1).tolist()], pa.list_(pa.int64()))], ["bucket", "packed", "tables"])
+                sums = [[{"tables": int(n), "spelled": float(p)} for n, p in zip(found.sum(axis=1), spelled.sum(axis=1))]]
+                arrays = [pa.array([bucket]), pa.array([out], pa.binary()), pa.array(sums, pa.list_(pa.struct({"tables": pa.int64(), "spelled": pa.float64()}.items())))]
+                yield pa.RecordBatch.from_arrays(arrays, ["bucket", "packed", "sums"])
 
-    return vocab.select("bucket", "packed").mapInArrow(run, "bucket long, packed binary, tables array<long>")
+    return vocab.select("bucket", "packed").mapInArrow(run, "bucket long, packed binary, sums array<struct<tables: long, spelled: double>>")
 
 
 def word_tables(count: np.ndarray, spelled: np.ndarray, cut: float, strength: float, tables: int, seed: int) -> np.ndarray:
@@ -341,8 +346,10 @@ def predictive(count, tables: np.ndarray, spelled: np.ndarray, all_tables: np.nd
     return (own + spread[:, None] * spelled).mean(axis=0)
 
 
-def replies(asked: DataFrame, seated: DataFrame, spelling: Spelling, all_tables: np.ndarray, tokens: int, cut: float, strength: float) -> DataFrame:
-    """For each request the counts and log10 probabilities of its words, in its order."""
+def replies(
+    asked: DataFrame, seated: DataFrame, spelling: Spelling, all_tables: np.ndarray, tokens: int, cut: float, strength: float, other: float
+) -> DataFrame:
+    """For each request the counts and log10 probabilities of its words, in its order; ``more`` is what spelling out an unknown word adds."""
 
     def run(wanted: pa.Table, bucket: pa.Table) -> pa.Table:
         words = Words()
@@ -354,13 +361,13 @@ def replies(asked: DataFrame, seated: DataFrame, spelling: Spelling, all_tables:
             h, start, end = tokens_of(words, text)
             at = np.minimum(np.searchsorted(held["hash"], h), max(len(held["hash"]) - 1, 0))
             seen = held["hash"][at] == h if len(known) else np.zeros(len(h), bool)
-            count, score = np.zeros(len(h), np.int64), np.zeros(len(h), np.float32)
+            count, score, more = np.zeros(len(h), np.int64), np.full(len(h), other, np.float32), np.zeros(len(h), np.float32)
             if len(known):
                 count[seen], score[seen] = held["count"][at[seen]], known[at[seen]]
             keys, word = byte_keys(gathered(text, start[~seen], end[~seen]))
             fresh = spelling.of(keys, word, int((~seen).sum()))
-            score[~seen] = np.log10(predictive(0, np.zeros((len(fresh), 1)), fresh, all_tables, tokens, cut, strength))
-            out.append(squeeze(count=count, score=score))
+            more[~seen] = np.log10(predictive(0, np.zeros((len(fresh), 1)), fresh, all_tables, tokens, cut, strength)) - other
+            out.append(squeeze(count=count, score=score, more=more))
         return pa.table({"block": wanted.column("block"), "bucket": wanted.column("bucket"), "packed": pa.array(out, pa.binary())})
 
     left = asked.where("bucket >= 0").groupBy("bucket")
@@ -373,11 +380,11 @@ def summed(asked: DataFrame, answered: DataFrame, end: tuple[int, float], tokens
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
         mine = expand(own.column("packed")[0].as_py())
         n = int(mine["bounds"][-1])
-        count, score = np.zeros(n, np.int64), np.zeros(n)
+        count, score, more = np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
         for b, packed in zip(got.column("bucket").to_pylist(), got.column("packed").to_pylist()):
             part = slice(mine["bounds"][b], mine["bounds"][b + 1])
             reply = expand(packed)
-            count[part], score[part] = reply["count"], reply["score"]
+            count[part], score[part], more[part] = reply["count"], reply["score"], reply["more"]
         size, token = mine["size"], mine["token"]
         doc = np.repeat(np.arange(len(size)), size)
         share = np.log10(count + 1.0) - np.log10(tokens + types + 1.0)
@@ -390,6 +397,7 @@ def summed(asked: DataFrame, answered: DataFrame, end: tuple[int, float], tokens
             "train_tokens": np.full(len(size), tokens),
             "base_score": total(share) + np.log10((end[0] + 1) / (tokens + types + 1)),
             "score": total(score) + end[1],
+            "open_score": total(score) + total(more) + end[1],
         }
         return pa.table(table)
 
@@ -414,12 +422,15 @@ def score_texts(docs: DataFrame, held_every: int = 7, held_remainder: int = 2, s
     spelling = Spelling(keys, counts, strength)
     cut = discount_of(sums["ones"], sums["twos"])
     seated = saved(seat_words(vocab, spelling, cut, strength, types))
-    by_word = seated.select(F.posexplode("tables")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    by_word = seated.select(F.posexplode("sums")).groupBy("pos").agg(F.sum("col.tables").alias("n"), F.sum("col.spelled").alias("p")).collect()
     end_spelled = spelling.of(np.array([EMPTY_WORD]), np.array([0]), 1)
     end_tables = word_tables(np.array([ends]), end_spelled, cut, strength, types, -1 % (1 << 32))
-    all_tables = end_tables[:, 0].astype(float)
+    all_tables, known = end_tables[:, 0].astype(float), end_spelled[:, 0] * (ends > 0)
     for r in by_word:
         all_tables[r["pos"]] += r["n"]
+        known[r["pos"]] += r["p"]
+    unknown = np.maximum(1 - known, 1e-12)[:, None]
+    other = float(np.log10(predictive(0, np.zeros((len(known), 1)), unknown, all_tables, tokens, cut, strength))[0])
     end_score = float(np.log10(predictive(ends, end_tables, end_spelled, all_tables, tokens, cut, strength))[0])
-    answered = replies(asked, seated, spelling, all_tables, tokens, cut, strength)
+    answered = replies(asked, seated, spelling, all_tables, tokens, cut, strength, other)
     return summed(asked, answered, (ends, end_score), tokens, types)

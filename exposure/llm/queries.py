@@ -18,7 +18,7 @@ def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("fingerprint")
+    return hyperminhash.near_duplicates(documents(spark, sf_dir, "doc_id", "text")).drop("row", "label")
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
