@@ -31,7 +31,8 @@ from exposure.llm.scratch import saved
 LENGTH, GRAM, SHALLOW = 200, 32, 8
 SPAN = 1 << 19
 INDEX = np.uint64((1 << 20) - 1)
-BUCKET = 60_000
+BUCKET = 16_000
+ROWS = 1_500
 DOCS = "doc_id long, n_bytes long, class long, sha256 string"
 
 
@@ -147,7 +148,7 @@ def bundles(rows: DataFrame, buckets: int, hot_buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             near: list[list] = [[] for _ in range(7)]
             far: list[list] = [[] for _ in range(3)]
             for name, packed, places in zip(*(batch.column(c).to_pylist() for c in ("class", "packed", "places"))):
