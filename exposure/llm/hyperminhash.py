@@ -298,5 +298,5 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame
     found = near_duplicates(docs.select("doc_id", "text"), percent, width)
     chosen = found.where("n_shingles > 0").groupBy("label").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
     stay = chosen.select("row").union(found.where("n_shingles = 0").select("row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", "text"))
-    return keyed.join(stay.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("_all"), F.xxhash64("doc_id", "text").alias("_row"))
+    return keyed.join(stay.withColumnRenamed("row", "_row"), "_row", "left_semi").dropDuplicates(["_row"]).select("_all.*")

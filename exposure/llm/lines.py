@@ -119,7 +119,7 @@ def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> Dat
         "_text",
         "doc_id",
         F.xxhash64("_host").alias("_host"),
-        F.xxhash64("_host", "_l").alias("_line"),
+        F.xxhash64(F.xxhash64("_host"), F.col("_l")).alias("_line"),
         (F.length("_l") - F.length(F.translate("_l", " ", "")) + 1).cast("long").alias("_n"),
     )
 
@@ -145,6 +145,7 @@ def line_quality(
     docs: DataFrame, min_documents: int = 10, share: float = 0.01, depleted: float = 0.8, text: str = "text", host: str = "source"
 ) -> DataFrame:
     """doc_id, the base counts, n_removed_words and kept, one row for each row of the input."""
+    docs = docs.select("doc_id", text, host)
     base = base_counts(docs.withColumns({"_row": _row_key(text, host), "_one": F.lit(1)}), text).drop(text)
     lost = removed_lines(docs, min_documents, share, text, host).groupBy("_row").agg(F.sum("_n").alias("_lost"))
     copies = (
@@ -171,16 +172,15 @@ def clean_documents(
     """The kept rows, with their common lines taken out of the text; other columns as they are.
 
     Only rows that lose lines meet their lines in a join; the others pass by."""
-    columns = docs.columns
-    marked = base_counts(docs, text).where(~F.col("base_failed")).withColumn("_row", _row_key(text, host))
-    marked = marked.select(*columns, "_row", "n_words")
+    packed = docs.select(F.struct(*docs.columns).alias("_all"), "doc_id", text, host, _row_key(text, host).alias("_row"))
+    marked = base_counts(packed, text).where(~F.col("base_failed"))
     lost = removed_lines(docs, min_documents, share, text, host).groupBy("_row").agg(F.collect_set("_line").alias("_gone"))
-    joined = marked.join(lost, "_row", "left")
+    joined = marked.select("_all", text, host, "n_words", "_row").join(lost, "_row", "left")
     pairs = F.arrays_zip(F.split(F.col(text), "\n").alias("raw"), normal_lines(F.col(text)).alias("flat"))
-    host_of = F.col(host)
-    stays = F.filter(pairs, lambda p: (p["flat"] == "") | ~F.array_contains("_gone", F.xxhash64(host_of, p["flat"])))
+    line = lambda p: F.xxhash64(F.xxhash64(F.col(host)), p["flat"])
+    stays = F.filter(pairs, lambda p: (p["flat"] == "") | ~F.array_contains("_gone", line(p)))
     left = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stays, lambda p: p["raw"]), "\n"))
     cleaned = joined.withColumn("_left", left)
     words_left = F.when(F.col("_gone").isNull(), F.col("n_words")).otherwise(F.size(words(F.col("_left"))))
     kept = cleaned.where(F.col("n_words") - words_left <= depleted * F.col("n_words"))
-    return kept.select(*[F.col("_left").alias(c) if c == text else F.col(c) for c in columns])
+    return kept.select(*[F.col("_left").alias(c) if c == text else F.col("_all")[c].alias(c) for c in docs.columns])

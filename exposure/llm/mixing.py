@@ -21,9 +21,9 @@ from exposure.llm.scratch import saved
 BROADCAST_ROWS = 10_000
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from 48 bits of the MD5 of the parts."""
-    digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
+def uniform(key: Column) -> Column:
+    """A number in [0, 1) from 48 bits of the MD5 of the key."""
+    digest = F.md5(key.cast("binary"))
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
@@ -62,14 +62,15 @@ def repetition_rates(docs: DataFrame, weights: dict[str, float] | None = None, s
     return weighed.select("_source", rate.alias("_rate"))
 
 
-def replicate(docs: DataFrame, weights: dict[str, float] | None = None, scale: float = 1.0, seed: int = 42) -> DataFrame:
-    """The rows, each as often as drawn, with ``copy`` (from 0), in global random order."""
-    columns = docs.columns
-    key = [F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))]
+def replicate(docs: DataFrame, weights: dict[str, float] | None = None, scale: float = 1.0, seed: int = 42, number: str | None = "copy") -> DataFrame:
+    """The rows, each as often as drawn, in global random order; ``number`` names a column for the number of the copy, from 0."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+    packed = docs.select(F.struct(*docs.columns).alias("_all"), F.col("source").alias("_of"), key.alias("_key"))
     rates = saved(repetition_rates(docs, weights, scale))
     if rates.count() <= BROADCAST_ROWS:
         rates = F.broadcast(rates)
-    rated = docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
-    counted = rated.withColumn("_count", poisson_count(uniform(*key), F.col("_rate"))).where("_count > 0")
-    copies = counted.select(*columns, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("copy"))
-    return copies.orderBy(F.md5(F.concat_ws("|", *key, F.col("copy").cast("string")).cast("binary")), "copy")
+    rated = packed.join(rates, F.col("_of").eqNullSafe(F.col("_source")))
+    counted = rated.withColumn("_count", poisson_count(uniform(F.col("_key")), F.col("_rate"))).where("_count > 0")
+    copies = counted.select("_all", F.md5(F.col("_key").cast("binary")).alias("_key"), F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_copy"))
+    mixed = copies.orderBy(F.md5(F.concat_ws("|", "_key", F.col("_copy").cast("string")).cast("binary")), "_copy")
+    return mixed.select("_all.*", *([F.col("_copy").alias(number)] if number else []))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, pitmanyor, suffixes, webp
+from exposure.llm.oracles import ORACLES  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -70,4 +71,4 @@ QUERIES = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+
