@@ -14,8 +14,6 @@ from exposure.functions.names import fallback_name
 from exposure.operators.joins import join_by_hash
 
 HEX64 = "^[0-9a-fA-F]{64}$"
-# Most hashes the flat fingerprint gathers (64 bytes each); the bucketed one has no limit.
-FLAT_FINGERPRINT_MAX = 2_000_000
 BUCKET_DIGITS = 3
 
 
@@ -92,16 +90,19 @@ def projects_of(wanted: DataFrame, pairs: DataFrame) -> DataFrame:
 def check_hex(asked: DataFrame, pairs: DataFrame, column: str = "hash_hex") -> DataFrame:
     """Add ``known``; anything but 64 hex digits is unknown.
 
-    Repeats of a hash are looked up once: the distinct valid ones meet the registry first.
+    Repeats of a row are counted before anything moves, looked up once and repeated again after the
+    lookup, so a hash asked for a million times is one row in the join.
     """
+    columns = asked.columns
+    asked = asked.groupBy(*columns).agg(F.count(F.lit(1)).alias("_repeats"))
     valid = F.when(F.col(column).rlike(HEX64), F.lower(F.col(column)))
     distinct = asked.select(valid.alias("hash")).filter(F.col("hash").isNotNull()).distinct()
     hits = distinct.join(pairs.select("hash"), "hash", "left_semi").withColumn("_hit", F.lit(True))
     keyed = asked.withColumn("hash", valid)
     return (
-        join_by_hash(keyed, hits, asked.columns)
-        .withColumn("known", F.coalesce(F.col("_hit"), F.lit(False)))
-        .drop("hash", "_hit")
+        join_by_hash(keyed, hits, columns)
+        .withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
+        .select(*columns, F.coalesce(F.col("_hit"), F.lit(False)).alias("known"))
     )
 
 
@@ -138,19 +139,7 @@ def fingerprint(pairs: DataFrame) -> DataFrame:
     return _combine(buckets, F.concat("bucket", "fp"))
 
 
-def flat_fingerprint(pairs: DataFrame) -> DataFrame:
-    """One row ``regfp``: the first 16 digits of SHA-256 over all sorted hashes joined.
-
-    Compatible with receipts that were written with this definition. It needs every hash in one
-    place, so it refuses registries above ``FLAT_FINGERPRINT_MAX`` hashes; use ``fingerprint``.
-    """
-    return _combine(hashes(pairs).limit(FLAT_FINGERPRINT_MAX + 1), F.col("hash"), FLAT_FINGERPRINT_MAX)
-
-
-def _combine(df: DataFrame, part, most: int | None = None) -> DataFrame:
+def _combine(df: DataFrame, part) -> DataFrame:
     joined = F.array_join(F.array_sort(F.collect_list(part)), "")
-    n = F.count(F.lit(1))
-    value = F.when(n == 0, "0")
-    if most is not None:
-        value = value.when(n > most, F.raise_error("registry too large for the flat fingerprint"))
-    return df.agg(value.otherwise(F.left(F.sha2(joined, 256), F.lit(16))).alias("regfp"))
+    value = F.when(F.count(F.lit(1)) == 0, "0").otherwise(F.left(F.sha2(joined, 256), F.lit(16)))
+    return df.agg(value.alias("regfp"))

@@ -7,17 +7,18 @@ from pyspark.sql import functions as F
 
 from exposure.functions.extract import candidate_hashes, high_entropy_hits
 from exposure.functions.globs import any_of, suspicious_format
-from exposure.functions.names import basename, masked_location
+from exposure.functions.names import basename, masked_location, opaque_id
 from exposure.functions.text import entropy, let, parse_json
 from exposure.operators.joins import keep_where
 from exposure.operators.known import count_known
-from exposure.params import GENERIC_MIN_HITS, MAX_FILE_BYTES, Gate
+from exposure.params import GENERIC_MIN_HITS, Gate
 
 # Leading bytes (hex) of files that are not text.
 BINARY_MAGIC = ("00", "89504E47", "FFD8", "504B", "53514C697465")
 HEADER_BYTES = 16
 MAX_HEADER_NULS = 2
 
+# Names of the formats.
 FORMAT_VAULT_JSON = "bitwarden_json"
 FORMAT_VAULT_CSV = "bitwarden_csv"
 FORMAT_DASHLANE = "dashlane"
@@ -26,16 +27,23 @@ FORMAT_GENERIC = "generic_high_entropy"
 FORMAT_NAME = "suspicious_filename"
 
 
-def is_text_file(size: Column, content: Column) -> Column:
-    """Not empty, at most 10 MiB, and a header that does not look binary.
+def is_text_file(size: Column, content: Column, max_bytes: int | None = None) -> Column:
+    """Not empty, and a header (the first bytes there are) that does not look binary.
 
-    A header shorter than 16 bytes is padded with zeros, so files of 13 bytes or fewer count as
-    binary.
+    ``max_bytes`` leaves out larger files; it is off by default. ``oversized`` counts what it leaves out.
     """
-    header = F.rpad(F.hex(F.substring(content, 1, HEADER_BYTES)), 2 * HEADER_BYTES, "0")
+    header = F.hex(F.substring(content, 1, HEADER_BYTES))
     nuls = F.size(F.filter(F.regexp_extract_all(header, F.lit(".."), F.lit(0)), lambda b: b == "00"))
     magic = any_of(header.startswith(m) for m in BINARY_MAGIC)
-    return size.between(1, MAX_FILE_BYTES) & ~magic & (nuls <= MAX_HEADER_NULS)
+    sized = size >= 1 if max_bytes is None else size.between(1, max_bytes)
+    return sized & ~magic & (nuls <= MAX_HEADER_NULS)
+
+
+def oversized(files: DataFrame, max_bytes: int) -> DataFrame:
+    """``error``: one row for each file that a size limit leaves out."""
+    return files.filter(F.col("size") > max_bytes).select(
+        F.concat(F.lit("file too large: "), opaque_id(F.col("path"))).alias("error")
+    )
 
 
 # --- JSON access --------------------------------------------------------------------------------
@@ -179,6 +187,7 @@ def findings(
     gate: Gate = Gate(),
     id_cols: tuple[str, ...] = ("path",),
     known_always: bool = False,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Score examined files: ``location, basename, last_mod, format, confidence, known_matches,
     entropy_hits, size`` plus the id columns.
@@ -189,7 +198,7 @@ def findings(
     """
     name = basename(F.col("path"))
     text = F.col("content").cast("string")
-    gated = files.filter(is_text_file(F.col("size"), F.col("content").cast("binary")))
+    gated = files.filter(is_text_file(F.col("size"), F.col("content").cast("binary"), max_bytes))
     detected = gated.select(
         *id_cols,
         *[c for c in ("path", "modified", "size") if c not in id_cols],

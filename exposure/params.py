@@ -31,7 +31,6 @@ ENV_FILE_PATTERNS = (".env*",)
 DEFAULT_SURFACE_DIRS = ("Downloads", "Documents", "Desktop")
 
 PLACEHOLDER = "[REDACTED]"
-MAX_FILE_BYTES = 10 * 1024 * 1024
 GENERIC_MIN_HITS = 3
 RECEIPT_TAG = "exposure-scrub-receipt"
 SCRUB_MARKER = "scrub-history"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 CORPUS = "path string, modified timestamp, size long, content binary"
+CORPUS_PARTS = CORPUS + ", part_no int, error string"
 PAIRS = "hash string, project_id string, seen_at timestamp"
 PROJECT_META = "project_id string, display_name string"
 FINDINGS = (

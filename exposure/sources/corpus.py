@@ -3,7 +3,11 @@
 Spark's own file sources leave out names that begin with a dot, which is where secrets live.
 This Python data source lists every regular file below its roots, never follows symbolic links
 and prunes skipped directories before descending. The driver only opens enough top directories to
-give every task a share; each task walks and reads its own subtrees.
+give every task a share; each task walks and reads its own subtrees. Paths are opened by the operating system, so every
+executor must mount the roots.
+
+A file of more than ``maxBytes`` comes as several rows, cut behind the last line end of each part (``part_no`` from 0). What
+can't be listed or read comes as a row with ``error`` and no content. ``contents=false`` lists only.
 
     spark.dataSource.register(CorpusSource)
     spark.read.format("corpus").option("roots", "/data/a,/data/b").load()
@@ -13,12 +17,13 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from exposure.schema import CORPUS
+from exposure.schema import CORPUS_PARTS
 
 
 @dataclass
@@ -37,6 +42,7 @@ class ListingOptions:
     skip: frozenset
     shares: int
     max_bytes: int
+    contents: bool
 
     @classmethod
     def of(cls, options) -> ListingOptions:
@@ -47,12 +53,13 @@ class ListingOptions:
             tuple(os.path.abspath(r) for r in names("roots") or names("path")),
             frozenset(names("skipDirs")),
             int(options.get("shares", "64")),
-            int(options.get("maxBytes", str(2**31 - 64))),
+            max(1, int(options.get("maxBytes", str(1 << 30)))),
+            options.get("contents", "true").lower() != "false",
         )
 
 
 def _entries(directory: str, skip: frozenset) -> tuple[list, list]:
-    """Subdirectories and regular files of a directory; unreadable ones count as empty."""
+    """Subdirectories and regular files of a directory; one that can't be listed stands among the files, to fail again there."""
     dirs, files = [], []
     try:
         with os.scandir(directory) as it:
@@ -65,7 +72,7 @@ def _entries(directory: str, skip: frozenset) -> tuple[list, list]:
                 elif e.is_file(follow_symlinks=False):
                     files.append(e.path)
     except OSError:
-        pass
+        return [], [directory]
     return dirs, files
 
 
@@ -99,13 +106,35 @@ def _rows(share: Share, opts: ListingOptions):
                 continue
             if share.upto is not None and st.st_mtime > share.upto:
                 continue
-            content = None
-            if st.st_size <= opts.max_bytes:
-                with open(path, "rb") as f:
-                    content = f.read()
-        except OSError:
-            continue
-        yield path, dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc), st.st_size, content
+            if stat.S_ISDIR(st.st_mode):
+                os.scandir(path).close()
+                raise OSError("its entries could not be read")
+            head = path, dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc), st.st_size
+            if not opts.contents:
+                yield *head, None, 0, None
+                continue
+            for part_no, content in enumerate(_parts(path, opts.max_bytes)):
+                yield *head, content, part_no, None
+        except OSError as e:
+            yield path, None, None, None, 0, f"{type(e).__name__}: {e.strerror or e}"
+
+
+def _parts(path: str, most: int) -> Iterator[bytes]:
+    """The content in parts of at most ``most`` bytes, each but the last cut behind a line end where it has one."""
+    with open(path, "rb") as f:
+        rest = b""
+        while True:
+            part = rest + f.read(most - len(rest))
+            more = f.read(1)
+            if not more:
+                yield part
+                return
+            end = part.rfind(b"\n") + 1 or len(part)
+            yield part[:end]
+            rest = part[end:] + more
+            if len(rest) > most:
+                yield rest[:most]
+                rest = rest[most:]
 
 
 class CorpusReader(DataSourceReader):
@@ -145,7 +174,7 @@ class CorpusSource(DataSource):
         return "corpus"
 
     def schema(self):
-        return CORPUS
+        return CORPUS_PARTS
 
     def reader(self, schema):
         return CorpusReader(self.options)

@@ -10,11 +10,11 @@ from exposure.functions.names import dirname, logical_id, opaque_id
 from exposure.functions.text import sha256_hex, trim_space
 from exposure.params import KEY_IGNORE_PATTERNS
 
-# A file with a longer line contributes nothing.
+# Lines from here on are reported; they are read like any other.
 MAX_LINE_BYTES = 64 * 1024
 
 
-def readable(content: Column) -> Column:
+def _short_lines(content: Column) -> Column:
     """No line reaches 64 KiB."""
     longest = F.array_max(F.transform(F.split(content, "\n"), lambda x: F.octet_length(x)))
     return F.when(F.octet_length(content) < MAX_LINE_BYTES, True).otherwise(longest < MAX_LINE_BYTES)
@@ -25,8 +25,7 @@ def env_pairs(files: DataFrame, carry: list[str], content: str = "content", igno
 
     The value is hashed in the projection that cuts it out of its line; it is not an output.
     """
-    usable = files.filter(readable(F.col(content)))
-    lines = usable.select(*carry, F.posexplode(F.split(F.col(content), "\n")).alias("line_no", "raw"))
+    lines = files.select(*carry, F.posexplode(F.split(F.col(content), "\n")).alias("line_no", "raw"))
     line = trim_space(F.col("raw"))
     assigned = lines.filter(F.contains("raw", F.lit("=")) & ~line.startswith("#"))
     key = trim_space(F.substring_index(line, "=", 1))
@@ -53,8 +52,8 @@ def contributions(
     )
 
 
-def unreadable(files: DataFrame) -> DataFrame:
-    """Files that contribute nothing because of a long line."""
-    return files.filter(~readable(F.col("content"))).select(
-        F.concat(F.lit("line too long: "), opaque_id(F.col("path"))).alias("error")
+def long_lines(files: DataFrame) -> DataFrame:
+    """Files with a line of 64 KiB or more, as a report."""
+    return files.filter(~_short_lines(F.col("content"))).select(
+        F.concat(F.lit("long line: "), opaque_id(F.col("path"))).alias("error")
     )

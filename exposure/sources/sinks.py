@@ -1,27 +1,37 @@
 """Where results go: findings, scrubbed histories and registries.
 
-Every sink writes a new version of a table; readers keep the old one until it is complete.
+A sink writes each version in a folder of its own, under a new attempt, and publishes it by a manifest row at the end.
+Readers go by the manifest, so they see a version complete or not at all, empty ones included.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+MANIFEST = "version string, attempt string, written timestamp"
 
 
 def write_version(df: DataFrame, root: str, version: str, fmt: str = "parquet") -> str:
-    """Write ``root/version=<version>``; rerunning a version replaces it."""
-    path = f"{root.rstrip('/')}/version={version}"
-    df.write.mode("overwrite").format(fmt).save(path)
+    """Write a version of the table below ``root``; rerunning a version replaces it once the new attempt is complete."""
+    root, attempt = root.rstrip("/"), uuid.uuid4().hex
+    path = f"{root}/data/{version}-{attempt}"
+    df.write.format(fmt).save(path)
+    spark = df.sparkSession
+    row = spark.sql("SELECT :version AS version, :attempt AS attempt, current_timestamp() AS written", args={"version": version, "attempt": attempt})
+    row.write.mode("append").parquet(f"{root}/manifest")
     return path
 
 
 def latest_version(spark: SparkSession, root: str, fmt: str = "parquet") -> DataFrame:
-    """The rows of the highest complete version (by name)."""
-    table = spark.read.format(fmt).load(root)
-    newest = table.agg(F.max("version").alias("version"))
-    return table.join(newest, "version", "left_semi").drop("version")
+    """The rows of the highest complete version (by name), of its last attempt."""
+    root = root.rstrip("/")
+    # The manifest has a row for each version; only its last one comes back.
+    newest = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").orderBy("version", "written", ascending=False).first()
+    if newest is None:
+        raise ValueError(f"no complete version below {root}")
+    return spark.read.format(fmt).load(f"{root}/data/{newest.version}-{newest.attempt}")
 
 
 def write_findings(findings: DataFrame, root: str, version: str, fmt: str = "parquet") -> str:

@@ -12,15 +12,15 @@ from exposure.sources.sinks import write_version
 
 def start_residue(
     corpus: DataFrame, registry: DataFrame, policy: PathPolicy, out: str, checkpoint: str,
-    home: str = "", gate: Gate = Gate(), trigger: dict | None = None,
+    home: str = "", gate: Gate = Gate(), trigger: dict | None = None, rules: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Scan each new batch of files of a corpus stream; findings go to ``out/version=<batch>``.
+    """Scan each new batch of files of a corpus stream; the findings of a batch are a version below ``out``.
 
-    A batch that is replayed after a failure replaces its own version.
+    ``rules`` are the ignore rules of the surfaces (``policy.ignore_rules``), as in the batch scan. A batch that is replayed after a failure replaces its own version.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        write_version(scan(batch, registry, policy, None, home, gate), out, f"{batch_id:09d}")
+        write_version(scan(batch, registry, policy, rules, home, gate), out, f"{batch_id:09d}")
 
     return (
         corpus.writeStream.foreachBatch(write)

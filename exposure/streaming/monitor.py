@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -134,17 +134,28 @@ def follow_up_clear(policy: MonitorPolicy) -> int | None:
     return policy.clear_after_s if wanted and policy.clear_after_s > policy.redact_after_s else None
 
 
+EVENT_ORDER = ["ts", "content_hash"]
+
+
+def _bucket(bucket_s: int) -> Column:
+    return F.floor(F.unix_micros("ts") / (bucket_s * 1_000_000))
+
+
+def _changes(scored: DataFrame, bucket_s: int) -> DataFrame:
+    """The snapshots whose content is not that of the one before."""
+    seen = with_neighbour(scored, "surface_id", EVENT_ORDER, F.col("content_hash"), "_prev", _bucket(bucket_s))
+    return seen.filter(~F.col("content_hash").eqNullSafe(F.col("_prev"))).drop("_prev")
+
+
 def actions_batch(scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), bucket_s: int = DAY) -> DataFrame:
     """Actions over a bounded table of scored snapshots.
 
     A run of equal content is one epoch. An epoch with secrets raises an alert when it begins and
     gets its timed action if its content is still there by then.
     """
-    order = ["ts", "content_hash"]
-    bucket = F.floor(F.unix_micros("ts") / (bucket_s * 1_000_000))
-    seen = with_neighbour(scored, "surface_id", order, F.col("content_hash"), "_prev", bucket)
-    changes = seen.filter(~F.col("content_hash").eqNullSafe(F.col("_prev"))).drop("_prev")
-    epochs = with_neighbour(changes, "surface_id", order, F.col("ts"), "_until", bucket, forward=True)
+    epochs = with_neighbour(
+        _changes(scored, bucket_s), "surface_id", EVENT_ORDER, F.col("ts"), "_until", _bucket(bucket_s), forward=True
+    )
 
     def after(seconds: int):
         return F.col("ts") + F.make_dt_interval(secs=F.lit(float(seconds)))
@@ -160,15 +171,17 @@ def actions_batch(scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), bu
     for name, seconds in timed:
         stable = F.col("_until").isNull() | (F.col("_until") > after(seconds))
         steps.append(F.when(stable, F.struct(after(seconds).alias("ts"), F.lit(name).alias("action"))))
-    listed = F.filter(F.array(*steps), lambda s: s.isNotNull()) if steps else F.array()
+    none = F.array().cast("array<struct<ts:timestamp,action:string>>")
+    listed = F.filter(F.array(*steps), lambda s: s.isNotNull()) if steps else none
     dirty = epochs.filter(F.col("secrets") > 0)
     return dirty.select(
         "surface_id", F.explode(listed).alias("_a"), "secrets", "content_hash", F.col("ts").alias("changed_at")
     ).select("surface_id", "_a.ts", "_a.action", "secrets", "content_hash", "changed_at")
 
 
-def status(scored: DataFrame, actions: DataFrame) -> DataFrame:
-    """Per surface: secrets now on it, last change that brought one, and what was done since."""
+def status(scored: DataFrame, actions: DataFrame, bucket_s: int = DAY) -> DataFrame:
+    """Per surface: secrets now on it, last change that brought one (whether or not any action followed), and what was done
+    since."""
     events = scored.select(
         "surface_id", "ts", F.lit(0).alias("rank"), "secrets", F.lit("snapshot").alias("action")
     ).unionByName(
@@ -179,8 +192,9 @@ def status(scored: DataFrame, actions: DataFrame) -> DataFrame:
     last = events.groupBy("surface_id").agg(
         F.max_by(F.struct("secrets", "action"), F.struct("ts", "rank")).alias("l")
     )
-    alerts = actions.groupBy("surface_id").agg(F.max("changed_at").alias("last_change"))
-    return last.join(alerts, "surface_id", "left").select(
+    dirty = _changes(scored, bucket_s).filter(F.col("secrets") > 0)
+    changed = dirty.groupBy("surface_id").agg(F.max("ts").alias("last_change"))
+    return last.join(changed, "surface_id", "left").select(
         "surface_id",
         F.col("l.secrets").alias("secrets"),
         "last_change",

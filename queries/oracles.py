@@ -209,11 +209,6 @@ ORACLES["registry_fingerprint"] = with_(
     """SELECT CASE WHEN count(*) = 0 THEN '0'
               ELSE left(sha256(string_agg(bucket || fp, '' ORDER BY bucket)), 16) END AS regfp FROM b""",
 )
-ORACLES["registry_fingerprint_flat"] = with_(
-    BOTH,
-    """SELECT CASE WHEN count(*) = 0 THEN '0' ELSE left(sha256(string_agg(hash, '' ORDER BY hash)), 16) END AS regfp
-       FROM (SELECT DISTINCT hash FROM both_pairs)""",
-)
 ORACLES["duplicates"] = with_(
     f"{BOTH}, {_PER_HASH}, meta AS (SELECT DISTINCT left(sha256('/home/u/' || lang || '/' || source), 16) AS project_id, "
     "lang || '/' || source AS name FROM documents WHERE lang <> 'es')",
@@ -274,8 +269,7 @@ def _env(src: str, ids: str) -> str:
     """CTEs giving ``env(ids, line_no, k, v)`` from ``src(ids, text)``."""
     return f"""
     env_l AS (SELECT {ids}, unnest(range(len(a)))::INTEGER AS line_no, {trim('unnest(a)')} AS line FROM (
-        SELECT {ids}, string_split(text, chr(10)) AS a FROM {src})
-        WHERE list_max(list_transform(a, lambda x: strlen(x))) < 65536),
+        SELECT {ids}, string_split(text, chr(10)) AS a FROM {src})),
     env AS (SELECT * FROM (
         SELECT {ids}, line_no, {trim("split_part(line, '=', 1)")} AS k,
                regexp_replace({trim(after_eq('line'))}, '^["'']+|["'']+$', '', 'g') AS v
@@ -417,11 +411,11 @@ ORACLES["claimed_files"] = with_(
 ORACLES["file_gate"] = """
     WITH f AS (SELECT doc_id, unhex(list_extract(['', '89504E470D0A1A0A', 'FFD8FFE0', '504B0304', '53514C697465', '00',
                   '41000000', '410000'], (doc_id % 8 + 1)::INTEGER))
-                  || encode(CASE WHEN doc_id % 3 = 0 THEN left(text, 12) ELSE text END) AS content FROM documents),
-         h AS (SELECT doc_id, octet_length(content) AS size, rpad(left(hex(content), 32), 32, '0') AS hx FROM f)
-    SELECT doc_id, size, size BETWEEN 1 AND 10485760
+                  || encode(text) AS content FROM documents),
+         h AS (SELECT doc_id, octet_length(content) AS size, left(hex(content), 32) AS hx FROM f)
+    SELECT doc_id, size, size >= 1
            AND NOT regexp_matches(hx, '^(00|89504E47|FFD8|504B|53514C697465)')
-           AND len(list_filter(range(16), lambda i: substr(hx, 2 * i + 1, 2) = '00')) <= 2 AS is_text FROM h"""
+           AND len(list_filter(range(16), lambda i: substr(hx, (2 * i + 1)::INTEGER, 2) = '00')) <= 2 AS is_text FROM h"""
 
 # --- known secrets ----------------------------------------------------------------------------
 
@@ -464,7 +458,7 @@ _EXAMINED = f"""{FILES}, ex AS (
     SELECT *, CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 ELSE 2 END AS surface_no FROM (
         SELECT *, {_REASON} AS r FROM files WHERE {choose(FOLDERS, 'doc_id')} NOT IN {_SKIP}) WHERE starts_with(r, 'under '))"""
 _RESIDUE = f"""{_EXAMINED},
-    src AS (SELECT doc_id AS id, content AS text FROM ex WHERE strlen(content) BETWEEN 14 AND 10485760),
+    src AS (SELECT doc_id AS id, content AS text FROM ex WHERE strlen(content) >= 1),
     notes AS (SELECT doc_id AS id, text FROM ex WHERE name LIKE '%.json'),
     {_hits('src', 'id', 12, 4.0, 'ghit')}, {_hits('notes', 'id', 16, 4.0, 'nhit')},
     pw AS (SELECT DISTINCT {_CODE} AS c FROM documents), {entropies('pwe', 'pw')},

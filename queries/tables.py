@@ -262,6 +262,11 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, prefix: str) -> str:
-    """A new folder in the shared checkpoint directory of the session (a local one where unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{base}/{prefix}{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"spark-{prefix}")
+    """A new folder in the shared checkpoint directory of the session; a local one only where Spark runs on one machine."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if base:
+        return f"{base}/{prefix}{uuid.uuid4().hex}"
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix=f"spark-{prefix}")

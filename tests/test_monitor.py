@@ -144,7 +144,7 @@ def test_incremental_residue(spark, registry, tmp_path):
         src = spark.readStream.schema(CORPUS).parquet(str(tmp_path / "corpus"))
         policy = PathPolicy(surfaces=(Surface("/h"),))
         incremental.start_residue(src, registry, policy, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-        return sorted((r.basename, r.known_matches) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+        return sorted((r.basename, r.known_matches) for r in spark.read.parquet(str(tmp_path / "out" / "data" / "*")).collect())
 
     add("secrets.txt")
     assert run() == [("secrets.txt", 1)]
@@ -157,5 +157,21 @@ def test_incremental_scrub(spark, registry, tmp_path):
     files.write.parquet(str(tmp_path / "in"))
     src = spark.readStream.schema("file_id string, content string").parquet(str(tmp_path / "in"))
     incremental.start_scrub(src, registry, "aa", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    [row] = spark.read.parquet(str(tmp_path / "out")).collect()
+    [row] = spark.read.parquet(str(tmp_path / "out" / "data" / "*")).collect()
     assert row.deleted == 1 and SECRET not in row.content
+
+
+def test_no_actions_but_a_status(spark):
+    """With alerts and both timeouts off there is no action, and the status still knows the last dirty change."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    off = monitor.MonitorPolicy(alerts=False, redact_after_s=0, clear_after_s=0)
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [("s", day + dt.timedelta(seconds=k), f"h{k}", n, "", "") for k, n in ((0, 0), (10, 2), (20, 0))]
+    scored = spark.createDataFrame(rows, monitor.SCORED)
+    acts = monitor.actions_batch(scored, off)
+    assert acts.collect() == []
+    row = monitor.status(scored, acts).select("secrets", F.unix_timestamp("last_change").alias("t"), "redacted").first()
+    assert (row.secrets, row.t, row.redacted) == (0, int(day.timestamp()) + 10, False)

@@ -175,6 +175,21 @@ def test_corpus_source(spark, tree, shares):
     assert got == {".env": (3, b"K=v"), "a/.hidden": (1, b"1"), "a/deep/er/f.txt": (2, b"22")}
 
 
+def test_corpus_parts_and_errors(spark, tree):
+    from exposure.sources.corpus import CorpusSource, ListingOptions, Share, _rows
+
+    spark.dataSource.register(CorpusSource)
+    lines = b"".join(b"line %d\n" % i for i in range(500)) + b"x" * 3000 + b"\nend"
+    (tree / "big.txt").write_bytes(lines)
+    for most in (1, 100, 1000):
+        df = spark.read.format("corpus").option("roots", str(tree)).option("maxBytes", most).load().filter("path LIKE '%big.txt'")
+        parts = [bytes(r.content) for r in df.orderBy("part_no").collect()]
+        assert b"".join(parts) == lines and max(map(len, parts)) <= most
+    gone = list(_rows(Share([str(tree / "missing")], [str(tree / "gone.txt")]), ListingOptions.of({"roots": str(tree)})))
+    assert [(r[0], r[3]) for r in gone] == [(str(tree / "gone.txt"), None), (str(tree / "missing"), None)]
+    assert all(r[5].startswith("FileNotFoundError") for r in gone)
+
+
 def test_corpus_stream_reads_new_files(spark, tree, tmp_path_factory):
     from exposure.sources.corpus import CorpusSource
 

@@ -63,6 +63,8 @@ def test_check_hex(spark, pairs):
     df = spark.createDataFrame([(i, h) for i, h in enumerate(asked)], "i int, hash_hex string")
     got = {r.i: r.known for r in registry.check_hex(df, pairs).collect()}
     assert got == {0: True, 1: True, 2: False, 3: False, 4: False, 5: False, 6: False}
+    again = spark.createDataFrame([(sha("a"),)] * 5 + [(None,)] * 2 + [("x",)], "hash_hex string")
+    assert sorted(r.known for r in registry.check_hex(again, pairs).collect()) == [False] * 3 + [True] * 5
 
 
 def test_removal(spark, pairs):
@@ -75,19 +77,11 @@ def test_fingerprints(spark, pairs):
     def fp(fn, df):
         return fn(df).first().regfp
 
-    flat = hashlib.sha256("".join(sorted(map(sha, "abc"))).encode()).hexdigest()[:16]
-    assert fp(registry.flat_fingerprint, pairs) == flat
     shuffled = pairs.repartition(3).orderBy(F.rand())
-    for fn in (registry.fingerprint, registry.flat_fingerprint):
-        assert fp(fn, pairs) == fp(fn, shuffled)
-        assert fp(fn, pairs) != fp(fn, pairs.filter(F.col("hash") != sha("c")))
-        assert fp(fn, pairs.filter("false")) == "0"
-
-
-def test_flat_fingerprint_refuses_large(spark, pairs, monkeypatch):
-    monkeypatch.setattr(registry, "FLAT_FINGERPRINT_MAX", 2)
-    with pytest.raises(Exception, match="too large"):
-        registry.flat_fingerprint(pairs).collect()
+    fn = registry.fingerprint
+    assert fp(fn, pairs) == fp(fn, shuffled)
+    assert fp(fn, pairs) != fp(fn, pairs.filter(F.col("hash") != sha("c")))
+    assert fp(fn, pairs.filter("false")) == "0"
 
 
 def test_env_file(spark):
@@ -104,11 +98,11 @@ def test_env_file(spark):
     ).withColumn("modified", F.timestamp_seconds(F.lit(1)))
     got = {r.hash for r in envfile.contributions(df).collect()}
     assert got == {
-        sha(v) for v in ("plainvalue", "double quoted value", "single quoted", "key=value=more", "value # not stripped")
+        sha(v) for v in ("plainvalue", "double quoted value", "single quoted", "key=value=more", "value # not stripped", "v", "x" * 70_000)
     }
-    assert {r.project_id for r in envfile.contributions(df).collect()} == {sha("/h/p")[:16]}
+    assert {r.project_id for r in envfile.contributions(df).collect()} == {sha("/h/p")[:16], sha("/h/q")[:16]}
     assert {r.project_id for r in envfile.contributions(df, "source").collect()} == {sha("logical:env")[:16]}
-    assert envfile.unreadable(df).count() == 1
+    assert envfile.long_lines(df).count() == 1
 
 
 def test_vault(spark):

@@ -3,7 +3,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from exposure.operators import residue
-from exposure.params import MAX_FILE_BYTES, PathPolicy, Surface
+from exposure.params import PathPolicy, Surface
 from exposure.plans import residue_scan, status
 from exposure.sources import sinks
 
@@ -48,15 +48,16 @@ def test_other_detectors(rows):
 
 def test_text_gate(rows):
     cases = [
-        (b"0123456789abc", False), (b"0123456789abcd", True), (b"", False), (b"\x89PNG" + b"x" * 20, False),
+        (b"K=hunter2hunt", True), (b"x", True), (b"0123456789abcd", True), (b"", False), (b"\x89PNG" + b"x" * 20, False),
         (b"\xff\xd8" + b"x" * 20, False), (b"PK" + b"x" * 20, False), (b"SQLite format 3", False),
         (b"ab\x00\x00\x00" + b"x" * 20, False), (b"ab\x00\x00" + b"x" * 20, True), (b"\x00" + b"x" * 20, False),
     ]
     data = [(i, len(b), bytearray(b)) for i, (b, _) in enumerate(cases)]
     got = dict(rows(data, "i int, size long, c binary", "i", residue.is_text_file(F.col("size"), F.col("c"))))
     assert [got[i] for i in range(len(cases))] == [want for _, want in cases]
-    [(big,)] = rows([(MAX_FILE_BYTES + 1, bytearray(b"x" * 20))], "size long, c binary", residue.is_text_file(F.col("size"), F.col("c")))
-    assert not big
+    data = [(11 << 20, bytearray(b"x" * 20))]
+    gate = [residue.is_text_file(F.col("size"), F.col("c"), most) for most in (None, 10 << 20)]
+    assert rows(data, "size long, c binary", *gate) == [(True, False)]
 
 
 FILES = [
@@ -133,6 +134,12 @@ def test_sinks(spark, tmp_path):
     sinks.write_findings(found, str(tmp_path), "2")
     back = sinks.latest_version(spark, str(tmp_path))
     assert back.count() == found.count() and "path" not in back.columns
+    sinks.write_findings(found.limit(0), str(tmp_path), "3")
+    assert sinks.latest_version(spark, str(tmp_path)).count() == 0
+    found.write.parquet(str(tmp_path / "data" / "4-unfinished"))
+    assert sinks.latest_version(spark, str(tmp_path)).count() == 0
+    sinks.write_findings(found, str(tmp_path), "3")
+    assert sinks.latest_version(spark, str(tmp_path)).count() == found.count()
 
 
 def test_status(spark):
