@@ -11,7 +11,7 @@ from exposure.functions import extract as X
 from exposure.functions import globs, names, receipts, text
 from exposure.operators import history, known, policy, registry, residue
 from exposure.params import MonitorPolicy, PathPolicy, Surface
-from exposure.plans import rescan, residue_scan, status
+from exposure.plans import discovery, rescan, residue_scan, status
 from exposure.sources import corpus, envfile, vault
 from exposure.streaming import monitor
 from queries import tables as T
@@ -368,6 +368,35 @@ def ignore_rules(spark, d):
     return policy.mark_ignored(docs, policy.rules_from_lines(lines)).select("doc_id", "ignored")
 
 
+def discovered(spark, d):
+    """Env files of the documents as files, below three of the four languages, with an ignore file in each root."""
+    files = T.document_files(spark, d).select("path", "modified", F.col("content").cast("string").alias("content"))
+    ignore = spark.createDataFrame(
+        [(f"/home/u/{lang}/.gitignore", "\n".join(rules)) for lang, rules in IGNORE_LINES.items()], "path string, content string"
+    ).select("path", F.timestamp_seconds(F.lit(0)).alias("modified"), "content")
+    place = PathPolicy(
+        roots=("/home/u/en", "/home/u/de", "/home/u/fr/"), root_patterns=("*.txt", "*.env", "*.md"), skip_dirs=("node_modules", "build")
+    )
+    corpus_files = files.unionByName(ignore)
+    rules = policy.ignore_rules(discovery.root_rule_files(ignore, place.roots))
+    return discovery.env_files(corpus_files, place, rules)
+
+
+@query
+def discovery_registry(spark, d):
+    return discovery.pairs(discovered(spark, d)).select("hash", "project_id").distinct()
+
+
+@query
+def discovery_sources(spark, d):
+    return discovery.pairs(discovered(spark, d), "source").select("hash", "project_id").distinct()
+
+
+@query
+def discovery_projects(spark, d):
+    return discovery.projects(discovered(spark, d))
+
+
 @query
 def path_policy(spark, d):
     return policy.classify(T.document_paths(spark, d), POLICY).select("doc_id", "treat", "reason")

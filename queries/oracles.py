@@ -379,9 +379,7 @@ ORACLES["history_targets"] = f"""
        OR dir || '/' || n IN ('/home/u/de/src6/app/notes.txt', '/home/u/en/src6/docs/notes.txt')"""
 # The rules of each language directory spelled out: the last one that applies decides, and an
 # ignored directory hides what is below it.
-ORACLES["ignore_rules"] = with_(
-    f"{PATHS}, p AS (SELECT *, {choose(FOLDERS, 'doc_id')} AS folder FROM paths)",
-    """SELECT doc_id, CASE lang
+_IGNORED = """CASE lang
         WHEN 'en' THEN folder IN ('docs', 'logs') OR source = 'src3'
              OR (name LIKE '%.1pif' AND name NOT LIKE 'f10%')
         WHEN 'de' THEN (source ~ 'src1.' AND folder = 'app')
@@ -389,7 +387,25 @@ ORACLES["ignore_rules"] = with_(
              OR (folder = 'notes' AND name NOT LIKE 'f2%')
         WHEN 'fr' THEN folder = 'logs' OR (source = 'src7' AND folder = 'docs')
              OR (name LIKE '%.csv' AND name NOT LIKE '%\\_export.csv' ESCAPE '\\')
-        ELSE false END AS ignored FROM p""",
+        ELSE false END"""
+ORACLES["ignore_rules"] = with_(
+    f"{PATHS}, p AS (SELECT *, {choose(FOLDERS, 'doc_id')} AS folder FROM paths)",
+    f"SELECT doc_id, {_IGNORED} AS ignored FROM p",
+)
+_FOUND = f"""{FILES}, p AS (SELECT *, {choose(FOLDERS, 'doc_id')} AS folder FROM files),
+    found AS (SELECT doc_id, dir, content FROM p WHERE lang IN ('en', 'de', 'fr') AND folder NOT IN ('node_modules', 'build')
+        AND (name LIKE '%.txt' OR name LIKE '%.env' OR name LIKE '%.md') AND NOT {_IGNORED}),
+    src AS (SELECT doc_id AS id, content AS text FROM found), {_env('src', 'id')}"""
+ORACLES["discovery_registry"] = with_(
+    _FOUND, "SELECT DISTINCT sha256(v) AS hash, left(sha256(dir), 16) AS project_id FROM env JOIN found ON doc_id = id"
+)
+ORACLES["discovery_sources"] = with_(
+    _FOUND, "SELECT DISTINCT sha256(v) AS hash, left(sha256('logical:env'), 16) AS project_id FROM env"
+)
+ORACLES["discovery_projects"] = with_(
+    _FOUND,
+    """SELECT DISTINCT left(sha256(dir), 16) AS project_id,
+           list_extract(string_split(dir, '/'), -2) || '/' || list_extract(string_split(dir, '/'), -1) AS display_name FROM found""",
 )
 _CLAIMED = """((lang = 'en' OR (lang = 'fr' AND source = 'src1')) AND
     (name LIKE '.env%' OR name LIKE '%.env' OR (name LIKE 'f1%' AND name LIKE '%.txt')))"""

@@ -209,3 +209,30 @@ def test_corpus_stream_reads_new_files(spark, tree, tmp_path_factory):
     assert first == [".env", "a/.hidden", "a/deep/er/f.txt"]
     (tree / "new.txt").write_text("n")
     assert run() == sorted([*first, "new.txt"])
+
+
+def test_discovery(spark):
+    """Skipped and ignored files are left out, nested roots count once, both attributions, errors beside results."""
+    from exposure.params import PathPolicy
+    from exposure.plans import discovery
+
+    files = [
+        ("/h/a/.env", "K=one", None), ("/h/a/node_modules/x/.env", "K=two", None), ("/h/a/old/.env.local", "K=three", None),
+        ("/h/a/keep/.env", "K=one\nL=four", None), ("/h/b/.env", "K=out", None), ("/h/a/notes.txt", "K=no", None),
+        ("/h/a/.gitignore", "old/", None), ("/h/a/shut", None, "PermissionError: Permission denied"),
+    ]
+    corpus = spark.createDataFrame(files, "path string, content string, error string").withColumn("modified", F.timestamp_seconds(F.lit(1)))
+    place = PathPolicy(roots=("/h/a", "/h/a/keep"), skip_dirs=("node_modules",))
+    rules = policy.ignore_rules(discovery.root_rule_files(corpus, place.roots))
+    found = discovery.env_files(corpus, place, rules)
+    assert sorted({r.path for r in found.collect()}) == ["/h/a/.env", "/h/a/keep/.env"]
+    assert discovery.pairs(found).select("hash", "project_id").distinct().count() == 3
+    assert discovery.pairs(found, "source").select("project_id").distinct().count() == 1
+    names = {r.display_name for r in discovery.projects(found).collect()}
+    assert names == {"h/a", "a/keep"}
+    bad = discovery.errors(corpus, place)
+    assert [r.error for r in bad.collect()] == ["PermissionError: Permission denied"]
+    assert tuple(discovery.state(bad).first()) == ("failed", 1)
+    none = discovery.errors(corpus, PathPolicy(roots=()))
+    assert none.count() == 1 and discovery.env_files(corpus, PathPolicy(roots=())).count() == 0
+    assert tuple(discovery.state(discovery.errors(corpus, PathPolicy(roots=("/h/b",)))).first()) == ("completed", 0)
