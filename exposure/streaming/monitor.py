@@ -147,11 +147,14 @@ def _changes(scored: DataFrame, bucket_s: int) -> DataFrame:
     return seen.filter(~F.col("content_hash").eqNullSafe(F.col("_prev"))).drop("_prev")
 
 
-def actions_batch(scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), bucket_s: int = DAY) -> DataFrame:
+def actions_batch(
+    scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), bucket_s: int = DAY, open_ended: bool = False
+) -> DataFrame:
     """Actions over a bounded table of scored snapshots.
 
     A run of equal content is one epoch. An epoch with secrets raises an alert when it begins and
-    gets its timed action if its content is still there by then.
+    gets its timed action if its content is still there by then. As in the stream, an action is taken once its time has come:
+    the last snapshot of all surfaces is the clock. ``open_ended`` also gives what is due after it.
     """
     epochs = with_neighbour(
         _changes(scored, bucket_s), "surface_id", EVENT_ORDER, F.col("ts"), "_until", _bucket(bucket_s), forward=True
@@ -174,9 +177,10 @@ def actions_batch(scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), bu
     none = F.array().cast("array<struct<ts:timestamp,action:string>>")
     listed = F.filter(F.array(*steps), lambda s: s.isNotNull()) if steps else none
     dirty = epochs.filter(F.col("secrets") > 0)
-    return dirty.select(
+    taken = dirty.select(
         "surface_id", F.explode(listed).alias("_a"), "secrets", "content_hash", F.col("ts").alias("changed_at")
     ).select("surface_id", "_a.ts", "_a.action", "secrets", "content_hash", "changed_at")
+    return taken if open_ended else taken.filter(F.col("ts") <= scored.agg(F.max("ts")).scalar())
 
 
 def status(scored: DataFrame, actions: DataFrame, bucket_s: int = DAY) -> DataFrame:

@@ -11,8 +11,8 @@ from exposure.functions import extract as X
 from exposure.functions import globs, names, receipts, text
 from exposure.operators import history, known, policy, registry, residue
 from exposure.params import MonitorPolicy, PathPolicy, Surface
-from exposure.plans import discovery, rescan, residue_scan, status
-from exposure.sources import corpus, envfile, vault
+from exposure.plans import discovery, rescan, residue_scan, scrub, status
+from exposure.sources import corpus, envfile, sinks, vault
 from exposure.streaming import monitor
 from queries import tables as T
 
@@ -484,6 +484,16 @@ def residue_findings(spark, d):
     )
 
 
+@query
+def findings_sink(spark, d):
+    """Two versions of the findings written, the second one read back."""
+    found = residue_scan.scan(T.document_files(spark, d), residue_registry(spark, d), POLICY, home=HOME)
+    root = T.scratch(spark, "findings-")
+    sinks.write_findings(found.filter("known_matches = 0"), root, "1")
+    sinks.write_findings(found, root, "2")
+    return sinks.latest_version(spark, root).withColumn("last_mod", F.unix_seconds("last_mod"))
+
+
 @query
 def residue_summary(spark, d):
     files = T.document_files(spark, d)
@@ -556,12 +566,36 @@ def incremental_range(spark, d):
     return plan.select("file_id", "marker_at", F.col("near").isNotNull().alias("near"), "start")
 
 
+def scrubbed_files(spark, d):
+    exported = T.table(spark, d, "documents").select(F.sha2(F.sha2("source", 256), 256).alias("hash"))
+    reg = registry.hashes(T.document_pairs(spark, d)).unionByName(exported).distinct()
+    return history.scrub_files(T.history_files(spark, d), reg, F.lit(T.REGFP), "redact", gate=T.LOW)
+
+
+@query
+def scrub_preview(spark, d):
+    """What the scrub would do, files without changes left out."""
+    would = scrub.preview(scrubbed_files(spark, d))
+    return would.withColumn("examples", F.size("examples"))
+
+
+@query
+def scrub_report(spark, d):
+    return scrub.report(scrubbed_files(spark, d))
+
+
+@query
+def scrubbed_sink(spark, d):
+    """The scrubbed contents written as a version and read back."""
+    root = T.scratch(spark, "scrubbed-")
+    sinks.write_scrubbed(scrubbed_files(spark, d), root, "1")
+    return sinks.latest_version(spark, root).select("file_id", text.sha256_hex(F.col("content")).alias("content_hash"))
+
+
 @query
 def scrub_files(spark, d):
     """Whole history files; the registry holds the secrets of documents and the exported values."""
-    exported = T.table(spark, d, "documents").select(F.sha2(F.sha2("source", 256), 256).alias("hash"))
-    reg = registry.hashes(T.document_pairs(spark, d)).unionByName(exported).distinct()
-    out = history.scrub_files(T.history_files(spark, d), reg, F.lit(T.REGFP), "redact", gate=T.LOW)
+    out = scrubbed_files(spark, d)
     return out.select(
         "file_id", text.sha256_hex(F.col("content")).alias("content_hash"), "original_lines", "processed_lines",
         "deleted", "redacted", "secrets", "skipped", "regfp_match", F.size("examples").alias("examples"),
@@ -572,6 +606,7 @@ def scrub_files(spark, d):
 
 # The events are hours apart, so are the time-outs.
 HOURS = MonitorPolicy(redact_after_s=3 * 3600, clear_after_s=6 * 3600)
+CLEARING = MonitorPolicy(redact_after_s=0, clear_after_s=3 * 3600)
 
 
 def micros(df):
@@ -596,6 +631,26 @@ def monitor_status(spark, d):
     return micros(monitor.status(scored, monitor.actions_batch(scored, HOURS)))
 
 
+@query
+def monitor_clear(spark, d):
+    """Redaction off, so the timed action is a clear."""
+    return micros(monitor.actions_batch(scored_snapshots(spark, d), CLEARING))
+
+
+@query
+def monitor_clear_status(spark, d):
+    scored = scored_snapshots(spark, d)
+    return micros(monitor.status(scored, monitor.actions_batch(scored, CLEARING)))
+
+
+@query
+def monitor_quiet_status(spark, d):
+    """All actions off: the status still knows the last change that brought a secret."""
+    scored = scored_snapshots(spark, d)
+    off = MonitorPolicy(alerts=False, redact_after_s=0, clear_after_s=0)
+    return micros(monitor.status(scored, monitor.actions_batch(scored, off)))
+
+
 @query
 def monitor_stream(spark, d):
     """The same snapshots through the two streaming stages."""

@@ -507,6 +507,11 @@ ORACLES["residue_findings"] = with_(
                format, confidence, known::INTEGER AS known_matches, hits::INTEGER AS entropy_hits,
                strlen(content) AS size FROM found""",
 )
+ORACLES["findings_sink"] = with_(
+    _RESIDUE,
+    f"""SELECT lang || '/' || name AS location, name AS basename, {FIRST_DAY} + doc_id AS last_mod, format, confidence,
+               known::INTEGER AS known_matches, hits::INTEGER AS entropy_hits, strlen(content) AS size FROM found""",
+)
 ORACLES["residue_summary"] = with_(
     f"""{_RESIDUE}, dirs AS (SELECT DISTINCT lang, unnest(['', source, source || '/' || folder]) AS dir FROM (
             SELECT lang, source, {choose(FOLDERS, 'doc_id')} AS folder FROM paths WHERE lang IN ('en', 'de', 'es'))
@@ -636,29 +641,55 @@ ORACLES["scrub_files"] = with_(
                ex::INTEGER AS examples FROM pl JOIN hk USING (file_id)""",
 )
 
+_SCRUBBED_HASH = f"""sha256(CASE WHEN work THEN array_to_string(k, chr(10)) || chr(10) || '# {TAG}:v2:lines=' || len(k)
+               || ':tail=' || {tail_hash('k')} || ':regfp={REGFP}' ELSE content END)"""
+ORACLES["scrubbed_sink"] = with_(_HV, f"SELECT file_id, {_SCRUBBED_HASH} AS content_hash FROM pl JOIN hk USING (file_id)")
+ORACLES["scrub_preview"] = with_(
+    _HV,
+    """SELECT file_id, 0 AS would_delete, redacted::INTEGER AS would_redact, n::INTEGER AS secrets_found, ex::INTEGER AS examples
+       FROM pl JOIN hk USING (file_id) WHERE redacted > 0""",
+)
+ORACLES["scrub_report"] = with_(
+    _HV,
+    """SELECT count(*) AS targets, count(*) FILTER (redacted > 0) AS changed_files, 0 AS deleted, sum(redacted)::BIGINT AS redacted,
+              sum(n)::BIGINT AS secrets, count(*) FILTER (NOT work) AS skipped FROM pl JOIN hk USING (file_id)""",
+)
+
 # --- monitor ----------------------------------------------------------------------------------
 
 _HOUR = 3_600_000_000
-_MONITOR = f"""{DOC_C},
+_CLOCK = "(SELECT max(ts) FROM sn)"
+_SNAPSHOTS = f"""{DOC_C},
     kn AS (SELECT id, count(*)::INTEGER AS secrets FROM doc_c GROUP BY id),
     sn AS (SELECT user_id::VARCHAR AS surface_id, epoch_us(ts) AS ts, sha256(coalesce(text, '')) AS content_hash,
                   coalesce(secrets, 0) AS secrets FROM events e LEFT JOIN documents d ON d.doc_id = floor(value)::BIGINT
            LEFT JOIN kn ON kn.id = d.doc_id),
     pv AS (SELECT *, lag(content_hash) OVER (PARTITION BY surface_id ORDER BY ts, content_hash) AS prev FROM sn),
     ep AS (SELECT *, lead(ts) OVER (PARTITION BY surface_id ORDER BY ts, content_hash) AS until FROM pv
-           WHERE content_hash IS DISTINCT FROM prev),
+           WHERE content_hash IS DISTINCT FROM prev)"""
+
+
+def _acts(timed: str) -> str:
+    return f"""{_SNAPSHOTS},
     acts AS (SELECT surface_id, ts, 'alert' AS action, secrets, content_hash, ts AS changed_at FROM ep WHERE secrets > 0
-             UNION ALL SELECT surface_id, ts + 3 * {_HOUR}, 'redact', secrets, content_hash, ts FROM ep
-             WHERE secrets > 0 AND (until IS NULL OR until > ts + 3 * {_HOUR}))"""
-ORACLES["monitor_batch"] = with_(_MONITOR, "SELECT surface_id, ts, action, secrets, content_hash, changed_at FROM acts")
-ORACLES["monitor_status"] = with_(
-    f"""{_MONITOR}, ev AS (SELECT surface_id, ts, 0 AS rank, secrets, 'snapshot' AS action FROM sn
+             UNION ALL SELECT surface_id, ts + 3 * {_HOUR}, '{timed}', secrets, content_hash, ts FROM ep
+             WHERE secrets > 0 AND (until IS NULL OR until > ts + 3 * {_HOUR}) AND ts + 3 * {_HOUR} <= {_CLOCK})"""
+
+
+_MONITOR = _acts("redact")
+for _name, _ctes in (("monitor_batch", _MONITOR), ("monitor_stream", _MONITOR), ("monitor_clear", _acts("clear"))):
+    ORACLES[_name] = with_(_ctes, "SELECT surface_id, ts, action, secrets, content_hash, changed_at FROM acts")
+_STATUS = (
+    """, ev AS (SELECT surface_id, ts, 0 AS rank, secrets, 'snapshot' AS action FROM sn
             UNION ALL SELECT surface_id, ts, 1, 0, action FROM acts WHERE action <> 'alert'),
         la AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY surface_id ORDER BY ts DESC, rank DESC) = 1),
-        al AS (SELECT surface_id, max(changed_at) AS last_change FROM acts GROUP BY surface_id)""",
+        al AS (SELECT surface_id, max(ts) AS last_change FROM ep WHERE secrets > 0 GROUP BY surface_id)""",
     """SELECT surface_id, secrets, last_change, action = 'redact' AS redacted, action = 'clear' AS cleared
        FROM la LEFT JOIN al USING (surface_id)""",
 )
+_NOTHING = f"{_SNAPSHOTS}, acts AS (SELECT surface_id, ts, 'redact' AS action FROM ep WHERE false)"
+for _name, _ctes in (("monitor_status", _MONITOR), ("monitor_clear_status", _acts("clear")), ("monitor_quiet_status", _NOTHING)):
+    ORACLES[_name] = with_(_ctes + _STATUS[0], _STATUS[1])
 ORACLES["overall_status"] = with_(
     f"""{_MONITOR}, {PATHS},
         hp AS (SELECT sha256(c) AS hash, count(DISTINCT lang || source) AS n FROM doc_c JOIN documents ON doc_id = id GROUP BY 1)""",
