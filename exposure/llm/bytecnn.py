@@ -9,8 +9,8 @@ pooled windows.
 The fit takes a bounded sample: about ``sample_rows`` labelled rows in hash order, ``sample_chars`` of each; it runs on the
 driver. Scoring reads whole texts and nothing but them; it works in pieces of ``PIECE`` bytes.
 
-Nulls: a null text is empty; an empty text is padded to one window and scored; rows of null label aren't learned from; of several labels of a doc_id each
-counts. Without labels of both kinds every score is the share of label 1 (0.5 without any). Rows that repeat get equal scores.
+Nulls: a null text is empty; an empty text is padded to one window and scored; rows of null label aren't learned from; of several labels of a doc_id each different one
+counts, of several texts the least. Without labels of both kinds every score is the share of label 1 (0.5 without any). Rows that repeat get equal scores.
 """
 
 from __future__ import annotations
@@ -125,6 +125,7 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 10, rate: float = 0
 
 def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, sample_rows: int, sample_chars: int) -> tuple[list[bytes], list[int]]:
     rows = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where(learn & F.col("_label").isNotNull() & F.col("doc_id").isNotNull())
+    rows = rows.distinct()
     spot = F.xxhash64(F.lit("sample"), "doc_id").cast("double") + 2.0**63
     kinds = {r["_label"]: r["n"] for r in rows.groupBy("_label").agg(F.count("*").alias("n")).collect()}
     if not kinds:
@@ -134,7 +135,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, sample
     picked = rows.where(spot < share[F.col("_label")])
     texts = docs.select(F.col("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"))
     # The sample has about sample_rows rows of twelve bytes, whatever the size of the tables.
-    found = texts.join(F.broadcast(picked), "doc_id").select(spot.alias("at"), "text", "_label").collect()
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy(spot.alias("at"), "_label").agg(F.min("text").alias("text")).collect()
     found = sorted(found, key=lambda r: (r["at"], r["text"], r["_label"]))
     return [r["text"].encode() for r in found], [int(r["_label"] == 1) for r in found]
 

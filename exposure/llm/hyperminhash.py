@@ -33,7 +33,7 @@ from exposure.llm.scratch import saved
 REGISTERS = 96
 ROWS = 4
 MANTISSA = 10
-BLOCK = 256
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
 SKETCH = "doc_id long, row long, n_shingles long, fingerprint binary, registers binary"
 
 
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = 3) -> DataF
     )
     band_bytes = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.col("registers").substr(i * band_bytes + 1, F.lit(band_bytes)))
-    buckets = classes.select("fingerprint", F.posexplode(bands).alias("band", "key"))
+    buckets = classes.select("fingerprint", "n_shingles", F.posexplode(bands).alias("band", "key"))
     shared = buckets.groupBy("band", "key").agg(F.count("*").alias("held")).where("held > 1")
     buckets = saved(buckets.join(shared, ["band", "key"]))
     typical = buckets.groupBy("fingerprint").agg(F.sum("held").alias("score"))
@@ -250,16 +250,17 @@ def _named(rows: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
 def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFrame, sets: DataFrame, percent: int, width: int) -> DataFrame:
     """Edges between components that still meet in a bucket."""
     labels = components(edges).withColumnRenamed("node", "fingerprint")
-    held = buckets.select("band", "key", "fingerprint").join(labels, "fingerprint", "left")
+    held = buckets.select("band", "key", "fingerprint", "n_shingles").join(labels, "fingerprint", "left")
     held = saved(held.withColumn("label", F.coalesce("label", "fingerprint")))
     mark = F.xxhash64("fingerprint")
     open_buckets = held.groupBy("band", "key").agg(
-        F.count("*").alias("held"), F.min("label").alias("least"), F.max("label").alias("most"), F.sum(mark % 1_000_003).alias("_x"), F.bit_xor(mark).alias("_y")
+        F.count("*").alias("held"), F.sum("n_shingles").alias("size"), F.min("label").alias("least"), F.max("label").alias("most"), F.sum(mark % 1_000_003).alias("_x"), F.bit_xor(mark).alias("_y")
     )
     # Buckets of the same members are looked at once.
-    once = open_buckets.where("least <> most").groupBy("held", "_x", "_y").agg(F.min(F.struct("band", "key")).alias("bucket"))
-    once = once.select("bucket.band", "bucket.key", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks"))
-    members = held.join(once, ["band", "key"]).join(classes.select("fingerprint", "n_shingles", "registers"), "fingerprint")
+    once = open_buckets.where("least <> most").groupBy("held", "size", "_x", "_y").agg(F.min(F.struct("band", "key")).alias("bucket"))
+    blocks = F.ceil(F.greatest(F.col("held") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
+    once = once.select("bucket.band", "bucket.key", blocks.alias("blocks"))
+    members = held.join(once, ["band", "key"]).join(classes.select("fingerprint", "registers"), "fingerprint")
     own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
     members = members.withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

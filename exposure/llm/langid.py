@@ -6,7 +6,7 @@ byte is eight bits) is the score. A text is *rejected*, its language still being
 ``margin_bytes`` or ``margin_share`` larger.
 
 The fit takes a bounded sample: per language about ``sample_rows`` learning rows in hash order, ``sample_chars`` of each,
-up to ``dictionary_bytes``. Languages are a closed set of labels, whose dictionaries together go to every task.
+up to ``dictionary_bytes``; equal rows are taken once. Languages are a closed set of labels, whose dictionaries together go to every task.
 Prediction reads whole texts and nothing but them.
 
 Nulls: a null text, or one without a letter, is ``und`` with score 0; rows of null lang are never learned from; a null doc_id
@@ -50,7 +50,7 @@ def dictionaries(
     spot = F.xxhash64(F.lit("sample"), "doc_id", "text")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0**64 * min(1.0, sample_rows / n))])
     picked = rows.where(spot.cast("double") + 2.0**63 < share[F.col("lang")])
-    sample = picked.select("lang", spot.alias("_at"), F.substring("text", 1, sample_chars).alias("text")).collect()
+    sample = picked.select("lang", spot.alias("_at"), F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["_at"]).collect()
     content: dict[str, bytes] = dict.fromkeys(counts, b"")
     for r in sorted(sample, key=lambda r: (r["_at"], r["text"]), reverse=True):
         content[r["lang"]] = (content[r["lang"]] + b" " + letters(r["text"]))[-dictionary_bytes:]
