@@ -677,9 +677,10 @@ def monitor_stream(spark, d):
 
 @query
 def overall_status(spark, d):
-    files = T.document_files(spark, d)
+    env = discovered(spark, d)
     return status.overall(
         registry=registry.snapshot(registry.build(T.document_pairs(spark, d))),
-        residue=residue_scan.examined(files, POLICY).agg(F.count(F.lit(1)).alias("examined")),
+        discovery=discovery.pairs(env).agg(F.count_distinct("hash").alias("hashes"), F.count_distinct("project_id").alias("projects")),
+        residue=residue_summary(spark, d),
         monitor=monitor_batch(spark, d).groupBy().agg(F.count_if(F.col("action") == "alert").alias("alerts")),
     )

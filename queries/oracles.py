@@ -695,7 +695,9 @@ ORACLES["overall_status"] = with_(
         hp AS (SELECT sha256(c) AS hash, count(DISTINCT lang || source) AS n FROM doc_c JOIN documents ON doc_id = id GROUP BY 1)""",
     f"""SELECT 'registry' AS section, '{{"tracked_hashes":' || count(*) || ',"duplicate_hashes":' || count(*) FILTER (n > 1)
                || ',"scan_state":"completed"}}' AS body FROM hp
-        UNION ALL SELECT 'residue', '{{"examined":' || count(*) || '}}' FROM (SELECT {_REASON} AS r FROM paths
-            WHERE {choose(FOLDERS, 'doc_id')} NOT IN {_SKIP}) WHERE starts_with(r, 'under ')
+        UNION ALL SELECT 'discovery', '{{"hashes":' || count(DISTINCT hash) || ',"projects":' || count(DISTINCT project_id) || '}}'
+            FROM ({ORACLES["discovery_registry"]})
+        UNION ALL SELECT 'residue', '{{"findings":' || findings || ',"examined":' || examined || ',"scanned":' || scanned
+            || ',"sample":"' || sample || '"}}' FROM ({ORACLES["residue_summary"]})
         UNION ALL SELECT 'monitor', '{{"alerts":' || count(*) || '}}' FROM acts WHERE action = 'alert'""",
 )
