@@ -105,7 +105,7 @@ def _row_key(text: str, host: str) -> Column:
 def normal_lines(text: Column) -> Column:
     """The normalised lines of a text, in order."""
     flat = F.lower(F.regexp_replace(text, r"[\x20\x09\x0B\x0C\x0D]+", " "))
-    return F.transform(F.split(flat, "\n"), F.trim)
+    return F.transform(F.split(flat, "\n"), lambda x: F.trim(x))  # F.trim itself would take the index for its characters
 
 
 def line_table(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
