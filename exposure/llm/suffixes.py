@@ -370,7 +370,9 @@ def remove_repeats(docs: DataFrame, hot: int = 20_000) -> DataFrame:
     found = anchor_rows(docs)
     spot = F.xxhash64("class", "place")
     repeated = found.groupBy("hash").agg(F.min(spot).alias("_a"), F.max(spot).alias("_b"), F.count("*").alias("_n")).where("_a <> _b")
-    places = found.join(repeated.select("hash", "_n"), "hash").select("class", F.struct("place", (F.col("_n") > hot).alias("hot")).alias("_place"))
+    # A table of its own, so that the join has a shuffle on either side and a hot hash can be split.
+    repeated = saved(repeated.select("hash", "_n"))
+    places = found.join(repeated, "hash").select("class", F.struct("place", (F.col("_n") > hot).alias("hot")).alias("_place"))
     places = saved(places.groupBy("class").agg(F.collect_set("_place").alias("places")))
     counts = places.select(F.explode("places").alias("p")).agg(F.count("*").alias("n"), F.sum(F.col("p.hot").cast("long")).alias("hot")).first()
     buckets, hot_buckets = 1 + counts["n"] // BUCKET, 1 + (counts["hot"] or 0) * LENGTH // (20 * BUCKET)
