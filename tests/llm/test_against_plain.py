@@ -122,6 +122,74 @@ def test_model_adds_up():
         assert all_next.sum(axis=1) == pytest.approx(1)
 
 
+def test_words_have_contexts(spark, monkeypatch):
+    """The order of words counts; contexts in parts score the same texts alike, and better than words alone."""
+    rng = random.Random(5)
+    follows = {f"w{i}": [f"w{rng.randrange(60)}" for _ in range(3)] for i in range(60)}
+    rows = []
+    for d in range(400):
+        w = ["w0"]
+        while len(w) < 40:
+            w.append(rng.choice(follows[w[-1]]))
+        rows.append((d, " ".join(w)))
+    held = [d for d in range(400, 500) if zlib.crc32(str(d).encode()) % 7 == 2][:2]
+    rows += [(held[0], rows[0][1]), (held[1], " ".join(reversed(rows[0][1].split())))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for least, bucket_rows in ((20_000, 4000), (200, 100)):
+        monkeypatch.setattr(pitmanyor, "LEAST", least)
+        found.append({r["doc_id"]: r for r in pitmanyor.score_texts(docs, bucket_rows=bucket_rows).collect()})
+    for by in found:
+        assert by[held[0]]["score"] > by[held[1]]["score"] + 10
+        assert by[held[0]]["score"] > 0.7 * by[held[0]]["base_score"]
+        assert by[held[0]]["base_score"] == pytest.approx(by[held[1]]["base_score"])
+    assert found[0][held[0]]["score"] == pytest.approx(found[1][held[0]]["score"], rel=0.05)
+
+
+def test_context_adds_up():
+    """Behind each word the known words, the end and any other word have all the probability."""
+    count, ends = np.array([9, 4, 2, 0]), 5
+    size = np.array([2] * 16 + [1] * 4 + [0])
+    token = np.concatenate([np.repeat(np.arange(4), 4), np.tile(np.arange(4), 4)]).reshape(2, 16).T.ravel()
+    token = np.append(token, np.arange(4))
+    local = np.bincount(token)
+    rank = np.argsort(np.argsort(-local, kind="stable"))
+    mine = {"held": np.ones(21, bool), "size": size, "token": pitmanyor.thin(rank[token]), "local": pitmanyor.thin(local), "bounds": np.array([0, 4])}
+    assert pitmanyor.tokens_in(mine).tolist() == token.tolist()
+    pairs = pitmanyor.Pairs(mine, count, np.array([1, 2, 3, 0]), ends, 1, 1 << 40)
+    u, w = pairs.u[pairs.asked], pairs.w[pairs.asked]
+    n = np.zeros(len(u), np.int64)
+    for c in (0, 1, 2, 4):
+        at = np.flatnonzero(u == c)
+        n[at] = np.random.default_rng(c).multinomial(pairs.count[c], np.full(len(at), 1 / len(at)))
+    cut, context = 0.4, np.cumsum(np.diff(u, prepend=u[0]) != 0)
+    tables = pitmanyor.context_tables(context, n, np.full(len(u), 0.2), np.ones(len(u), int), cut, 1.0, 0)
+    assert ((tables >= np.minimum(n, 1)) & (tables <= n)).all() and len(tables) == pitmanyor.SAMPLES
+    total = tables.sum(axis=0)
+    reply = pitmanyor.squeeze(count=pitmanyor.thin(n), tables=pitmanyor.thin(total[n > 1]), seated=pitmanyor.thin(np.bincount(context, total)), cut=cut)
+    plain = np.log10([0.4, 0.2, 0.1, 0.05, 0.25])
+    p = 10 ** pitmanyor.in_context(pairs, [0], [reply], {}, plain, 1.0, 1 << 40)
+    assert len(p) == 25 and np.bincount(pairs.u, p) == pytest.approx(1)
+
+
+def test_tables_of_a_pair_follow_their_distribution():
+    log_s = pitmanyor.stirling(4, 0.3)
+    assert np.exp(log_s[3, 1:4]) == pytest.approx([0.7 * 1.7, 0.7 + 1.4, 1])
+    n = 40_000
+    drawn = pitmanyor.context_tables(np.arange(n), np.full(n, 2), np.full(n, 0.5), np.ones(n, int), 0.3, 1.0, 0)
+    assert (drawn[-1] == 2).mean() == pytest.approx(0.5 / (0.5 + 0.7), abs=0.02)
+
+
+def test_tables_of_words_are_customers_of_the_spelling(spark):
+    text = np.frombuffer(b"ab b ", np.uint8)
+    end = pitmanyor.END
+    assert [divmod(k // 257, 257) + (k % 257,) for k in pitmanyor.byte_keys(text)[0].tolist()][3:] == [(end, end, 98), (end, 98, end)]
+    packed = [pitmanyor.squeeze(text=text, tables=np.array([[1, 1], [5, 2]]))]
+    rows = pitmanyor.spelling_counts(spark.createDataFrame([(bytearray(p),) for p in packed], "packed binary")).collect()
+    keys, word = pitmanyor.byte_keys(text)
+    assert {r["key"]: r["n"] for r in rows} == dict(zip(keys.tolist(), np.array([5, 2])[word].tolist()))
+
+
 def test_seats_keep_their_customers():
     seats = pitmanyor.Seats(np.array([1, 2, 17, 400, 30_000]), np.random.default_rng(0))
     new = np.full(5, 0.7)
