@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -273,9 +274,24 @@ def padded(strings: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), np.uint8).reshape(-1, width)
 
 
+def united(rows: pa.Table) -> pa.Table:
+    """One row for each anchor: a run of windows that crosses a multiple of ``SPAN`` comes in two, of which each knows its own side of the text best."""
+    rows = rows.append_column("before", pc.binary_length(rows.column("left"))).append_column("behind", pc.binary_length(rows.column("right")))
+    how = [("hash", "first"), ("least", "min"), ("most", "max"), ("before", "max"), ("behind", "max")]
+    one = rows.group_by(["class", "place"], use_threads=False).aggregate(how)
+    place = {k: i for i, k in enumerate(zip(one.column("class").to_pylist(), one.column("place").to_pylist()))}
+    at = np.array([place[k] for k in zip(rows.column("class").to_pylist(), rows.column("place").to_pylist())], np.int64)
+    for side, size in (("left", "before"), ("right", "behind")):
+        longest = np.empty(one.num_rows, np.int64)
+        by = np.argsort(rows.column(size).to_numpy(), kind="stable")
+        longest[at[by]] = by
+        one = one.append_column(f"{side}_first", rows.column(side).combine_chunks().take(pa.array(longest)))
+    return one.rename_columns({"least_min": "least_first", "most_max": "most_first"})
+
+
 def equal_windows(rows: pa.Table) -> pa.Table:
     """Runs of window starts (class, start, end of the last window) whose window is found again among the rows."""
-    rows = rows.group_by(["class", "place"], use_threads=False).aggregate([(c, "first") for c in ("hash", "least", "most", "left", "right")])
+    rows = united(rows)
     names, places = rows.column("class").to_numpy(), rows.column("place").to_numpy()
     least, most = rows.column("least_first").to_numpy(), rows.column("most_first").to_numpy()
     _, group = np.unique(rows.column("hash_first").to_numpy(), return_inverse=True)

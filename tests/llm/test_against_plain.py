@@ -74,6 +74,17 @@ def test_repeated_bytes(spark, docs, texts, hot):
         assert (r["n_removed"], r["n_spans"], r["kept_sha256"]) == (gone, runs, hashlib.sha256(kept).hexdigest())
 
 
+@pytest.mark.parametrize("behind", [10, 90])
+def test_repeats_behind_a_span(spark, behind):
+    """A passage that begins right behind a multiple of SPAN of a long text goes whole."""
+    rng = random.Random(11)
+    draw = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    passage, at = draw(250), suffixes.SPAN + behind
+    rows = [(1, draw(at) + "#" + passage + "+" + draw(3000)), (2, draw(500) + "-" + passage + "=" + draw(500))]
+    found = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in found} == {1: (250, 1), 2: (250, 1)}
+
+
 def test_blind_trie():
     rng = random.Random(1)
     for _ in range(300):
