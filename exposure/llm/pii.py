@@ -1,8 +1,9 @@
 """Personal data by rules and a skip-chain conditional random field.
 
 Rules find e-mail addresses, IP addresses, card and phone numbers. The field runs over the tokens of a text that hold a digit
-or an @: neighbours are linked in a chain, and each token is linked to the next one of the same content (letters in lower case, or
-its digits alone where there are five or more), however far away. Loopy message passing then makes labels agree across the text, and
+or an @: neighbours are linked in a chain, and all mentions of one content (letters in lower case, or
+its digits alone where there are five or more; numbers written in groups count as one, whatever blanks, dots, brackets and hyphens part them) share
+a hub, however far apart they are: two mentions with a hub are as two with a skip edge. Loopy message passing until messages settle then makes labels agree across the text, and
 tokens labelled with a marginal of at least ``certain`` that no rule found are added. Rule spans always stay.
 
 Potentials are learned piecewise from the rules' own labels on a bounded sample (``sample_rows`` texts with a digit or @,
@@ -27,12 +28,14 @@ from pyspark.sql import functions as F
 KINDS = ("email", "ip", "card", "phone")
 SPACE = 1 << 14
 LABELS = 1 + len(KINDS)
-ROUNDS = 6
+ROUNDS, SETTLED = 200, 1e-3
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 Span = tuple[int, int, int]
 
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"\S*[0-9@]\S*")
+NUMBER = re.compile(r"[0-9().+-]+")
+BETWEEN = re.compile(r"[ ().+-]{1,4}")
 EDGES = "\"'()[]{}<>,.;:!?|*#$%&"
 ADDRESS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 RULES = (
@@ -121,18 +124,38 @@ def features(text: str, lo: int, hi: int) -> list[int]:
     return [zlib.crc32(x.encode()) % SPACE for x in named]
 
 
-def links(text: str, spots: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain and skip edges."""
-    chain = [(i, i + 1) for i in range(len(spots) - 1) if text[spots[i][1] : spots[i + 1][0]] in (" ", "-", ") ", ", ", ". ")]
-    skip, last = [], {}
+def mentions(text: str, spots: list[tuple[int, int]]) -> list[list[list[int]]]:
+    """For each content that is found again its mentions, each the list of its tokens."""
+    held: dict[str, list[list[int]]] = {}
+    plain, run = [], []
     for i, (lo, hi) in enumerate(spots):
         token = text[lo:hi]
         digits = digits_of(token)
-        key = digits if len(digits) >= 5 and "@" not in token and "." not in token else token.lower()
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
-    return chain, skip
+        plain.append(NUMBER.fullmatch(token) is not None and not (RULES[1].fullmatch(token) and valid(1, token)))
+        number = len(digits) >= 5 and "@" not in token and ("." not in token or plain[i] and len(digits) >= 9)
+        held.setdefault(digits if number else token.lower(), []).append([i])
+        if plain[i] and i and plain[i - 1] and BETWEEN.fullmatch(text, spots[i - 1][1], lo):
+            run[-1].append(i)
+        else:
+            run.append([i])
+    for part in run:
+        digits = digits_of(text[spots[part[0]][0] : spots[part[-1]][1]]) if len(part) > 1 else ""
+        if 9 <= len(digits) <= 19:
+            held.setdefault(digits, []).append(part)
+    return [sorted(m) for m in held.values() if len(m) > 1]
+
+
+def links(text: str, spots: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[list[list[int]]]]:
+    """Chain edges, and mentions that share a hub."""
+    chain = [(i, i + 1) for i in range(len(spots) - 1) if text[spots[i][1] : spots[i + 1][0]] in (" ", "-", ") ", ", ", ". ")]
+    return chain, mentions(text, spots)
+
+
+def half(pair: np.ndarray) -> np.ndarray:
+    """The potential of a mention and its hub: two of them, summed over the hub, are that of two mentions."""
+    value, vector = np.linalg.eigh(np.exp((pair + pair.T) / 2))
+    root = (vector * np.sqrt(np.maximum(value, 0))) @ vector.T
+    return np.log(np.maximum(root, 1e-3 * root.max()))
 
 
 def labelled(spots: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
@@ -153,7 +176,9 @@ def fit(texts: list[str], rounds: int = 5, seed: int = 5) -> dict[str, np.ndarra
         y = labelled(spots, base_spans(text))
         rows += [features(text, lo, hi) for lo, hi in spots]
         marks += y.tolist()
-        for name, edges in zip(pairs, links(text, spots)):
+        chain, groups = links(text, spots)
+        skip = [(m[-1], n[0]) for group in groups for m, n in zip(group, group[1:])]
+        for name, edges in zip(pairs, (chain, skip)):
             for i, j in edges:
                 pairs[name][y[i], y[j]] += 1
                 pairs[name][y[j], y[i]] += 1
@@ -181,20 +206,25 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 def marginals(text: str, spots: list[tuple[int, int]], model: dict[str, np.ndarray]) -> np.ndarray:
     """Label probabilities of the tokens after loopy message passing."""
     own = np.array([model["token"][features(text, lo, hi)].sum(axis=0) for lo, hi in spots])
-    chain, skip = links(text, spots)
+    chain, groups = links(text, spots)
+    skip = [(i, len(spots) + hub) for hub, group in enumerate(groups) for mention in group for i in mention]
     ends = np.array(chain + skip, int).reshape(-1, 2)
+    own = np.concatenate([own, np.zeros((len(groups), LABELS))])
     source, target = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
-    pair = np.concatenate([np.repeat(model[k][None], len(e), axis=0) for k, e in (("chain", chain), ("skip", skip))])
+    pair = np.concatenate([np.repeat(p[None], len(e), axis=0) for p, e in ((model["chain"], chain), (half(model["skip"]), skip))])
     pair = np.concatenate([pair, pair.transpose(0, 2, 1)])
     back = np.roll(np.arange(2 * len(ends)), len(ends))
     sent = np.zeros((2 * len(ends), LABELS))
     belief = own.copy()
     for _ in range(ROUNDS if len(ends) else 0):
         new = log_sum((belief[source] - sent[back])[:, :, None] + pair, 1)
-        sent = 0.5 * sent + 0.5 * (new - log_sum(new, 1)[:, None])
+        step = new - log_sum(new, 1)[:, None] - sent
+        sent = sent + 0.5 * step
         belief = own.copy()
         np.add.at(belief, target, sent)
-    return np.exp(belief - log_sum(belief, 1)[:, None])
+        if np.abs(step).max() < SETTLED:
+            break
+    return np.exp(belief - log_sum(belief, 1)[:, None])[: len(spots)]
 
 
 def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray], certain: float = 0.95) -> list[Span]:
