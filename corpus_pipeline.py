@@ -20,8 +20,8 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that many texts of a host share, and rejects failing and depleted documents."""
-    return _measured(lines.clean_documents(docs))
+    """Takes out lines that over 10 texts of a host share, however large it is, and rejects failing and depleted documents."""
+    return _measured(lines.clean_documents(docs, share=0.0))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

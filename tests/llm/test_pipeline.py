@@ -89,3 +89,12 @@ def test_packing(stages):
     tokens = sum(len(whole.encode(r["text"], add_special_tokens=False).ids) + 1 for r in before)
     assert sum(r["length"] for r in after) == tokens
     assert collections.Counter(r["doc_id"] for r in after if r["start"] == 0) == collections.Counter(r["doc_id"] for r in before)
+
+
+def test_lines_of_a_large_host(spark):
+    """A line in 20 of 3,000 texts of a host goes as it would on a small one."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, own(i) + ("\nall rights reserved" if i < 20 else ""), "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert len(out) == 3000 and [d for d in sorted(out) if "rights" in out[d]] == [0]
