@@ -6,7 +6,9 @@ import importlib
 
 from pyspark import cloudpickle
 
-IN_TASKS: tuple[str, ...] = ("blocks", "bytecnn", "hyperminhash", "langid", "packing", "pii", "pitmanyor", "suffixes", "webp")
+IN_TASKS: tuple[str, ...] = (
+    "balltree", "blocks", "bytecnn", "bytepairs", "hyperminhash", "langid", "packing", "pii", "pitmanyor", "suffixes", "webp",
+)
 
 
 def travel_with_jobs() -> None:

@@ -70,4 +70,89 @@ counted AS (
 SELECT doc_id, text, lang, source, n_chars, unnest(range(0, k))::INTEGER AS "copy" FROM counted
 """
 
-ORACLES = {"op1_line_frequency": OP1, "op9_poisson_mix": OP9}
+OP11 = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM documents
+),
+i AS (
+    SELECT row_number() OVER () AS q, item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+    FROM benchmark
+),
+terms AS (SELECT DISTINCT q, item_id, unnest(ts) AS t FROM i),
+size AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS length FROM d),
+tf AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(ts) AS t FROM d) SEMI JOIN terms USING (t) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT t, count(*) AS df FROM tf GROUP BY t), size),
+m AS (SELECT r, doc_id, 50 + (50 * len(ts) * n_docs) // length AS m FROM d, size WHERE len(ts) > 0),
+scores AS (
+    SELECT q, item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM terms JOIN w USING (t) JOIN tf USING (t) JOIN m USING (r) GROUP BY q, item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+# crc32 is a fold of bits over the decimal digits; ``lvl`` of the nodes above the subroots comes after all others.
+OP13 = r"""
+WITH RECURSIVE rows_ AS (
+    SELECT doc_id, lang, coalesce(strlen(source) || ':' || source, '-') AS s, coalesce(strlen(lang) || ':' || lang, '-') AS g,
+        coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') AS i, coalesce(strlen(text) || ':' || text, '-') AS t, n_chars,
+        4294967295 - list_reduce(
+            list_prepend(4294967295, [ascii(c)::BIGINT FOR c IN string_split(doc_id::VARCHAR, '')]),
+            lambda a, b: list_reduce(
+                list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END
+            )
+        ) AS crc
+    FROM documents
+),
+hashed AS (
+    SELECT doc_id, lang, sha256(i || s || g || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || t) AS leaf,
+        CASE WHEN doc_id IS NOT NULL AND crc % 7 = 0 THEN sha256(i || s || g || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || t) END AS changed
+    FROM rows_
+),
+leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM hashed
+),
+nodes(lang, lvl, pos, h, n) AS (
+    SELECT lang, 0, pos, leaf, n FROM leaves
+    UNION ALL
+    SELECT lang, lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM nodes WHERE n > 1 GROUP BY lang, lvl, pos // 2, n
+),
+subroots AS (SELECT lang, lvl AS depth, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops(lvl, pos, h, n) AS (
+    SELECT 0, pos, h, n FROM subroots
+    UNION ALL
+    SELECT lvl + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tops WHERE n > 1 GROUP BY lvl, pos // 2, n
+),
+own AS (
+    SELECT l.lang, l.pos, k.lvl, (l.pos >> k.lvl) AS at FROM leaves l JOIN nodes k ON l.lang IS NOT DISTINCT FROM k.lang AND k.pos = (l.pos >> k.lvl) AND k.n > 1
+),
+met AS (
+    SELECT own.lang, own.pos, own.lvl, CASE WHEN x.h IS NULL THEN 'N' WHEN own.at % 2 = 1 THEN 'L' ELSE 'R' END AS side, coalesce(x.h, '') AS h
+    FROM own LEFT JOIN nodes x ON own.lang IS NOT DISTINCT FROM x.lang AND own.lvl = x.lvl AND x.pos = xor(own.at, 1)
+),
+top_met AS (
+    SELECT s.lang, k.lvl, CASE WHEN x.h IS NULL THEN 'N' WHEN (s.pos >> k.lvl) % 2 = 1 THEN 'L' ELSE 'R' END AS side, coalesce(x.h, '') AS h
+    FROM subroots s JOIN tops k ON k.pos = (s.pos >> k.lvl) AND k.n > 1 LEFT JOIN tops x ON x.lvl = k.lvl AND x.pos = xor(s.pos >> k.lvl, 1)
+),
+every AS (
+    SELECT lang, pos, lvl, side, h FROM met
+    UNION ALL
+    SELECT l.lang, l.pos, 1000 + t.lvl, side, h FROM leaves l JOIN top_met t ON l.lang IS NOT DISTINCT FROM t.lang
+),
+paths AS (SELECT lang, pos, string_agg(h, '' ORDER BY lvl) AS siblings, list(side || h ORDER BY lvl) AS steps FROM every GROUP BY lang, pos),
+proofs AS (
+    SELECT l.doc_id, l.leaf, s.h AS subroot, (SELECT h FROM tops WHERE n = 1) AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256,
+        list_reduce(
+            list_prepend(coalesce(l.changed, l.leaf), coalesce(p.steps, [])),
+            lambda a, x: sha256(CASE x[1] WHEN 'L' THEN x[2:] || a WHEN 'R' THEN a || x[2:] ELSE a END)
+        ) AS folded_root
+    FROM leaves l JOIN subroots s ON l.lang IS NOT DISTINCT FROM s.lang LEFT JOIN paths p ON l.lang IS NOT DISTINCT FROM p.lang AND l.pos = p.pos
+)
+SELECT *, folded_root = root AS verified FROM proofs
+"""
+
+ORACLES = {"op1_line_frequency": OP1, "op9_poisson_mix": OP9, "op11_ball_tree": OP11, "op13_struct_rollup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, pitmanyor, suffixes, webp
+from exposure.llm import balltree, bytecnn, bytepairs, hyperminhash, langid, lines, manifest, mixing, packing, pii, pitmanyor, suffixes, webp
 from exposure.llm.oracles import ORACLES  # noqa: F401
 
 
@@ -55,6 +55,18 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytecnn.quality(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return balltree.ranked(documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_rank_merging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytepairs.token_counts(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_struct_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +80,9 @@ QUERIES = {
         op8_suffixes,
         op9_poisson_mix,
         op10_byte_cnn,
+        op11_ball_tree,
+        op12_rank_merging,
+        op13_struct_rollup,
     )
 }
 

@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(__file__))
 
-from exposure.llm import bytecnn, hyperminhash, langid, lines, mixing, packing, pii, pitmanyor, suffixes, webp  # noqa: E402
+from exposure.llm import balltree, bytecnn, bytepairs, hyperminhash, langid, lines, manifest, mixing, packing, pii, pitmanyor, suffixes, webp  # noqa: E402
 
 TOKENS = public_tokenizers.path("word_bpe_49k.json")
 LONG = "word " * 60_000
@@ -41,9 +41,12 @@ OPERATORS = {
     "suffixes": lambda d, k: suffixes.remove_repeats(d),
     "mixing": lambda d, k: mixing.replicate(d),
     "bytecnn": lambda d, k: bytecnn.quality(d, k),
+    "balltree": lambda d, k: balltree.ranked(d, d.sparkSession.createDataFrame([(1, "same word é")], "item_id long, text string")),
+    "bytepairs": lambda d, k: bytepairs.token_counts(d, public_tokenizers.path("byte_bpe_50k.json")),
+    "manifest": lambda d, k: manifest.manifest(d),
 }
-EACH_ROW = ("lines", "pitmanyor", "pii", "mask", "webp", "near", "langid", "suffixes", "bytecnn")
-CLASHING = ("_row", "_all", "row", "label", "copy", "n_words", "kept", "_line", "fingerprint", "bucket", "_key", "packed", "score", "held_out")
+EACH_ROW = ("lines", "pitmanyor", "pii", "mask", "webp", "near", "langid", "suffixes", "bytecnn", "bytepairs")
+CLASHING = ("_row", "_all", "row", "label", "copy", "n_words", "kept", "_line", "fingerprint", "bucket", "_key", "packed", "score", "held_out", "rank", "size", "node", "block", "terms", "_tie", "leaf", "root")
 
 
 @pytest.fixture(scope="module")
