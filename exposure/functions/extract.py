@@ -145,7 +145,7 @@ def _json_pieces(pairs: str) -> str:
     return f"concat({all_values}, transform({named}, p -> concat('{_NAMED}', p.value)))"
 
 
-def _high_entropy_hits_sql(text: str, min_len: int = 12, min_entropy: float = 4.0) -> str:
+def _high_entropy_matches_sql(text: str, min_len: int = 12, min_entropy: float = 4.0) -> str:
     gate = Gate(min_len, min_entropy)
     passes = (
         f"octet_length(m) >= {min_len} AND size(array_distinct(split(m, ''))) >= {gate.min_distinct} "
@@ -154,10 +154,18 @@ def _high_entropy_hits_sql(text: str, min_len: int = 12, min_entropy: float = 4.
     shortest = min(n for _, n in SHAPES)
     return S.let(
         long_runs(text, shortest),
-        lambda runs: f"size(filter(array_distinct({shape_matches(runs, gate.min_chars)}), m -> {passes}))",
+        lambda runs: f"filter(array_distinct({shape_matches(runs, gate.min_chars)}), m -> {passes})",
     )
 
 
+def _high_entropy_hits_sql(text: str, min_len: int = 12, min_entropy: float = 4.0) -> str:
+    return f"size({_high_entropy_matches_sql(text, min_len, min_entropy)})"
+
+
+def _high_entropy_hashes_sql(text: str, min_len: int = 12, min_entropy: float = 4.0) -> str:
+    return f"transform({_high_entropy_matches_sql(text, min_len, min_entropy)}, m -> sha2(m, 256))"
+
+
 def _seeded_sql(text: str, gate: Gate = Gate()) -> str:
     return _finish(_tag(shape_matches(text, gate.min_chars), _CUT), gate)
 
@@ -177,7 +185,7 @@ def _from_json_sql(text: str, gate: Gate = Gate()) -> str:
     return _finish(S.let(json_pairs(text), _json_pieces), gate)
 
 
-def _candidates_sql(text: str, gate: Gate = Gate()) -> str:
+def _candidates_sql(text: str, gate: Gate = Gate(), structured: bool = True) -> str:
     n = gate.min_chars
 
     def of_runs(runs: str) -> str:
@@ -185,12 +193,14 @@ def _candidates_sql(text: str, gate: Gate = Gate()) -> str:
         whole = f"concat({right_hand_sides(text, n)}, {line_tokens_sql(runs, n)}, {plain_words(runs, n)})"
         return f"concat({_tag(cut, _CUT)}, {_tag(whole, _WHOLE)})"
 
-    pieces = f"concat({S.let(long_runs(text, n), of_runs)}, {S.let(json_pairs(text), _json_pieces)})"
+    pieces = S.let(long_runs(text, n), of_runs)
+    if structured:
+        pieces = f"concat({pieces}, {S.let(json_pairs(text), _json_pieces)})"
     return f"if({text} IS NULL, {_NONE}, {_finish(pieces, gate)})"
 
 
-def _candidate_hashes_sql(text: str, gate: Gate = Gate()) -> str:
-    return f"transform({_candidates_sql(text, gate)}, c -> sha2(c, 256))"
+def _candidate_hashes_sql(text: str, gate: Gate = Gate(), structured: bool = True) -> str:
+    return f"transform({_candidates_sql(text, gate, structured)}, c -> sha2(c, 256))"
 
 
 def _line_tokens_column_sql(text: str, least: int) -> str:
@@ -200,6 +210,7 @@ def _line_tokens_column_sql(text: str, least: int) -> str:
 # --- column functions -------------------------------------------------------------------------
 
 _high_entropy_hits = S.column_function(_high_entropy_hits_sql)
+_high_entropy_hashes = S.column_function(_high_entropy_hashes_sql)
 _seeded = S.column_function(_seeded_sql)
 _from_lines = S.column_function(_from_lines_sql)
 _from_words = S.column_function(_from_words_sql)
@@ -214,6 +225,11 @@ def high_entropy_hits(text: Column | str, min_len: int = 12, min_entropy: float
     return _high_entropy_hits(text, min_len, float(min_entropy))
 
 
+def high_entropy_hashes(text: Column | str, min_len: int = 12, min_entropy: float = 4.0) -> Column:
+    """SHA-256 (hex) of the distinct shape matches that ``high_entropy_hits`` counts."""
+    return _high_entropy_hashes(text, min_len, float(min_entropy))
+
+
 def seeded(text: Column | str, gate: Gate = Gate()) -> Column:
     """Candidates found by shape alone."""
     return _seeded(text, gate)
@@ -244,6 +260,7 @@ def candidates(text: Column | str, gate: Gate = Gate()) -> Column:
     return _candidates(text, gate)
 
 
-def candidate_hashes(text: Column | str, gate: Gate = Gate()) -> Column:
-    """SHA-256 (hex) of every candidate of a text."""
-    return _candidate_hashes(text, gate)
+def candidate_hashes(text: Column | str, gate: Gate = Gate(), structured: bool = True) -> Column:
+    """SHA-256 (hex) of every candidate of a text. Without ``structured`` the text is not tried as JSON; all else goes by lines, so the candidates of a
+    text are then those of its parts, cut behind line ends."""
+    return _candidate_hashes(text, gate, structured)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposure.functions.extract import candidate_hashes, high_entropy_hits
+from exposure.functions.extract import candidate_hashes, high_entropy_hashes, high_entropy_hits
 from exposure.functions.globs import any_of, suspicious_format
 from exposure.functions.names import basename, masked_location, opaque_id
 from exposure.functions.text import entropy, let, parse_json
-from exposure.operators.joins import keep_where
+from exposure.operators.joins import join_by_hash, keep_where
 from exposure.operators.known import count_known
 from exposure.params import GENERIC_MIN_HITS, Gate
 
@@ -234,6 +234,115 @@ def findings(
     )
 
 
+# --- files in parts -----------------------------------------------------------------------------
+
+# What the formats of text exports are told by, as it is or with all letters in lower case. No mark goes over a line end.
+_MARKS = (
+    ("password", True), ("login", True), ("bitwarden", True), ("dashlane", True), ('"username"', True), ('"password"', True),
+    ("onepassword", True), (".1pif", False), ('"password"', False),
+)
+
+
+def _mark_bits(text: Column) -> Column:
+    """One bit for each mark that the text holds."""
+    held = [F.when(F.contains(F.lower(text) if low else text, F.lit(m)), 1 << i).otherwise(0) for i, (m, low) in enumerate(_MARKS)]
+    total = held[0]
+    for h in held[1:]:
+        total = total + h
+    return total
+
+
+def format_by_marks(name: Column, hits: Column, marks: Column) -> Column:
+    """The format of a file that is no JSON, from its name, its distinct hits and its marks; NULL for one of no interest."""
+
+    def has(mark: str, low: bool = True) -> Column:
+        return marks.bitwiseAND(F.lit(1 << _MARKS.index((mark, low)))) != 0
+
+    lower, some = F.lower(name), hits > 0
+    generic = F.when(hits >= GENERIC_MIN_HITS, FORMAT_GENERIC).otherwise(suspicious_format(name))
+    vault = has("password") & has("login") & (some | has("bitwarden"))
+    dash = has("dashlane") | (has('"username"') & has('"password"') & some)
+    one = (has(".1pif", False) | has("onepassword") | has('"password"', False)) & some
+    return (
+        F.when(lower.endswith(".csv") & vault, FORMAT_VAULT_CSV)
+        .when(lower.endswith(".csv") & dash, FORMAT_DASHLANE)
+        .when(lower.endswith(".1pif") & one, FORMAT_1PIF)
+        .otherwise(generic)
+    )
+
+
+def findings_of_parts(
+    parts: DataFrame,
+    registry: DataFrame,
+    home: str = "",
+    gate: Gate = Gate(),
+    id_cols: tuple[str, ...] = ("path",),
+    known_always: bool = False,
+) -> DataFrame:
+    """As ``findings``, for files that may come in parts (``part_no, whole, error`` beside ``path, modified, size, content``).
+
+    A file has one finding, whatever number of parts: its binary gate is that of its first part, its hits and known values are the distinct
+    ones of all parts, and its format is decided on what all parts hold together. One pass over the contents; hashes and narrow rows are
+    united. What could not be read is a row with ``error`` and no format.
+    """
+    name, path = basename(F.col("path")), F.col("path")
+    content = F.col("content").cast("binary")
+    text = F.col("content").cast("string")
+    first = F.when(F.col("part_no") == 0, is_text_file(F.col("size"), content))
+    looked = F.col("whole") & first
+    rest = [c for c in ("path", "modified", "size") if c not in id_cols]
+    detected = parts.select(
+        *id_cols, *rest, "error", "part_no", "whole", first.alias("_text_file"), text.alias("_text"), F.when(looked, detect_format(text, name)).alias("_d"),
+    )
+    wanted = F.lit(True) if known_always else F.col("_d.format").isNotNull()
+
+    def tagged(kind: str, hashes: Column) -> Column:
+        return F.transform(hashes, lambda h: F.struct(F.lit(kind).alias("kind"), h.alias("hash")))
+
+    cut = ~F.col("whole") & F.col("error").isNull()
+    hashes = (
+        F.when(F.col("whole") & F.col("_text_file") & wanted, tagged("known", candidate_hashes("_text", gate)))
+        .when(cut, F.concat(tagged("known", candidate_hashes("_text", gate, False)), tagged("hit", high_entropy_hashes("_text", 12, 4.0))))
+        .when(F.col("error").isNotNull(), F.array().cast("array<struct<kind:string,hash:string>>"))
+    )
+    scored = keep_where(
+        detected.select(
+            *id_cols, *rest, "error", "_text_file", "whole", F.col("_d.format").alias("_format"), F.col("_d.hits").alias("_hits"),
+            F.when(cut, _mark_bits(F.col("_text"))).otherwise(0).alias("_marks"), hashes.alias("_hashes"),
+        ),
+        F.col("_hashes").isNotNull(),
+    )
+    file = [*id_cols, *rest]
+    facts = {"error": F.min, "_text_file": F.bool_or, "whole": F.bool_and, "_format": F.max, "_hits": F.max, "_marks": F.bit_or}
+    rows = scored.select(*file, *facts, F.explode_outer("_hashes").alias("_h")).select(*file, *facts, "_h.kind", "_h.hash")
+    looked_up = rows.withColumn("_key", F.when(F.col("kind") == "known", F.col("hash")))
+    flagged = join_by_hash(looked_up, registry.select("hash", F.lit(1).alias("_known")).withColumnRenamed("hash", "_key"), [*id_cols, "hash"], key="_key")
+    # Parts may share values: each counts once in a file.
+    once = flagged.groupBy(*file, "kind", "hash").agg(*[f(c).alias(c) for c, f in facts.items()], F.max("_known").alias("_known"))
+    united = once.groupBy(*file).agg(
+        *[f(c).alias(c) for c, f in facts.items()], F.count("_known").alias("known"), F.count_if(F.col("kind") == "hit").alias("_found")
+    )
+    hits = F.when(F.col("whole"), F.col("_hits")).otherwise(F.col("_found").cast("int"))
+    named = F.when(F.col("whole"), F.col("_format")).otherwise(format_by_marks(basename(path), F.col("_found"), F.col("_marks")))
+    counted = united.withColumns({"entropy_hits": hits, "format": named})
+    if known_always:
+        known_too = F.when((F.col("known") > 0) & F.col("error").isNull(), FORMAT_GENERIC)
+        counted = counted.withColumn("format", F.coalesce("format", known_too))
+    counted = counted.filter(F.col("error").isNotNull() | (F.col("_text_file") & F.col("format").isNotNull()))
+    return counted.select(
+        *id_cols,
+        masked_location(path, home).alias("location"),
+        basename(path).alias("basename"),
+        F.date_trunc("second", "modified").alias("last_mod"),
+        "format",
+        F.when(F.col("error").isNull(), confidence(F.col("format"), F.col("entropy_hits"), F.col("known"))).alias("confidence"),
+        F.when(F.col("error").isNull(), F.col("known").cast("int")).alias("known_matches"),
+        "entropy_hits",
+        "size",
+        "error",
+    )
+
+
 def summary(found: DataFrame, order_by: list[str], sample: int = 3) -> DataFrame:
     """One row: number of findings and the first few locations in scan order."""
     first = found.orderBy(*order_by).limit(sample)

@@ -11,6 +11,7 @@ from exposure.operators import policy as P
 from exposure.operators import residue
 from exposure.functions.names import basename, dirname
 from exposure.params import IGNORE_FILES, Gate, PathPolicy, merge_surfaces
+from exposure.sources import walk
 
 
 def with_surface(files: DataFrame, policy: PathPolicy) -> DataFrame:
@@ -76,6 +77,29 @@ def scan(
     )
 
 
+def scan_listing(
+    listing: DataFrame,
+    registry: DataFrame,
+    policy: PathPolicy,
+    rules: DataFrame | None = None,
+    home: str = "",
+    gate: Gate = Gate(),
+    dedupe: bool = False,
+    known_always: bool = False,
+    max_bytes: int = 1 << 30,
+) -> DataFrame:
+    """Findings of a stored listing (``walk.listing``), and what could not be listed or read as rows with ``error``.
+
+    Roots, surfaces and ignore rules decide on paths; only the files left are opened, in parts of ``max_bytes``. Store the result before it is read more than
+    once: it reads the files."""
+    bad = listing.filter(F.col("error").isNotNull()).withColumns({"surface_no": F.lit(None).cast("int")})
+    placed = examined(listing.filter(F.col("error").isNull()), policy, rules, dedupe)
+    wanted = placed.select("surface_no", "path", "modified", "size", "error").unionByName(bad.select("surface_no", "path", "modified", "size", "error"))
+    return residue.findings_of_parts(
+        walk.contents(wanted, max_bytes), registry, home, gate, id_cols=("surface_no", "path"), known_always=known_always
+    )
+
+
 def scanned_directories(corpus: DataFrame, policy: PathPolicy, rules: DataFrame | None = None) -> DataFrame:
     """``surface_no, directory`` of every directory walked: the ones that hold files and all
     between them and their surface, without skipped and ignored ones."""

@@ -3,11 +3,11 @@
 Spark's own file sources leave out names that begin with a dot, which is where secrets live.
 This Python data source lists every regular file below its roots, never follows symbolic links
 and prunes skipped directories before descending. The driver only opens enough top directories to
-give every task a share; each task walks and reads its own subtrees. Paths are opened by the operating system, so every
-executor must mount the roots.
+give every task a share; each task walks and reads its own subtrees. For large corpora ``walk`` lists as jobs instead. Paths are
+opened by the operating system, so every executor must mount the roots.
 
 A file of more than ``maxBytes`` comes as several rows, cut behind the last line end of each part (``part_no`` from 0). What
-can't be listed or read comes as a row with ``error`` and no content. ``contents=false`` lists only.
+can't be listed or read, a missing root included, comes as a row with ``error`` and no content. ``contents=false`` lists only.
 
     spark.dataSource.register(CorpusSource)
     spark.read.format("corpus").option("roots", "/data/a,/data/b").load()
@@ -78,8 +78,10 @@ def _entries(directory: str, skip: frozenset) -> tuple[list, list]:
 
 def _shares(opts: ListingOptions, after=None, upto=None) -> list[Share]:
     """Open directories breadth first until there is one per share, then deal them out."""
-    frontier = [r for r in opts.roots if os.path.isdir(r) and os.path.basename(r) not in opts.skip]
-    listed: list = []
+    roots = [r for r in opts.roots if os.path.basename(r) not in opts.skip]
+    frontier = [r for r in roots if os.path.isdir(r)]
+    # A root that is missing, or no folder, fails again in its task and is a row with an error there.
+    listed: list = [r for r in roots if not os.path.isdir(r)]
     while frontier and len(frontier) < opts.shares:
         opened = [_entries(d, opts.skip) for d in frontier]
         for _, files in opened:
@@ -109,6 +111,8 @@ def _rows(share: Share, opts: ListingOptions):
             if stat.S_ISDIR(st.st_mode):
                 os.scandir(path).close()
                 raise OSError("its entries could not be read")
+            if path in opts.roots:
+                raise NotADirectoryError("a root that is no folder")
             head = path, dt.datetime.fromtimestamp(st.st_mtime, dt.timezone.utc), st.st_size
             if not opts.contents:
                 yield *head, None, 0, None

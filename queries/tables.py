@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from exposure.functions.extract import candidate_hashes
 from exposure.functions.names import opaque_id
 from exposure.params import Gate
+from exposure.shared import folder
 
 # The secrets in the given texts are 40 hex digits, which carry at most 4 bits per character.
 LOW = Gate(min_len=32, min_entropy=3.0)
@@ -262,11 +260,5 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, prefix: str) -> str:
-    """A new folder in the shared checkpoint directory of the session; a local one only where Spark runs on one machine."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if base:
-        return f"{base}/{prefix}{uuid.uuid4().hex}"
-    if not context.master.startswith("local[") and context.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return tempfile.mkdtemp(prefix=f"spark-{prefix}")
+    """A new folder in the shared checkpoint directory of the session."""
+    return folder(spark, prefix)
