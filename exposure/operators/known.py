@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from exposure.functions.extract import candidate_hashes, candidates
 from exposure.functions.text import sha256_hex
-from exposure.operators.joins import join_by_hash
+from exposure.operators.joins import heavy_keys, join_by_hash, join_spread, may_be_in, prefix_bitmap
 from exposure.params import PLACEHOLDER, Gate
+from exposure.shared import folder
 
 
 def known_values(rows: DataFrame, registry: DataFrame, spread_by: list[str]) -> DataFrame:
@@ -36,6 +37,27 @@ def known_per_text(df: DataFrame, id_cols: list[str], text: str, registry: DataF
     return count_known(hashes, id_cols, "_hashes", registry)
 
 
+def known_measured(df: DataFrame, id_cols: list[str], text: str, registry: DataFrame, gate: Gate = Gate(), store: str | None = None) -> DataFrame:
+    """As ``known_per_text``, for large corpora: candidates that can't be known are dropped before anything moves, and heavy secrets are spread by
+    their measured share.
+
+    A candidate is tested in its row against a bitmap of the registry's prefixes (2 MB at most). What may be known is stored below
+    ``store``, ids and hashes only; a sketch over it finds the secrets that so many texts share that they need several partitions, and only
+    these are salted. Texts without a candidate left don't take part in the join. ``registry`` is read twice and should be a stored table. ``id_cols`` must be unique.
+    """
+    spark = df.sparkSession
+    bitmap = prefix_bitmap(registry)
+    hashes = df.select(*id_cols, candidate_hashes(text, gate).alias("_hashes"), bitmap.alias("_bitmap"))
+    likely = hashes.select(*id_cols, F.filter("_hashes", lambda h: may_be_in(h, F.col("_bitmap"))).alias("_hashes"))
+    path = store or folder(spark, "likely-")
+    likely.write.mode("overwrite").parquet(path)
+    stored = spark.read.schema(likely.schema).parquet(path)
+    rows = stored.select(*id_cols, F.explode("_hashes").alias("hash"))
+    found = join_spread(rows, registry.select("hash"), heavy_keys(rows), [*id_cols, "hash"], "left_semi")
+    none = stored.select(*id_cols, F.lit(0).cast("long").alias("known"))
+    return found.groupBy(*id_cols).agg(F.count(F.lit(1)).alias("known")).unionByName(none).groupBy(*id_cols).agg(F.sum("known").alias("known"))
+
+
 def output_check(captures: DataFrame, registry: DataFrame, gate: Gate = Gate()) -> DataFrame:
     """Known secrets in captured command output, counted for failed commands too.
 

@@ -16,7 +16,7 @@ from exposure.functions.globs import (
 )
 from exposure.functions.names import basename, dirname
 from exposure.functions.text import trim_space
-from exposure.operators.joins import join_by_hash
+from exposure.operators.joins import join_by_hash, small_enough
 from exposure.params import PathPolicy, Surface
 
 PREFIX_SALTS = 64
@@ -169,6 +169,25 @@ def mark_ignored(paths: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("ignored", F.coalesce(ignored, F.lit(False))).drop("rules")
 
 
+def without_ignored(files: DataFrame, rules: DataFrame, key: list[str]) -> DataFrame:
+    """The files ``root, rel, ...`` that no rule ignores; contents ride along without moving.
+
+    Rules that are small, as they mostly are, go to the files, once their size is checked. Otherwise paths alone are joined with the
+    rules, and the files to leave out are then looked up by ``key``.
+    """
+    if small_enough(rules):
+        joined = files.join(F.broadcast(rules), "root", "left")
+        ignored = F.when(F.col("rules").isNotNull(), is_ignored(F.col("rules"), F.col("rel"), F.lit(False)))
+        return joined.filter(~F.coalesce(ignored, F.lit(False))).select(*files.columns)
+    paths = files.select(*dict.fromkeys([*key, "root", "rel"])).withColumn("is_dir", F.lit(False))
+    gone = mark_ignored(paths, rules).filter("ignored").select(*key).distinct()
+    same = [files[c].eqNullSafe(gone[c]) for c in key]
+    on = same[0]
+    for s in same[1:]:
+        on = on & s
+    return files.join(gone, on, "left_anti")
+
+
 def is_history_target(path: Column, roots, extras=(), history_file: str | None = None) -> Column:
     """A history file directly in a root, or one named explicitly."""
     named = [x for x in (*extras, history_file) if x]

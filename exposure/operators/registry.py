@@ -14,6 +14,8 @@ from exposure.functions.names import fallback_name
 from exposure.operators.joins import join_by_hash
 
 HEX64 = "^[0-9a-fA-F]{64}$"
+# Repeats of a row that one task writes.
+RUN = 10_000
 BUCKET_DIGITS = 3
 
 
@@ -99,11 +101,14 @@ def check_hex(asked: DataFrame, pairs: DataFrame, column: str = "hash_hex") -> D
     distinct = asked.select(valid.alias("hash")).filter(F.col("hash").isNotNull()).distinct()
     hits = distinct.join(pairs.select("hash"), "hash", "left_semi").withColumn("_hit", F.lit(True))
     keyed = asked.withColumn("hash", valid)
-    return (
-        join_by_hash(keyed, hits, columns)
-        .withColumn("_repeat", F.explode(F.sequence(F.lit(1), F.col("_repeats"))))
-        .select(*columns, F.coalesce(F.col("_hit"), F.lit(False)).alias("known"))
-    )
+    answered = join_by_hash(keyed, hits, columns).select(*columns, "_repeats", F.coalesce(F.col("_hit"), F.lit(False)).alias("known"))
+    # Runs of bounded length, dealt out before they are repeated: a row asked for very often is written by many tasks.
+    many, run = F.col("_repeats") > RUN, F.lit(RUN)
+    runs = answered.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_repeats") - 1) / run))))
+    place = F.when(many, F.pmod(F.xxhash64("_run", *columns), F.lit(1 << 20)))
+    runs = runs.withColumn("_place", F.coalesce(place, F.xxhash64(*columns))).repartition("_place")
+    length = F.least(run, F.col("_repeats") - F.col("_run") * run)
+    return runs.withColumn("_repeat", F.explode(F.sequence(F.lit(1).cast("long"), length))).select(*columns, "known")
 
 
 def remove_pairs(pairs: DataFrame, removed: DataFrame) -> DataFrame:

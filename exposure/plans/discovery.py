@@ -43,7 +43,7 @@ def env_files(corpus: DataFrame, policy: PathPolicy, rules: DataFrame | None = N
     ]
     placed = named.select("*", F.explode(F.array_compact(F.array(*hits))).alias("_at")).select(*corpus.columns, "_at.*")
     if rules is not None:
-        placed = P.mark_ignored(placed.withColumn("is_dir", F.lit(False)), rules).filter(~F.col("ignored"))
+        placed = P.without_ignored(placed, rules, ["root", "path"])
     return placed.select(*corpus.columns, "root")
 
 

@@ -52,8 +52,7 @@ def examined(corpus: DataFrame, policy: PathPolicy, rules: DataFrame | None = No
     """
     placed = with_surface(corpus, policy)
     if rules is not None:
-        placed = P.mark_ignored(placed.withColumn("is_dir", F.lit(False)), rules).filter(~F.col("ignored"))
-        placed = placed.drop("ignored", "is_dir")
+        placed = P.without_ignored(placed, rules, ["surface_no", "path"])
     treated = P.classify(placed, policy).filter("treat").drop("treat", "reason")
     if dedupe:
         treated = treated.dropDuplicates(["path"])

@@ -11,7 +11,7 @@ from exposure.functions import extract as X
 from exposure.functions import globs, names, receipts, text
 from exposure.operators import history, known, policy, registry, residue
 from exposure.params import MonitorPolicy, PathPolicy, Surface
-from exposure.plans import discovery, rescan, residue_scan, scrub, status
+from exposure.plans import discovery, incremental, rescan, residue_scan, scrub, status
 from exposure.sources import corpus, envfile, sinks, vault
 from exposure.streaming import monitor
 from queries import tables as T
@@ -442,6 +442,15 @@ def known_in_documents(spark, d):
     return known.known_per_text(T.table(spark, d, "documents").select("doc_id", "text"), ["doc_id"], "text", reg, T.LOW)
 
 
+@query
+def known_measured(spark, d):
+    """As ``known_in_documents``: a bitmap before the shuffle, heavy secrets spread by their measured share."""
+    root = T.scratch(spark, "registry-")
+    registry.hashes(T.page_pairs(spark, d)).write.parquet(root)
+    docs = T.table(spark, d, "documents").select("doc_id", "text")
+    return known.known_measured(docs, ["doc_id"], "text", spark.read.schema("hash string").parquet(root), T.LOW)
+
+
 @query
 def known_in_pages(spark, d):
     reg = registry.hashes(T.document_pairs(spark, d))
@@ -484,6 +493,52 @@ def residue_findings(spark, d):
     )
 
 
+def residue_columns(found):
+    return found.select(
+        "surface_no", "path", "location", "basename", F.unix_seconds("last_mod").alias("last_mod_s"), "format",
+        "confidence", "known_matches", "entropy_hits", "size",
+    )
+
+
+def ignore_lines(spark):
+    lines = spark.createDataFrame(
+        [(f"/home/u/{lang}", i, line) for lang, rules in IGNORE_LINES.items() for i, line in enumerate(rules)],
+        "root string, rule_no int, line string",
+    )
+    return policy.rules_from_lines(lines)
+
+
+@query
+def residue_with_rules(spark, d):
+    """The residue scan with the ignore rules of its surfaces."""
+    return residue_columns(
+        residue_scan.scan(T.document_files(spark, d), residue_registry(spark, d), POLICY, ignore_lines(spark), home=HOME)
+    )
+
+
+def two_listings(files):
+    """All files as they are, and an earlier state: one language was not there yet, another one had shorter files with later times."""
+    narrow = files.select("path", "size", "modified")
+    late = F.col("path").startswith("/home/u/es/")
+    other = F.col("path").startswith("/home/u/de/")
+    before = narrow.filter(~late).select(
+        "path",
+        F.when(other, F.col("size") - 1).otherwise(F.col("size")).alias("size"),
+        F.when(other, F.col("modified") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("modified")).alias("modified"),
+    )
+    return before, narrow
+
+
+@query
+def residue_incremental(spark, d):
+    """Two steps by manifests; the second one works on files that came with old times and on changed ones. Together they are the whole scan with rules."""
+    files = T.document_files(spark, d).drop("doc_id")
+    state = T.scratch(spark, "residue-")
+    for listing in two_listings(files):
+        incremental.residue_step(listing, state, residue_registry(spark, d), POLICY, ignore_lines(spark), HOME, contents=files)
+    return residue_columns(incremental.current(spark, state))
+
+
 @query
 def findings_sink(spark, d):
     """Two versions of the findings written, the second one read back."""
@@ -592,6 +647,25 @@ def scrubbed_sink(spark, d):
     return sinks.latest_version(spark, root).select("file_id", text.sha256_hex(F.col("content")).alias("content_hash"))
 
 
+@query
+def history_incremental(spark, d):
+    """Two steps by manifests over the history files, the first one without those of one language; results of all files."""
+    path = F.concat(F.lit("/home/u/"), "lang", F.lit("/"), F.col("file_id").cast("string"))
+    langs = T.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "lang")
+    files = T.history_files(spark, d).join(langs, "file_id").select(path.alias("path"), "content")
+    listing = files.select("path", F.octet_length("content").cast("long").alias("size"), F.timestamp_seconds(F.lit(T.FIRST_DAY)).alias("modified"))
+    exported = T.table(spark, d, "documents").select(F.sha2(F.sha2("source", 256), 256).alias("hash"))
+    reg = registry.hashes(T.document_pairs(spark, d)).unionByName(exported).distinct()
+    state = T.scratch(spark, "history-")
+    for part in (listing.filter(~F.col("path").startswith("/home/u/fr/")), listing):
+        incremental.history_step(part, state, reg, T.REGFP, files, "redact", T.LOW)
+    out = incremental.current(spark, state)
+    return out.select(
+        F.substring_index("path", "/", -1).cast("long").alias("file_id"), text.sha256_hex(F.col("content")).alias("content_hash"), "original_lines",
+        "processed_lines", "redacted", "secrets", "skipped",
+    )
+
+
 @query
 def scrub_files(spark, d):
     """Whole history files; the registry holds the secrets of documents and the exported values."""

@@ -440,6 +440,7 @@ ORACLES["known_in_documents"] = with_(
     """SELECT d.doc_id, count(k.c) AS known FROM documents d LEFT JOIN
        (SELECT id, c FROM doc_c WHERE c IN (SELECT c FROM page_c)) k ON k.id = d.doc_id GROUP BY d.doc_id""",
 )
+ORACLES["known_measured"] = ORACLES["known_in_documents"]
 ORACLES["known_in_pages"] = with_(
     f"{DOC_C}, {PAGE_C}",
     """SELECT p.page_id, count(k.c) AS known FROM pages p LEFT JOIN
@@ -507,6 +508,14 @@ ORACLES["residue_findings"] = with_(
                format, confidence, known::INTEGER AS known_matches, hits::INTEGER AS entropy_hits,
                strlen(content) AS size FROM found""",
 )
+# As the residue findings, without the files that the rules of their surface leave out.
+ORACLES["residue_with_rules"] = with_(
+    f"""{_RESIDUE}, ruled AS (SELECT doc_id FROM (SELECT *, {choose(FOLDERS, 'doc_id')} AS folder FROM files) WHERE NOT {_IGNORED})""",
+    f"""SELECT surface_no, path, lang || '/' || name AS location, name AS basename, {FIRST_DAY} + doc_id AS last_mod_s,
+               format, confidence, known::INTEGER AS known_matches, hits::INTEGER AS entropy_hits,
+               strlen(content) AS size FROM found SEMI JOIN ruled USING (doc_id)""",
+)
+ORACLES["residue_incremental"] = ORACLES["residue_with_rules"]
 ORACLES["findings_sink"] = with_(
     _RESIDUE,
     f"""SELECT lang || '/' || name AS location, name AS basename, {FIRST_DAY} + doc_id AS last_mod, format, confidence,
@@ -644,6 +653,12 @@ ORACLES["scrub_files"] = with_(
 _SCRUBBED_HASH = f"""sha256(CASE WHEN work THEN array_to_string(k, chr(10)) || chr(10) || '# {TAG}:v2:lines=' || len(k)
                || ':tail=' || {tail_hash('k')} || ':regfp={REGFP}' ELSE content END)"""
 ORACLES["scrubbed_sink"] = with_(_HV, f"SELECT file_id, {_SCRUBBED_HASH} AS content_hash FROM pl JOIN hk USING (file_id)")
+ORACLES["history_incremental"] = with_(
+    _HV,
+    f"""SELECT file_id, {_SCRUBBED_HASH} AS content_hash, len(a)::INTEGER AS original_lines,
+               (CASE WHEN work THEN len(a) - start ELSE 0 END)::INTEGER AS processed_lines, redacted::INTEGER AS redacted, n::INTEGER AS secrets,
+               NOT work AS skipped FROM pl JOIN hk USING (file_id)""",
+)
 ORACLES["scrub_preview"] = with_(
     _HV,
     """SELECT file_id, 0 AS would_delete, redacted::INTEGER AS would_redact, n::INTEGER AS secrets_found, ex::INTEGER AS examples
