@@ -9,8 +9,9 @@ is decided on the full sets.
 
 Texts of equal sets are one class, joined by fingerprint before anything else, so exact copies cost a row. Inside a
 bucket no pairs are formed: first its most typical class (the one that shares the most buckets with others) is compared with every
-member. Only where a bucket still holds several components after that, its members are dealt into blocks, and a task
-compares two blocks through an inverted index of their shingles, returning at most one edge for each merge of components.
+member. Where a bucket still holds several components after that, a task compares its members through an inverted index of their shingles,
+returning at most one edge for each merge of components. The members of a large bucket are dealt anew for that, by their rarest shingles,
+which two linked sets can't help sharing: rows stay in proportion to members, and no link is lost.
 
 Nulls: a null text is empty; a null doc_id takes the component of its class but names none. Rows that repeat count as one
 class and each gets a row.
@@ -19,11 +20,12 @@ class and each gets a row.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from exposure.llm.blocks import Words, mix, utf8
@@ -258,9 +260,15 @@ def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFr
     )
     # Buckets of the same members are looked at once.
     once = open_buckets.where("least <> most").groupBy("held", "size", "_x", "_y").agg(F.min(F.struct("band", "key")).alias("bucket"))
-    blocks = F.ceil(F.greatest(F.col("held") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int")
-    once = once.select("bucket.band", "bucket.key", blocks.alias("blocks"))
-    members = held.join(once, ["band", "key"]).join(classes.select("fingerprint", "registers"), "fingerprint")
+    fits = (F.col("held") <= BLOCK) & (F.col("size") <= BLOCK_SHINGLES)
+    once = once.select("bucket.band", "bucket.key", fits.alias("fits"))
+    members = held.join(once, ["band", "key"])
+    crowd = saved(members.where("NOT fits").select("fingerprint", "label", "n_shingles").distinct())
+    regs = classes.select("fingerprint", "registers")
+    small = members.where("fits").select("band", "key", F.lit(1).alias("blocks"), "fingerprint", "label", "n_shingles")
+    missing = crowd.select("fingerprint").join(sets.select("fingerprint"), "fingerprint", "left_anti").join(classes.select("fingerprint", "doc_id"), "fingerprint")
+    sets = saved(sets.union(sets_of(docs, missing, width)))
+    members = small.union(_by_rare_shingles(crowd, sets, percent)).join(regs, "fingerprint")
     own = F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int")
     members = members.withColumn("own", own)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -294,6 +302,49 @@ def _rest(edges: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFr
     return saved(whole.groupBy(*place).applyInArrow(merges, "a binary, b binary"))
 
 
+def prefix_lengths(n: Column | int, percent: int) -> tuple:
+    """How many of its rarest shingles a set of this size must look at, to meet every linked set of at least its size, and every one of at most its size.
+
+    Sets of sizes n <= m are linked where they share percent * (n + m) / (100 + percent) shingles. Of two sets that share k, whatever the
+    order of shingles, the first n - k + 1 of one and the first m - k + 1 of the other have one in common."""
+    up = F.ceil if isinstance(n, Column) else math.ceil
+    return n - up(n * (2 * percent) / (100 + percent)) + 1, n - up(n * percent / 100) + 1
+
+
+def _by_rare_shingles(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``band, key, blocks, fingerprint, label, n_shingles``: the members of large buckets, dealt anew by their rarest shingles.
+
+    A set meets all sets that it may be linked with by the shingles of its prefix, rarest first; those that are in one set, or in sets of
+    one component, are passed over. Rows are in proportion to the members, whatever the size of the bucket they came from. Only a shingle that is
+    still among the rarest of more than ``BLOCK`` members of several components is dealt in blocks."""
+
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = _numbers(part.column(3), np.int64)
+                if not found:
+                    continue
+                rows = np.repeat(np.arange(len(found)), [len(x) for x in found])
+                yield pa.RecordBatch.from_arrays([*part.select(["fingerprint", "label", "n_shingles"]).take(pa.array(rows)).columns, pa.array(np.concatenate(found))], ["fingerprint", "label", "n_shingles", "token"])
+
+    whole = crowd.join(sets, "fingerprint").select("fingerprint", "label", "n_shingles", "shingles")
+    rows = saved(whole.mapInArrow(tokens, "fingerprint binary, label binary, n_shingles long, token long"))
+    often = rows.groupBy("token").agg(F.count("*").alias("held"), (F.min("label") != F.max("label")).alias("apart"))
+    order = Window.partitionBy("fingerprint").orderBy("held", "token")
+    larger, smaller = prefix_lengths(F.col("n_shingles"), percent)
+    placed = rows.join(often, "token").withColumn("nth", F.row_number().over(order))
+    prefix = saved(placed.where((F.col("nth") <= smaller) & F.col("apart")).select("token", "fingerprint", "label", "n_shingles", (F.col("nth") <= larger).alias("first")))
+    groups = prefix.groupBy("token").agg(
+        F.count("*").alias("held"), F.sum("n_shingles").alias("size"), F.bool_or("first").alias("first"), (F.min("label") != F.max("label")).alias("apart"), F.bit_xor(F.xxhash64("fingerprint")).alias("_x")
+    ).where("first AND apart")
+    # Shingles of the same members are looked at once.
+    groups = groups.groupBy("held", "size", "_x").agg(F.min("token").alias("token"))
+    blocks = F.ceil(F.greatest(F.col("held") / BLOCK, F.col("size") / BLOCK_SHINGLES)).cast("int").alias("blocks")
+    met = prefix.join(groups.select("token", blocks), "token")
+    return met.select(F.lit(-1).alias("band"), F.unhex(F.hex("token")).alias("key"), "blocks", "fingerprint", "label", "n_shingles")
+
+
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one of smallest doc_id, and all rows without words, repeats of a row once."""
     found = near_duplicates(docs.select("doc_id", "text"), percent, width)

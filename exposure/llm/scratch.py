@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset and Spark runs on this machine alone, a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+    if not context.master.startswith("local[") and context.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    found = tempfile.mkdtemp(prefix="exposure-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="exposure-"))
+    return context.getCheckpointDir()
 
 
 def saved(df: DataFrame) -> DataFrame:
