@@ -7,13 +7,15 @@ growing into one array. ``entries`` gives the array form in pages of bounded siz
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from exposure.functions.names import fallback_name
 from exposure.operators.joins import join_by_hash
 
 HEX64 = "^[0-9a-fA-F]{64}$"
+# Sums of a set's state, 32 bits each.
+LANES = 8
 # Repeats of a row that one task writes.
 RUN = 10_000
 BUCKET_DIGITS = 3
@@ -148,3 +150,38 @@ def _combine(df: DataFrame, part) -> DataFrame:
     joined = F.array_join(F.array_sort(F.collect_list(part)), "")
     value = F.when(F.count(F.lit(1)) == 0, "0").otherwise(F.left(F.sha2(joined, 256), F.lit(16)))
     return df.agg(value.alias("regfp"))
+
+
+# --- a fingerprint that follows changes ---------------------------------------------------------
+
+
+def set_state(pairs: DataFrame) -> DataFrame:
+    """One row ``n, lanes``: the number of known hashes, and ``LANES`` sums of 32-bit pieces of their digests modulo 2^32.
+
+    Sums don't depend on order and unite by partial aggregation; no task holds more than one row of them. The state of a set follows from that of another one
+    and what was added and removed (``updated_state``). Two sets of equal states are different by chance with a probability of about 2^-256; it is
+    no protection against sets made to collide.
+    """
+    return _state(hashes(pairs), F.lit(1))
+
+
+def _state(rows: DataFrame, sign: Column) -> DataFrame:
+    """Sums of distinct hashes, each with the weight ``sign``."""
+    digest = F.sha2(F.concat(F.lit("set:"), F.col("hash")), 256)
+    pieces = [F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("decimal(20,0)") * sign for i in range(LANES)]
+    sums = [F.pmod(F.coalesce(F.sum(p), F.lit(0)), F.lit(1 << 32).cast("decimal(20,0)")).cast("long") for p in pieces]
+    return rows.agg(F.coalesce(F.sum(sign.cast("long")), F.lit(0)).alias("n"), F.array(*sums).alias("lanes"))
+
+
+def updated_state(state: DataFrame, changed: DataFrame) -> DataFrame:
+    """The state after ``changes`` (``change, hash``), without reading the registry again."""
+    sign = F.when(F.col("change") == "added", 1).otherwise(-1)
+    both = state.select("n", "lanes").unionByName(_state(changed, sign))
+    lanes = [F.pmod(F.sum(F.col("lanes")[i]), F.lit(1 << 32)) for i in range(LANES)]
+    return both.agg(F.sum("n").alias("n"), F.array(*lanes).alias("lanes"))
+
+
+def state_fingerprint(state: DataFrame) -> DataFrame:
+    """One row ``regfp`` of a state; ``'0'`` for an empty registry."""
+    text = F.array_join(F.concat(F.array(F.col("n").cast("string")), F.transform("lanes", lambda x: x.cast("string"))), ":")
+    return state.select(F.when(F.col("n") == 0, "0").otherwise(F.left(F.sha2(text, 256), F.lit(16))).alias("regfp"))

@@ -11,7 +11,7 @@ from exposure.operators import policy as P
 from exposure.operators import residue
 from exposure.functions.names import basename, dirname
 from exposure.params import IGNORE_FILES, Gate, PathPolicy, merge_surfaces
-from exposure.sources import walk
+from exposure.sources import sinks, walk
 
 
 def with_surface(files: DataFrame, policy: PathPolicy) -> DataFrame:
@@ -137,3 +137,16 @@ def summary(found: DataFrame, files: DataFrame, directories: DataFrame) -> DataF
         F.max("scanned").alias("scanned"),
         F.first("sample", True).alias("sample"),
     )
+
+
+def stored_summary(found: DataFrame, paths: DataFrame, policy: PathPolicy, root: str, version: str, rules: DataFrame | None = None) -> DataFrame:
+    """Write the findings of a scan as a version below ``root``, and sum them up from there.
+
+    The scan runs once, while its findings are written. Files and directories are counted from ``paths``, which needs the column ``path`` alone: a listing, or the path
+    column of the corpus. No text is read for them.
+    """
+    sinks.write_version(found, root, version)
+    stored = sinks.latest_version(found.sparkSession, root)
+    if "error" in stored.columns:
+        stored = stored.filter(F.col("error").isNull())
+    return summary(stored, examined(paths, policy, rules), scanned_directories(paths, policy, rules))

@@ -11,7 +11,7 @@ from exposure.functions import extract as X
 from exposure.functions import globs, names, receipts, text
 from exposure.operators import history, known, policy, registry, residue
 from exposure.params import MonitorPolicy, PathPolicy, Surface
-from exposure.plans import discovery, incremental, rescan, residue_scan, scrub, status
+from exposure.plans import discovery, full_rescan, incremental, rescan, residue_scan, scrub, status
 from exposure.sources import corpus, envfile, sinks, vault
 from exposure.streaming import monitor
 from queries import tables as T
@@ -219,6 +219,52 @@ def rescan_delta(spark, d):
     return rescan.delta(before, contributed).select("stage", "source", "before", "after", "hashes")
 
 
+@query
+def registry_set_fingerprint(spark, d):
+    """The fingerprint of the pages' registry, once of all its hashes and once from that of the documents' registry and the changes."""
+    old, new = T.document_pairs(spark, d), T.page_pairs(spark, d)
+    followed = registry.updated_state(registry.set_state(old), registry.changes(old, new))
+    whole = registry.state_fingerprint(registry.set_state(new)).select(F.lit("whole").alias("way"), "regfp")
+    return whole.unionByName(registry.state_fingerprint(followed).select(F.lit("followed").alias("way"), "regfp"))
+
+
+def full_rescan_sources(spark, d):
+    """Env files of a corpus in which one source folder can't be read, pages, a vault listing, a broken source and one that is switched off."""
+    unreadable = F.col("path").rlike("^/home/u/[^/]+/src5/")
+    reason = F.concat(F.lit("PermissionError: "), F.regexp_extract("path", "^/home/u/[^/]+/src5/([^/]+)/", 1))
+    corpus_files = T.document_files(spark, d).select(
+        "path", "modified", F.when(~unreadable, F.col("content").cast("string")).alias("content"), F.when(unreadable, reason).alias("error")
+    )
+    rules = policy.rules_from_lines(
+        spark.createDataFrame(
+            [(f"/home/u/{lang}", i, line) for lang, lines in IGNORE_LINES.items() for i, line in enumerate(lines)], "root string, rule_no int, line string"
+        )
+    )
+    place = PathPolicy(
+        roots=("/home/u/en", "/home/u/de", "/home/u/fr/"), root_patterns=("*.txt", "*.env", "*.md"), skip_dirs=("node_modules", "build")
+    )
+    broken = customer_vault(spark, d)
+    return [
+        full_rescan.env_source(corpus_files, place, rules),
+        full_rescan.Source("pages", T.page_pairs(spark, d)),
+        full_rescan.Source("vault", vault.contributions(customer_vault(spark, d), ignore=("HOUSE",)), vault.invalid(customer_vault(spark, d))),
+        full_rescan.Source("broken", vault.contributions(broken), failure="no listing configured"),
+        full_rescan.Source("documents", T.document_pairs(spark, d), enabled=False),
+    ]
+
+
+@query
+def rescan_from_corpus(spark, d):
+    """A whole rescan as one row set: counts, contributions, state and errors."""
+    return full_rescan.report(registry.build(T.document_pairs(spark, d)), full_rescan_sources(spark, d))
+
+
+@query
+def rescan_errors(spark, d):
+    """What could not be collected or read, by source, each time it came up."""
+    return full_rescan.errors(full_rescan_sources(spark, d)).groupBy("source", "error").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- sources ----------------------------------------------------------------------------------
 
 
@@ -559,6 +605,15 @@ def residue_summary(spark, d):
     return summary.withColumn("sample", F.array_join("sample", ","))
 
 
+@query
+def residue_summary_stored(spark, d):
+    """As ``residue_summary``, with texts read once and paths alone for the counts."""
+    found = residue_scan.scan(T.document_files(spark, d), residue_registry(spark, d), POLICY, home=HOME)
+    paths = T.document_paths(spark, d).select("path")
+    summary = residue_scan.stored_summary(found, paths, POLICY, T.scratch(spark, "summary-"), "1")
+    return summary.withColumn("sample", F.array_join("sample", ","))
+
+
 # --- history ----------------------------------------------------------------------------------
 
 

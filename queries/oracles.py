@@ -239,6 +239,15 @@ ORACLES["registry_changes"] = with_(
     """SELECT 'added' AS change, hash FROM (SELECT hash FROM page_pairs EXCEPT SELECT hash FROM doc_pairs)
        UNION ALL SELECT 'removed', hash FROM (SELECT hash FROM doc_pairs EXCEPT SELECT hash FROM page_pairs)""",
 )
+def _state(name: str, source: str) -> str:
+    lanes = ", ".join(f"sum(('0x' || substr(sha256('set:' || hash), {8 * i + 1}, 8))::BIGINT) % 4294967296" for i in range(8))
+    return f"""{name} AS (SELECT CASE WHEN count(*) = 0 THEN '0' ELSE left(sha256(array_to_string(
+            [count(*)::VARCHAR] || [x::VARCHAR FOR x IN [{lanes}]], ':')), 16) END AS regfp FROM (SELECT DISTINCT hash FROM {source}))"""
+
+
+ORACLES["registry_set_fingerprint"] = with_(
+    f"{PAGE_PAIRS}, {_state('st', 'page_pairs')}", "SELECT way, regfp FROM st, (SELECT unnest(['whole', 'followed']) AS way)"
+)
 _VAULT = """vault AS (
     SELECT c_custkey, 0 AS item_no, 'pw-' || c_name AS v FROM customer
     UNION ALL SELECT c_custkey, 1, c_mktsegment FROM customer WHERE strlen(c_mktsegment) > 8
@@ -407,6 +416,25 @@ ORACLES["discovery_projects"] = with_(
     """SELECT DISTINCT left(sha256(dir), 16) AS project_id,
            list_extract(string_split(dir, '/'), -2) || '/' || list_extract(string_split(dir, '/'), -1) AS display_name FROM found""",
 )
+_READ = _FOUND.replace("WHERE lang IN ('en', 'de', 'fr') AND folder", "WHERE source <> 'src5' AND lang IN ('en', 'de', 'fr') AND folder")
+_ERRORS = """errs AS (SELECT 'env' AS source, 'PermissionError: ' || folder AS error, count(*) AS n FROM p
+        WHERE source = 'src5' AND lang IN ('en', 'de', 'fr') GROUP BY ALL
+      UNION ALL SELECT 'broken', 'no listing configured', 1)"""
+ORACLES["rescan_errors"] = with_(f"{_READ}, {_ERRORS}", "SELECT * FROM errs")
+ORACLES["rescan_from_corpus"] = with_(
+    f"""{_READ}, {_ERRORS}, {DOC_PAIRS}, {PAGE_PAIRS}, {_VAULT},
+        c AS (SELECT 'env' AS source, sha256(v) AS hash FROM env UNION ALL SELECT 'pages', hash FROM page_pairs
+              UNION ALL SELECT 'vault', sha256(v) FROM vault WHERE NOT contains(v, 'HOUSE')),
+        old AS (SELECT DISTINCT hash FROM doc_pairs), new AS (SELECT DISTINCT hash FROM c)""",
+    """SELECT 'registry' AS stage, NULL::VARCHAR AS source, (SELECT count(*) FROM old) AS before, (SELECT count(*) FROM new) AS after,
+              NULL::BIGINT AS hashes, (SELECT count(*) FROM new WHERE hash NOT IN (FROM old)) AS added,
+              (SELECT count(*) FROM old WHERE hash NOT IN (FROM new)) AS removed, NULL::VARCHAR AS error, NULL::VARCHAR AS state
+       UNION ALL SELECT 'collect', s, NULL, NULL, (SELECT count(*) FROM c WHERE source = s), NULL, NULL, NULL, NULL
+       FROM (SELECT unnest(['env', 'pages', 'vault']) AS s)
+       UNION ALL SELECT 'errors', source, NULL, NULL, n, NULL, NULL, error, NULL FROM errs
+       UNION ALL SELECT 'state', NULL, NULL, NULL, NULL, NULL, NULL, NULL,
+              CASE WHEN (SELECT count(*) FROM errs) > 0 THEN 'failed' ELSE 'completed' END""",
+)
 _CLAIMED = """((lang = 'en' OR (lang = 'fr' AND source = 'src1')) AND
     (name LIKE '.env%' OR name LIKE '%.env' OR (name LIKE 'f1%' AND name LIKE '%.txt')))"""
 _ON_DE = """(lang = 'de' AND (name LIKE '%.json' OR contains(name, '_creds') OR starts_with(source, 'src1')))"""
@@ -533,6 +561,8 @@ ORACLES["residue_summary"] = with_(
                   ORDER BY surface_no, path LIMIT 3)) AS sample""",
 )
 
+ORACLES["residue_summary_stored"] = ORACLES["residue_summary"]
+
 # --- history ----------------------------------------------------------------------------------
 
 _LINES = f"""l0 AS (SELECT doc_id, unnest(range(len(a)))::INTEGER AS line_no, unnest(a) AS raw FROM (
