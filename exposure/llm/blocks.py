@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 RUN = 1 << 18
 STEP = 0x9E3779B97F4A7C15
@@ -92,3 +94,9 @@ class Words:
         h = mix((sums[end] - sums[start]) * self.inverse[start] + (end - start).astype(np.uint64))
         doc = np.searchsorted(at, start, "right") - 1
         return Run(first, len(at) - 1, base, data, doc, start, end, h)
+
+
+def stretch(text: Column, chars: int) -> Column:
+    """At most ``chars`` characters of a text, from a place that its hash chooses; shorter texts are whole."""
+    places = F.greatest(F.length(text) - chars, F.lit(0)) + 1
+    return text.substr((F.pmod(F.xxhash64(F.lit("place"), text), places) + 1).cast("int"), F.lit(chars))

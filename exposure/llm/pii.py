@@ -1,14 +1,20 @@
 """Personal data by rules and a skip-chain conditional random field.
 
 Rules find e-mail addresses, IP addresses, card and phone numbers. The field runs over the tokens of a text that hold a digit
-or an @: neighbours are linked in a chain, and all mentions of one content (letters in lower case, or
-its digits alone where there are five or more; numbers written in groups count as one, whatever blanks, dots, brackets and hyphens part them) share
-a hub, however far apart they are: two mentions with a hub are as two with a skip edge. Loopy message passing until messages settle then makes labels agree across the text, and
-tokens labelled with a marginal of at least ``certain`` that no rule found are added. Rule spans always stay.
+or an @ (also one spelled ``[at]``): neighbours are linked in a chain, and all mentions of similar content share a hub, however far apart they are: two
+mentions with a hub are as two with a skip edge. Similar are equal tokens in lower case; addresses whose @ and dots are spelled in brackets;
+four numbers of an IP address that dots or hyphens part; and numbers, whole or in groups that blanks, dots, brackets and hyphens part, that agree in
+their last ``LAST`` digits (those of ``LEAST`` digits and more; leading zeros don't count). Shorter numbers are no content. Loopy message passing until messages settle then makes labels
+agree across the text, and tokens labelled with a marginal of at least ``certain`` that no rule found are added. Rule spans always stay.
 
-Potentials are learned piecewise from the rules' own labels on a bounded sample (``sample_rows`` texts with a digit or @,
-``sample_chars`` of each): token scores by logistic regression on shape, length and neighbours, chain and skip potentials by
-smoothed counts of label pairs. Tagging reads whole texts.
+The rules are a noisy witness of the labels: they report a label that isn't there with probability ``FALSE`` and overlook a mention with
+probability ``ESCAPE``. So nothing that spells a rule out is a feature: token scores are learned from coarse form and neighbours, for labels that the rules gave, and
+are at most ``OWN`` either way, less than an overlooked mention needs; it takes a hub with a mention that a rule found. What the overlooked mentions of a content have of
+their own counts as one observation, however many they are, as a rule overlooks all that are written alike. Chain and skip potentials are penalties on different labels, from
+smoothed counts of label pairs; of a content that a rule found somewhere, mentions that it overlooked are of unknown label and not counted. So that mentions of a content differ
+is next to never counted, and the skip penalty is mostly its prior.
+
+The sample is bounded: about ``sample_rows`` texts with a digit or @, of each a stretch of at most ``sample_chars`` at a hashed place. Tagging reads whole texts.
 
 Nulls: a null text is empty; texts without a digit or @ have no spans. Rows that repeat get equal results.
 """
@@ -25,15 +31,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from exposure.llm.blocks import stretch
+
 KINDS = ("email", "ip", "card", "phone")
 SPACE = 1 << 14
 LABELS = 1 + len(KINDS)
 ROUNDS, SETTLED = 200, 1e-3
+FALSE, ESCAPE, OWN, CHAIN, SKIP = 1e-6, 0.1, 2.0, 1.0, 10.0
+LEAST, LAST = 7, 9
 OUT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 Span = tuple[int, int, int]
 
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"\S*[0-9@]\S*")
+TOKEN = re.compile(r"\S*(?:[0-9@]|[\[(]at[\])])\S*")
+SIGN, DOT = re.compile(r"[\[(](?:at|@)[\])]"), re.compile(r"[\[(](?:dot|\.)[\])]")
+QUAD = re.compile(r"[0-9]{1,3}(?:[.-][0-9]{1,3}){3}")
 NUMBER = re.compile(r"[0-9().+-]+")
 BETWEEN = re.compile(r"[ ().+-]{1,4}")
 EDGES = "\"'()[]{}<>,.;:!?|*#$%&"
@@ -103,45 +115,57 @@ def tokens(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def shape(token: str) -> str:
-    plain = re.sub(r"[0-9]+", lambda m: "9" * min(len(m[0]), 4), token)
-    return re.sub(r"[^\W\d_]+", "a", plain)[:24]
+def form(token: str) -> str:
+    """What a token is made of, too coarse to tell whether a rule holds."""
+    digits = len(digits_of(token))
+    return f"{'@' in plainly(token)}{min(digits, 4)}{any(c.isalpha() for c in token)}"
+
+
+def plainly(token: str) -> str:
+    """In lower case, with @ and dots that are spelled in brackets as such."""
+    return DOT.sub(".", SIGN.sub("@", token.lower()))
 
 
 def features(text: str, lo: int, hi: int) -> list[int]:
-    token = text[lo:hi]
-    digits = digits_of(token)
     before, after = text[max(0, lo - 24) : lo].split()[-1:] or [""], text[hi : hi + 24].split()[:1] or [""]
     named = [
-        "s" + shape(token),
-        f"n{len(digits)}",
-        f"d{token.count('.')}a{token.count('@')}p{token[:1] == '+' or text[max(0, lo - 1) : lo] == '+'}",
-        f"l{13 <= len(digits) <= 19 and luhn(digits)}{len(digits) == len(token)}",
-        f"i{RULES[1].fullmatch(token) is not None and valid(1, token)}",
-        "b" + (shape(before[0]) if DIGIT.search(before[0]) else before[0].lower()[-8:]),
-        "f" + (shape(after[0]) if DIGIT.search(after[0]) else "a"),
+        "s" + form(text[lo:hi]),
+        "b" + (form(before[0]) if DIGIT.search(before[0]) else before[0].lower()[-8:]),
+        "f" + (form(after[0]) if DIGIT.search(after[0]) else "a"),
     ]
     return [zlib.crc32(x.encode()) % SPACE for x in named]
 
 
+def content(token: str) -> str | None:
+    """What mentions of one thing have in common; none for short numbers."""
+    said, digits = plainly(token), digits_of(token).lstrip("0")
+    quad = said.replace("-", ".")
+    if QUAD.fullmatch(said) and valid(1, quad):
+        return quad
+    if NUMBER.fullmatch(token):
+        return digits[-LAST:] if len(digits) >= LEAST else None
+    return said
+
+
 def mentions(text: str, spots: list[tuple[int, int]]) -> list[list[list[int]]]:
     """For each content that is found again its mentions, each the list of its tokens."""
     held: dict[str, list[list[int]]] = {}
-    plain, run = [], []
+    run: list[list[int]] = []
+    plain = False
     for i, (lo, hi) in enumerate(spots):
         token = text[lo:hi]
-        digits = digits_of(token)
-        plain.append(NUMBER.fullmatch(token) is not None and not (RULES[1].fullmatch(token) and valid(1, token)))
-        number = len(digits) >= 5 and "@" not in token and ("." not in token or plain[i] and len(digits) >= 9)
-        held.setdefault(digits if number else token.lower(), []).append([i])
-        if plain[i] and i and plain[i - 1] and BETWEEN.fullmatch(text, spots[i - 1][1], lo):
+        said = content(token)
+        before, plain = plain, NUMBER.fullmatch(token) is not None and "." not in (said or "")
+        if plain and before and token[0] != "+" and BETWEEN.fullmatch(text, spots[i - 1][1], lo):
             run[-1].append(i)
         else:
             run.append([i])
+        if said is not None:
+            held.setdefault(said, []).append([i])
     for part in run:
-        digits = digits_of(text[spots[part[0]][0] : spots[part[-1]][1]]) if len(part) > 1 else ""
-        if 9 <= len(digits) <= 19:
-            held.setdefault(digits, []).append(part)
+        digits = digits_of(text[spots[part[0]][0] : spots[part[-1]][1]]).lstrip("0") if len(part) > 1 else ""
+        if LEAST <= len(digits) <= 19:
+            held.setdefault(digits[-LAST:], []).append(part)
     return [sorted(m) for m in held.values() if len(m) > 1]
 
 
@@ -155,7 +179,7 @@ def half(pair: np.ndarray) -> np.ndarray:
     """The potential of a mention and its hub: two of them, summed over the hub, are that of two mentions."""
     value, vector = np.linalg.eigh(np.exp((pair + pair.T) / 2))
     root = (vector * np.sqrt(np.maximum(value, 0))) @ vector.T
-    return np.log(np.maximum(root, 1e-3 * root.max()))
+    return np.log(np.maximum(root, 1e-7 * root.max()))
 
 
 def labelled(spots: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
@@ -170,14 +194,18 @@ def labelled(spots: list[tuple[int, int]], spans: list[Span]) -> np.ndarray:
 
 def fit(texts: list[str], rounds: int = 5, seed: int = 5) -> dict[str, np.ndarray]:
     rows, marks = [], []
-    pairs = {"chain": np.ones((LABELS, LABELS)), "skip": np.ones((LABELS, LABELS))}
+    # Before anything is seen, mentions of one content are held to agree.
+    pairs = {"chain": np.ones((LABELS, LABELS)), "skip": 1e-4 + 2 * np.eye(LABELS)}
     for text in texts:
         spots = tokens(text)
         y = labelled(spots, base_spans(text))
         rows += [features(text, lo, hi) for lo, hi in spots]
         marks += y.tolist()
         chain, groups = links(text, spots)
-        skip = [(m[-1], n[0]) for group in groups for m, n in zip(group, group[1:])]
+        skip = []
+        for group in groups:
+            known = [m for m in group if y[m[0]]] or group
+            skip += [(m[0], n[0]) for m, n in zip(known, known[1:])]
         for name, edges in zip(pairs, (chain, skip)):
             for i, j in edges:
                 pairs[name][y[i], y[j]] += 1
@@ -193,9 +221,30 @@ def fit(texts: list[str], rounds: int = 5, seed: int = 5) -> dict[str, np.ndarra
             slope[marks[k]] -= 1
             seen[at] += slope**2
             weights[at] -= 0.2 * slope / np.sqrt(seen[at])
-    # Of a pair of labels, what it is more frequent than the labels alone would make it.
-    ratio = {k: np.log(n / n.sum()) - np.log(np.outer(n.sum(1), n.sum(0)) / n.sum() ** 2) for k, n in pairs.items()}
-    return {"token": weights} | {k: np.clip(r, -3, 3) for k, r in ratio.items()}
+    return {"token": weights, "chain": penalty(pairs["chain"], CHAIN), "skip": penalty(pairs["skip"], SKIP)}
+
+
+def penalty(counts: np.ndarray, most: float) -> np.ndarray:
+    """How much rarer a pair of different labels is than pairs of either; equal labels are free, so that none is favoured by itself."""
+    own = np.log(np.diag(counts))
+    return np.clip(np.log(counts) - (own[:, None] + own) / 2, -most, 0)
+
+
+def witnessed(found: np.ndarray) -> np.ndarray:
+    """Log-likelihood of what the rules say of each token (0: nothing), by its label."""
+    out = np.log(np.full((LABELS, LABELS), FALSE) + np.eye(LABELS))
+    out[0] = np.log(ESCAPE)
+    out[0, 0] = 0
+    return out[found]
+
+
+def own_scores(text: str, spots: list[tuple[int, int]], found: np.ndarray, groups: list[list[list[int]]], model: dict[str, np.ndarray]) -> np.ndarray:
+    learned = np.array([model["token"][features(text, lo, hi)].sum(axis=0) for lo, hi in spots])
+    alike = np.ones(len(spots))
+    for group in groups:
+        missed = [i for mention in group if not found[mention].any() for i in mention]
+        alike[missed] = np.maximum(alike[missed], len(missed))
+    return (np.clip(learned - learned[:, :1], -OWN, OWN) + witnessed(found)) / alike[:, None]
 
 
 def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
@@ -203,10 +252,10 @@ def log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def marginals(text: str, spots: list[tuple[int, int]], model: dict[str, np.ndarray]) -> np.ndarray:
-    """Label probabilities of the tokens after loopy message passing."""
-    own = np.array([model["token"][features(text, lo, hi)].sum(axis=0) for lo, hi in spots])
+def marginals(text: str, spots: list[tuple[int, int]], found: np.ndarray, model: dict[str, np.ndarray]) -> np.ndarray:
+    """Label probabilities of the tokens after loopy message passing; ``found`` are the labels of the rules."""
     chain, groups = links(text, spots)
+    own = own_scores(text, spots, found, groups, model)
     skip = [(i, len(spots) + hub) for hub, group in enumerate(groups) for mention in group for i in mention]
     ends = np.array(chain + skip, int).reshape(-1, 2)
     own = np.concatenate([own, np.zeros((len(groups), LABELS))])
@@ -229,14 +278,16 @@ def marginals(text: str, spots: list[tuple[int, int]], model: dict[str, np.ndarr
 
 def added_spans(text: str, base: list[Span], model: dict[str, np.ndarray], certain: float = 0.95) -> list[Span]:
     spots = tokens(text)
-    free = labelled(spots, base) == 0
-    if not spots or not free.any():
+    found = labelled(spots, base)
+    free = found == 0
+    # Without a mention that a rule found, what a token has of its own can't be certain.
+    if free.all() or not free.any():
         return []
-    likely = marginals(text, spots, model)
+    likely = marginals(text, spots, found, model)
     out: list[Span] = []
     for k in np.flatnonzero(free & (likely[:, 1:].max(axis=1) >= certain)).tolist():
         kind, (lo, hi) = int(likely[k].argmax()) - 1, spots[k]
-        if out and kind > 1 and out[-1][0] == kind and text[out[-1][2] : lo] == " ":
+        if out and kind > 1 and out[-1][0] == kind and BETWEEN.fullmatch(text, out[-1][2], lo):
             out[-1] = (kind, out[-1][1], hi)
         else:
             out.append((kind, lo, hi))
@@ -262,7 +313,7 @@ def learned(docs: DataFrame, sample_rows: int = 1500, sample_chars: int = 20000)
     spot = F.xxhash64(F.lit("sample"), "text")
     picked = worth.where(spot.cast("double") + 2.0**63 < 2.0**64 * min(1.0, sample_rows / max(count, 1)))
     # Copies of a text are taken once, so a large group of copies adds one row.
-    rows = picked.select(spot.alias("at"), F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["at"]).collect()
+    rows = picked.select(spot.alias("at"), stretch(F.col("text"), sample_chars).alias("text")).dropDuplicates(["at"]).collect()
     return fit([r["text"] for r in sorted(rows, key=lambda r: (r["at"], r["text"]))])
 
 

@@ -220,30 +220,6 @@ def test_rules_and_field(texts):
     assert pii.masked("mail a@b.co now", [(0, 5, 11)]) == "mail <EMAIL> now"
 
 
-def test_skip_edges_carry_labels():
-    """A token of unclear shape takes the label of its clear repetition far away."""
-    model = {"token": np.zeros((pii.SPACE, pii.LABELS)), "chain": np.zeros((pii.LABELS, pii.LABELS)), "skip": 3 * np.eye(pii.LABELS)}
-    text = "card 5500005555555559 " + "word " * 50 + "again 5500005555555559"
-    spots = pii.tokens(text)
-    model["token"][pii.features(text, *spots[0])[5], 3] = 6.0
-    near = pii.marginals(text, spots, model)
-    assert near[0, 3] > 0.95 and near[1, 3] > 0.8
-
-
-def test_all_mentions_share_a_hub():
-    """One clear mention of twenty labels them all, also where the number is written otherwise."""
-    model = {"token": np.zeros((pii.SPACE, pii.LABELS)), "chain": np.zeros((pii.LABELS, pii.LABELS)), "skip": 3 * np.eye(pii.LABELS)}
-    for forms in (["5500005555555559"], ["5500 0055 5555 5559", "5500005555555559"], ["555-123-4567", "555.123.4567", "(555) 123-4567"]):
-        text = f"card {forms[0]}, " + "".join("word " * 20 + forms[k % len(forms)] + ", " for k in range(1, 20))
-        spots = pii.tokens(text)
-        held = dict(model, token=model["token"].copy())
-        held["token"][pii.features(text, *spots[0])[5], 3] = 12.0
-        near = pii.marginals(text, spots, held)
-        assert near[:, 3].min() > 0.8
-        assert max(map(len, pii.mentions(text, spots))) == 20
-    assert np.exp(pii.half(model["skip"])) @ np.exp(pii.half(model["skip"])) == pytest.approx(np.exp(model["skip"]))
-
-
 def test_packing(docs, texts):
     from tokenizers import Tokenizer
 
