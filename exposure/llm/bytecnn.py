@@ -1,12 +1,12 @@
 """Quality score by a convolutional network over bytes, in numpy.
 
 Each byte is one of 512 symbols: its value, and whether the four bytes from it on also begin at most ``LAGS`` bytes before.
-``FILTERS`` learned filters of ``WIDTH`` symbols are laid over every second byte of the text. Their responses are max-pooled over chunks of ``2 * HALF``
+``FILTERS`` learned filters of ``WIDTH`` symbols are laid over every second byte of the text, and over its last ``WIDTH`` bytes. Their responses are max-pooled over chunks of ``2 * HALF``
 bytes that overlap by half and cover the whole text; mean and maximum of the chunk vectors are combined by a logistic unit.
 A filter is a table of weights by place and symbol, so a response is a sum of look-ups and the gradient touches only the
 pooled windows.
 
-The fit takes a bounded sample: about ``sample_rows`` labelled rows in hash order, ``sample_chars`` of each; it runs on the
+The fit takes a bounded sample: about ``sample_rows`` labelled rows in hash order, of each a stretch of at most ``sample_chars`` characters at a hashed place; it runs on the
 driver. Scoring reads whole texts and nothing but them; it works in pieces of ``PIECE`` bytes.
 
 Nulls: a null text is empty; an empty text is padded to one window and scored; rows of null label aren't learned from; of several labels of a doc_id each different one
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.blocks import utf8
+from exposure.llm.blocks import stretch, utf8
 
 WIDTH, STRIDE, FILTERS, HALF, LAGS = 8, 2, 16, 256, 24
 PIECE = 1 << 16
@@ -47,10 +47,12 @@ def symbols(data: np.ndarray) -> np.ndarray:
 
 def halves(s: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """Largest response of each filter in each half chunk, and the window that gave it."""
-    windows = (len(s) - WIDTH) // STRIDE + 1
+    last = len(s) - WIDTH
+    even, windows = last // STRIDE + 1, -(-last // STRIDE) + 1
     out = np.zeros((windows, FILTERS), np.float32)
     for j in range(WIDTH):
-        out += model["filters"][j].take(s[j : j + STRIDE * (windows - 1) + 1 : STRIDE], axis=0)
+        out[:even] += model["filters"][j].take(s[j : j + STRIDE * (even - 1) + 1 : STRIDE], axis=0)
+        out[even:] += model["filters"][j][s[last + j]]
     step = HALF // STRIDE
     best = np.maximum.reduceat(out, np.arange(0, windows, step), axis=0)
     return best, out
@@ -64,10 +66,11 @@ def pooled(data: np.ndarray, model: Model) -> np.ndarray:
     """Mean and maximum over the chunks of a whole text."""
     parts = []
     for lo in range(0, max(len(data), 1), PIECE):
-        before = min(lo, LAGS)
+        before = min(lo, LAGS + STRIDE)
         s = symbols(data[lo - before : lo + PIECE + WIDTH - STRIDE + 3])
         tail = len(s) if lo + PIECE >= len(data) else before + PIECE + WIDTH - STRIDE
-        if tail - before >= WIDTH or not parts:
+        # The windows of the piece before end WIDTH - STRIDE bytes behind its end.
+        if tail - before > WIDTH - STRIDE or not parts:
             parts.append(halves(s[before:tail] if tail - before >= WIDTH else s[-WIDTH:], model)[0])
     c = np.maximum(chunks(np.concatenate(parts)) + model["offset"], 0)
     return np.concatenate([c.mean(axis=0), c.max(axis=0)])
@@ -117,9 +120,9 @@ def fit(texts: list[bytes], labels: list[int], rounds: int = 10, rate: float = 0
             move("bias", slice(None), np.full(1, error, np.float32))
             move("offset", slice(None), back.sum(axis=0))
             for k in np.flatnonzero(np.abs(back).sum(axis=1) > 1e-6).tolist():
-                window = out[k * step : (k + 2) * step].argmax(axis=0) + k * step
+                window = np.minimum((out[k * step : (k + 2) * step].argmax(axis=0) + k * step) * STRIDE, len(s) - WIDTH)
                 for j in range(WIDTH):
-                    move("filters", (j, s[window * STRIDE + j], np.arange(FILTERS)), back[k])
+                    move("filters", (j, s[window + j], np.arange(FILTERS)), back[k])
     return model
 
 
@@ -133,7 +136,7 @@ def sample(docs: DataFrame, labels: DataFrame, learn: Column, label: str, sample
     # As many of each label, where there are.
     share = F.create_map(*[F.lit(x) for k, n in kinds.items() for x in (k, 2.0**64 * min(1.0, sample_rows / len(kinds) / n))])
     picked = rows.where(spot < share[F.col("_label")])
-    texts = docs.select(F.col("doc_id"), F.substring(F.coalesce("text", F.lit("")), 1, sample_chars).alias("text"))
+    texts = docs.select(F.col("doc_id"), stretch(F.coalesce("text", F.lit("")), sample_chars).alias("text"))
     # The sample has about sample_rows rows of twelve bytes, whatever the size of the tables.
     found = texts.join(F.broadcast(picked), "doc_id").groupBy(spot.alias("at"), "_label").agg(F.min("text").alias("text")).collect()
     found = sorted(found, key=lambda r: (r["at"], r["text"], r["_label"]))
