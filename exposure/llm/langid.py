@@ -5,7 +5,7 @@ smallest result names the language. Ties go to the language with more learning r
 byte is eight bits) is the score. A text is *rejected*, its language still being the best guess, where the runner-up is less than
 ``margin_bytes`` or ``margin_share`` larger.
 
-The fit takes a bounded sample: per language about ``sample_rows`` learning rows in hash order, ``sample_chars`` of each,
+The fit takes a bounded sample: per language about ``sample_rows`` learning rows in hash order, of each a stretch of at most ``sample_chars`` characters at a hashed place,
 up to ``dictionary_bytes``; equal rows are taken once. Languages are a closed set of labels, whose dictionaries together go to every task.
 Prediction reads whole texts and nothing but them.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from exposure.llm.blocks import utf8
+from exposure.llm.blocks import stretch, utf8
 
 LEVEL = 3
 LETTER = re.compile(r"[^\W\d_]")
@@ -50,7 +50,7 @@ def dictionaries(
     spot = F.xxhash64(F.lit("sample"), "doc_id", "text")
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, 2.0**64 * min(1.0, sample_rows / n))])
     picked = rows.where(spot.cast("double") + 2.0**63 < share[F.col("lang")])
-    sample = picked.select("lang", spot.alias("_at"), F.substring("text", 1, sample_chars).alias("text")).dropDuplicates(["_at"]).collect()
+    sample = picked.select("lang", spot.alias("_at"), stretch(F.col("text"), sample_chars).alias("text")).dropDuplicates(["_at"]).collect()
     content: dict[str, bytes] = dict.fromkeys(counts, b"")
     for r in sorted(sample, key=lambda r: (r["_at"], r["text"]), reverse=True):
         content[r["lang"]] = (content[r["lang"]] + b" " + letters(r["text"]))[-dictionary_bytes:]
