@@ -22,7 +22,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from exposure.functions.extract import candidate_hashes
 from exposure.operators.joins import join_by_hash
 from exposure.operators.known import known_candidates, known_hashes_by_id, known_values, replace_all
-from exposure.operators.timeline import with_neighbour
+from exposure.operators.timeline import PIECE_ROWS, cut, with_neighbour
 from exposure.params import Gate, MonitorPolicy
 from exposure.schema import ACTIONS, SCORED
 
@@ -137,13 +137,22 @@ def follow_up_clear(policy: MonitorPolicy) -> int | None:
 EVENT_ORDER = ["ts", "content_hash"]
 
 
-def _bucket(bucket_s: int) -> Column:
-    return F.floor(F.unix_micros("ts") / (bucket_s * 1_000_000))
+def time_line(scored: DataFrame, rows: int = PIECE_ROWS) -> DataFrame:
+    """The scored snapshots, stored once in pieces of about ``rows`` rows, for ``actions_batch`` and ``status``.
+
+    A surface with any share of all snapshots, even in one second, is cut. Snapshots of one surface, time and content are one row."""
+    narrow = scored.select("surface_id", "ts", "content_hash", "secrets").dropDuplicates(["surface_id", *EVENT_ORDER])
+    return cut(narrow, "surface_id", EVENT_ORDER, rows)
+
+
+def _bucket(scored: DataFrame, bucket_s: int) -> Column:
+    """The piece of a stored time line, else the stretch of ``bucket_s`` seconds."""
+    return F.col("_piece") if "_piece" in scored.columns else F.floor(F.unix_micros("ts") / (bucket_s * 1_000_000))
 
 
 def _changes(scored: DataFrame, bucket_s: int) -> DataFrame:
     """The snapshots whose content is not that of the one before."""
-    seen = with_neighbour(scored, "surface_id", EVENT_ORDER, F.col("content_hash"), "_prev", _bucket(bucket_s))
+    seen = with_neighbour(scored, "surface_id", EVENT_ORDER, F.col("content_hash"), "_prev", _bucket(scored, bucket_s))
     return seen.filter(~F.col("content_hash").eqNullSafe(F.col("_prev"))).drop("_prev")
 
 
@@ -155,9 +164,10 @@ def actions_batch(
     A run of equal content is one epoch. An epoch with secrets raises an alert when it begins and
     gets its timed action if its content is still there by then. As in the stream, an action is taken once its time has come:
     the last snapshot of all surfaces is the clock. ``open_ended`` also gives what is due after it.
+    Rows of ``time_line`` are worked on in its pieces, others in stretches of ``bucket_s`` seconds of a surface.
     """
     epochs = with_neighbour(
-        _changes(scored, bucket_s), "surface_id", EVENT_ORDER, F.col("ts"), "_until", _bucket(bucket_s), forward=True
+        _changes(scored, bucket_s), "surface_id", EVENT_ORDER, F.col("ts"), "_until", _bucket(scored, bucket_s), forward=True
     )
 
     def after(seconds: int):
@@ -207,14 +217,16 @@ def status(scored: DataFrame, actions: DataFrame, bucket_s: int = DAY) -> DataFr
     )
 
 
-STATE = "hash string, changed_us long, secrets int, redacted boolean, cleared boolean, ts_us long, source string, redacted_hash string"
+STATE = "hash string, changed_us long, secrets int, redacted boolean, cleared boolean, ts_us long, source string, redacted_hash string, last_us long"
+
+STATE_FIELDS = [f.split()[0] for f in STATE.split(", ")]
 
 
 class SurfaceMonitor(StatefulProcessor):
     """One surface: change detection, alert, timed redact and clear.
 
     The state is (last content hash, change time, secrets, flags, last event time, hash of the
-    snapshot that began the epoch, hash of its redacted text).
+    snapshot that began the epoch, hash of its redacted text, time of the last change that brought a secret).
     """
 
     def __init__(self, redact_s: int, clear_s: int, alerts: bool, clear_after_redact: bool, recopy: bool):
@@ -277,14 +289,14 @@ class SurfaceMonitor(StatefulProcessor):
         s["redacted"] = s["cleared"] = False
         s["redacted_hash"] = r.redacted_hash
         s["changed_us"] = ts_us if s["secrets"] > 0 else None
+        s["last_us"] = s["last_us"] if s["changed_us"] is None else ts_us
         if s["secrets"] > 0 and self.alerts:
             rows.append((key, ts_us, "alert", s["secrets"], r.content_hash, ts_us))
 
     def _load(self) -> dict:
-        names = [f.split()[0] for f in STATE.split(", ")]
         if not self.cell.exists():
-            return dict(zip(names, (None, None, 0, False, False, None, None, None)))
-        return dict(zip(names, self.cell.get()))
+            return dict(zip(STATE_FIELDS, (None, None, 0, False, False, None, None, None, None)))
+        return dict(zip(STATE_FIELDS, self.cell.get()))
 
     def _store(self, s: dict) -> None:
         self.cell.update(tuple(s.values()))
@@ -311,6 +323,14 @@ class SurfaceMonitor(StatefulProcessor):
         self._store(s)
         yield from self._frame(out)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """Goes on from a row of ``state``; its open actions are due at their old times."""
+        whole = {"changed_us", "secrets", "ts_us", "last_us"}
+        row = initialState.astype(object).where(initialState.notna(), None).iloc[0]
+        s = {f: row[f] if row[f] is None else int(row[f]) if f in whole else row[f] for f in STATE_FIELDS}
+        s["redacted"], s["cleared"] = bool(s["redacted"]), bool(s["cleared"])
+        self._store(s)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []
         self._fire(key[0], s, expiredTimerInfo.getExpiryTimeInMs() * 1000, False, out)
@@ -319,13 +339,16 @@ class SurfaceMonitor(StatefulProcessor):
 
 
 def actions(
-    scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), watermark: str = "10 seconds", recopy: bool = True
+    scored: DataFrame, policy: MonitorPolicy = MonitorPolicy(), watermark: str = "10 seconds", recopy: bool = True,
+    initial: DataFrame | None = None,
 ) -> DataFrame:
     """Actions over a stream of scored snapshots (append mode, RocksDB state store).
 
     ``recopy``: the original content showing up again after an action is a new epoch. Switch it
-    off where snapshots may be taken before the action has reached the surface.
+    off where snapshots may be taken before the action has reached the surface. ``initial``: rows of ``state``, one per surface,
+    from which a stream with a new checkpoint goes on.
     """
+    start = initial.select("surface_id", *STATE_FIELDS).groupBy("surface_id") if initial is not None else None
     processor = SurfaceMonitor(
         policy.redact_after_s, policy.clear_after_s, policy.alerts, policy.clear_after_redact, recopy
     )
@@ -333,10 +356,26 @@ def actions(
         scored.select("surface_id", "ts", "content_hash", "secrets", "redacted_hash")
         .withWatermark("ts", watermark)
         .groupBy("surface_id")
-        .transformWithStateInPandas(processor, ACTIONS, outputMode="append", timeMode="EventTime")
+        .transformWithStateInPandas(processor, ACTIONS, outputMode="append", timeMode="EventTime", initialState=start)
     )
 
 
+def state(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """``surface_id`` and the state of every surface, read from the checkpoint of the ``actions`` stream, as of its last batch or of ``batch``.
+
+    The rows come from the state store's own files, a partition a task; the stream need not run."""
+    reader = spark.read.format("statestore").option("stateVarName", "surface")
+    rows = (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+    return rows.select("key.surface_id", *[F.col(f"value.{f}") for f in STATE_FIELDS])
+
+
+def status_of(states: DataFrame) -> DataFrame:
+    """Per surface, of the rows of ``state``: secrets now on it, last change that brought one, and whether it was redacted or cleared since
+    its last change. Other than for ``status``, snapshots of the content acted upon undo nothing where the stream takes them for late copies
+    (``recopy`` off)."""
+    return states.select("surface_id", "secrets", F.timestamp_micros("last_us").alias("last_change"), "redacted", "cleared")
+
+
 def with_content(actions: DataFrame, scored: DataFrame) -> DataFrame:
     """Add ``content_out``: the redacted text of a redact, ``''`` for a clear."""
     texts = scored.filter(F.col("redacted").isNotNull()).select(

@@ -746,7 +746,8 @@ def micros(df):
 
 
 def scored_snapshots(spark, d):
-    return monitor.count_only(T.snapshots(spark, d), registry.hashes(T.document_pairs(spark, d)), T.LOW)
+    """Stored in pieces, so that the changes, the end of each epoch and the clock read one scoring."""
+    return monitor.time_line(monitor.count_only(T.snapshots(spark, d), registry.hashes(T.document_pairs(spark, d)), T.LOW))
 
 
 @query
@@ -780,9 +781,8 @@ def monitor_quiet_status(spark, d):
     return micros(monitor.status(scored, monitor.actions_batch(scored, off)))
 
 
-@query
-def monitor_stream(spark, d):
-    """The same snapshots through the two streaming stages."""
+def watched(spark, d):
+    """The snapshots through the two streaming stages; gives the folder of their outputs."""
     spark.conf.set(
         "spark.sql.streaming.stateStore.providerClass",
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -801,7 +801,19 @@ def monitor_stream(spark, d):
         .start()
         .awaitTermination()
     )
-    return micros(spark.read.schema(monitor.ACTIONS).parquet(f"{base}/actions"))
+    return base
+
+
+@query
+def monitor_stream(spark, d):
+    """The same snapshots through the two streaming stages."""
+    return micros(spark.read.schema(monitor.ACTIONS).parquet(f"{watched(spark, d)}/actions"))
+
+
+@query
+def monitor_state(spark, d):
+    """The status of every surface from the state store of the stream."""
+    return micros(monitor.status_of(monitor.state(spark, f"{watched(spark, d)}/cp2")))
 
 
 @query

@@ -735,6 +735,15 @@ _STATUS = (
 _NOTHING = f"{_SNAPSHOTS}, acts AS (SELECT surface_id, ts, 'redact' AS action FROM ep WHERE false)"
 for _name, _ctes in (("monitor_status", _MONITOR), ("monitor_clear_status", _acts("clear")), ("monitor_quiet_status", _NOTHING)):
     ORACLES[_name] = with_(_ctes + _STATUS[0], _STATUS[1])
+ORACLES["monitor_state"] = with_(
+    f"""{_MONITOR}, le AS (SELECT * FROM ep QUALIFY row_number() OVER (PARTITION BY surface_id ORDER BY ts DESC, content_hash DESC) = 1),
+        al AS (SELECT surface_id, max(ts) AS last_change FROM ep WHERE secrets > 0 GROUP BY surface_id),
+        dn AS (SELECT surface_id, changed_at, content_hash, action FROM acts WHERE action <> 'alert')""",
+    """SELECT le.surface_id, CASE WHEN dn.action IS NULL THEN le.secrets ELSE 0 END AS secrets, last_change,
+              coalesce(dn.action = 'redact', false) AS redacted, coalesce(dn.action = 'clear', false) AS cleared
+       FROM le LEFT JOIN al USING (surface_id)
+       LEFT JOIN dn ON dn.surface_id = le.surface_id AND dn.changed_at = le.ts AND dn.content_hash = le.content_hash""",
+)
 ORACLES["overall_status"] = with_(
     f"""{_MONITOR}, {PATHS},
         hp AS (SELECT sha256(c) AS hash, count(DISTINCT lang || source) AS n FROM doc_c JOIN documents ON doc_id = id GROUP BY 1)""",

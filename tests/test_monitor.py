@@ -175,3 +175,47 @@ def test_no_actions_but_a_status(spark):
     assert acts.collect() == []
     row = monitor.status(scored, acts).select("secrets", F.unix_timestamp("last_change").alias("t"), "redacted").first()
     assert (row.secrets, row.t, row.redacted) == (0, int(day.timestamp()) + 10, False)
+
+
+def test_time_lines_are_cut_by_rows(spark):
+    """A surface with most rows in one second is in many pieces, and the actions are those of the uncut line."""
+    rows = [("hot", T0 + dt.timedelta(microseconds=7 * k), f"h{k // 3 % 40}", k // 3 % 2) for k in range(6000)]
+    rows += [("hot", T0 + dt.timedelta(microseconds=7), "h0", 0)] * 500
+    rows += [(f"s{k % 5}", T0 + dt.timedelta(hours=k), f"h{k % 3}", k % 3) for k in range(300)]
+    scored = spark.createDataFrame(rows, "surface_id string, ts timestamp, content_hash string, secrets int")
+    line = monitor.time_line(scored, rows=200)
+    pieces = {r["_piece"]: r["count"] for r in line.filter("surface_id = 'hot'").groupBy("_piece").count().collect()}
+    assert len(pieces) > 20 and max(pieces.values()) < 1000 and sum(pieces.values()) == 6000
+    ordered = [r["_piece"] for r in line.filter("surface_id = 'hot'").orderBy("ts", "content_hash").collect()]
+    assert ordered == sorted(ordered)
+    policy = MonitorPolicy(redact_after_s=3600)
+    assert listed(monitor.actions_batch(line, policy)) == listed(monitor.actions_batch(scored.distinct(), policy))
+    assert sorted(monitor.status(line, monitor.actions_batch(line, policy)).collect()) == sorted(
+        monitor.status(scored, monitor.actions_batch(scored.distinct(), policy)).collect()
+    )
+    assert monitor.actions_batch(monitor.time_line(scored.limit(0)), policy).count() == 0
+
+
+def test_state_and_restart(spark, registry, tmp_path):
+    """The state store gives the status; a stream that goes on from it with a new checkpoint acts as an unbroken one."""
+    first = [("a", 0, DIRTY), ("a", 40, DIRTY), ("b", 45, DIRTY), ("c", 46, CLEAN)]
+    later = [[("a", 50, OTHER), ("b", 60, DIRTY)], [("z", 10_000, CLEAN)], [("z", 20_000, CLEAN)]]
+    policy = MonitorPolicy()
+    (tmp_path / "whole").mkdir()
+    (tmp_path / "before").mkdir()
+    whole = listed(stream(spark, tmp_path / "whole", registry, [first, *later], policy, recopy=False))
+    before = listed(stream(spark, tmp_path / "before", registry, [first], policy, recopy=False))
+    states = monitor.state(spark, str(tmp_path / "before" / "cp2"))
+    at = {r.surface_id: (r.secrets, r.last_change and (r.last_change - T0).total_seconds(), r.redacted, r.cleared) for r in monitor.status_of(states).collect()}
+    assert at == {"a": (0, 0, True, False), "b": (1, 45, False, False), "c": (0, None, False, False)}
+    states.write.parquet(str(tmp_path / "states"))
+    initial = spark.read.parquet(str(tmp_path / "states"))
+    scored = tmp_path / "after"
+    for i, batch in enumerate(later):
+        monitor.score(table(spark, batch), registry).write.parquet(str(scored / f"batch={i}"))
+        acts = monitor.actions(monitor.scored_stream(spark, str(scored)), policy, "0 seconds", False, initial)
+        acts.writeStream.format("parquet").option("path", str(tmp_path / "rest")).option(
+            "checkpointLocation", str(tmp_path / "cp3")
+        ).trigger(availableNow=True).start().awaitTermination()
+    after = listed(spark.read.schema(monitor.ACTIONS).parquet(str(tmp_path / "rest")))
+    assert sorted(before + after) == whole

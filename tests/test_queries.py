@@ -14,7 +14,7 @@ CHECKED = (
     "candidates_default", "json_candidates", "duplicates", "registry_entries", "rescan_delta", "env_pairs",
     "vault_detect", "ignore_rules", "path_policy", "known_in_pages", "residue_findings", "scrub_redact", "scrub_files",
     "file_gate", "check_hash", "discovery_registry", "discovery_projects", "monitor_status", "monitor_stream",
-    "monitor_clear_status", "findings_sink", "scrubbed_sink", "scrub_preview", "known_measured", "residue_with_rules",
+    "monitor_clear_status", "monitor_state", "findings_sink", "scrubbed_sink", "scrub_preview", "known_measured", "residue_with_rules",
     "residue_incremental", "history_incremental", "registry_set_fingerprint", "rescan_errors", "rescan_from_corpus",
     "residue_summary_stored",
 )
