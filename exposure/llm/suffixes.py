@@ -3,7 +3,7 @@
 Every window of ``LENGTH`` bytes has an anchor: the place of the least hash among its ``GRAM``-byte strings, so equal windows have
 equal anchors at the same place in them. Anchors whose string occurs once in all texts drop out. For the others the bytes
 to the right, and the bytes to the left read backwards, are sorted as suffixes, deep-shallow: by the next words of
-``SHALLOW`` bytes first (a multikey sort), and each group that is still tied by a blind trie, which gives the order and the common
+``SHALLOW`` bytes first (a multikey quicksort), and each group that is still tied by a blind trie, which gives the order and the common
 prefixes. Two windows with anchor at place s are equal when they agree in ``LENGTH - s`` bytes to the right and s to the left; both
 are read off the common prefixes, so the comparison is of bytes, not of hashes.
 
@@ -244,13 +244,38 @@ def blind_trie(strings: list[bytes]) -> tuple[list[int], list[int]]:
     return order, shared
 
 
+def multikey_quicksort(group: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """Order of the rows by group and then by their first ``depth`` words.
+
+    A segment is split about a pivot word into the rows that are less, equal and greater at its word; the equal ones go on with the
+    next word. All segments are split in the same round, so rounds are about as many as the largest segment is deep."""
+    order = np.argsort(group, kind="stable")
+    start = np.flatnonzero(np.diff(group[order], prepend=-1) != 0) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(start, append=len(order))
+    at = np.zeros(len(start), np.int64)
+    while (open_ := (size > 1) & (at < depth)).any():
+        start, size, at = start[open_], size[open_], at[open_]
+        first = np.cumsum(size) - size
+        segment = np.repeat(np.arange(len(size)), size)
+        place = np.arange(size.sum()) + (start - first)[segment]
+        rows = order[place]
+        value = words[rows, at[segment]]
+        pivot = np.sort([value[first], value[first + size // 2], value[first + size - 1]], axis=0)[1][segment]
+        part = 3 * segment + (value >= pivot) + (value > pivot)
+        order[place] = rows[np.argsort(part, kind="stable")]
+        counts = np.bincount(part, minlength=3 * len(size)).reshape(-1, 3)
+        start = (start[:, None] + np.cumsum(counts, axis=1) - counts).ravel()
+        size, at = counts.ravel(), (at[:, None] + np.array([0, 1, 0])).ravel()
+    return order
+
+
 def deep_shallow(group: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows of ``text`` (bytes, all of one width) within each group, and the prefix each shares with the row before
     it: -1 where a group begins."""
     n, width = text.shape
     words = np.ascontiguousarray(text).view(">u8").astype(np.uint64)
     shallow = SHALLOW // 8 * 2
-    order = np.lexsort([words[:, k] for k in range(min(shallow, words.shape[1]) - 1, -1, -1)] + [group])
+    order = multikey_quicksort(group, words, min(shallow, words.shape[1]))
     same_group = np.zeros(n, bool)
     same_group[1:] = group[order[1:]] == group[order[:-1]]
     tied = same_group.copy()

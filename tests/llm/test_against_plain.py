@@ -288,3 +288,17 @@ def test_mixture(spark):
 
     for rate, u, expected in ((2.0, 0.0, 0), (2.0, 0.5, 2), (2.0, 0.99, 6), (900.0, 0.5, 900)):
         assert spark.range(1).select(mixing.poisson_count(F.lit(u), F.lit(rate)).alias("k")).first()["k"] == expected
+
+
+def test_multikey_quicksort():
+    """The order is that of a plain sort by group and words, with many ties, sorted, reversed and empty input."""
+    random = np.random.default_rng(11)
+    for n, kinds, groups in ((0, 1, 1), (1, 1, 1), (500, 3, 4), (5000, 40, 7), (3000, 1 << 62, 1), (2000, 2, 900)):
+        words = random.integers(0, kinds, (n, 3)).astype(np.uint64) << np.uint64(1)
+        group = random.integers(0, groups, n)
+        for w in (words, np.sort(words, axis=0), np.sort(words, axis=0)[::-1]):
+            for depth in (1, 2, 3):
+                order = suffixes.multikey_quicksort(group, w, depth)
+                assert sorted(order.tolist()) == list(range(n))
+                keys = [(int(group[r]), *w[r, :depth].tolist()) for r in order.tolist()]
+                assert keys == sorted(keys)
