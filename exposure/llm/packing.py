@@ -14,7 +14,9 @@ as often as they come. No rows: no sequences.
 
 from __future__ import annotations
 
+import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,6 +30,9 @@ from exposure.llm.scratch import saved
 
 CACHED_WORDS = 1_000_000
 CACHED_LENGTH = 48
+# Fixed value: how the tokenizer's pattern cuts characters below U+0180 in lower case (letters, digits, the rest but white space).
+LATIN_LETTERS = "a-zªµºß-öø-ÿ" + "".join(c for c in map(chr, range(0x100, 0x180)) if c.isalpha())
+LATIN_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LATIN_LETTERS}]+|[0-9²³¹¼½¾]|[^\t\n\x0b\x0c\r \x85\xa0{LATIN_LETTERS}0-9²³¹¼½¾]+")
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -41,8 +46,9 @@ def byte_letters() -> dict[int, str]:
 class WordIds(dict):
     """Ids (little-endian unsigned 32-bit) by white-space separated word.
 
-    The tokenizer drops white space, so a text's ids are those of its words. Plain lower-case words (letters below U+0180,
-    which neither normalisation nor the split into letters changes) go to its model directly, other words through all of it."""
+    The tokenizer drops white space, so a text's ids are those of its words. A word of characters below U+0180, which normalisation only
+    turns to lower case, is cut as the tokenizer's pattern cuts it, and its parts go to the model directly; other words, and those where
+    a special token may stand, go through all of the tokenizer. Short words and parts are remembered."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -60,15 +66,19 @@ class WordIds(dict):
         return ids
 
     def ids(self, word: bytes) -> bytes:
-        if word[-1:] in (b".", b",") and len(word) > 1 and 97 <= word[-2] <= 122:
-            return self[word[:-1]] + self[word[-1:]]
-        text = word.decode("utf-8", "replace")
-        if text.isalpha() and text.islower() and max(text) < "ƀ" and len(text) < 256:
-            plain = text if word.isascii() else "".join(self.letters[b] for b in word)
-            found = [t.id for t in self.model.tokenize(plain)]
-        else:
-            found = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(found, "<u4").tobytes()
+        if len(word) < 256 and b"<" not in word:
+            if word.isalpha() and word.islower():
+                return self.of_model(word.decode())
+            text = word.decode("utf-8", "replace")
+            if max(text) < "ƀ" and "İ" not in text:
+                parts = LATIN_PARTS.findall(text.lower())
+                if len(parts) == 1:
+                    return self.of_model("".join(map(self.letters.__getitem__, parts[0].encode())))
+                return b"".join([self[p.encode()] for p in parts])
+        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
+
+    def of_model(self, letters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
 
 def token_bytes(text: bytes, words: WordIds) -> bytes:
