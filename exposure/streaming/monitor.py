@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from exposure.operators.known import known_candidates, known_hashes_by_id, known
 from exposure.operators.timeline import PIECE_ROWS, cut, with_neighbour
 from exposure.params import Gate, MonitorPolicy
 from exposure.schema import ACTIONS, SCORED
+from exposure.shared import folder
 
 # Fixed value: SHA-256 of nothing, the content left by a clear.
 EMPTY_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
@@ -38,8 +40,9 @@ def _hashed(snapshots: DataFrame) -> DataFrame:
 
 def _contents(hashed: DataFrame) -> DataFrame:
     """Each content once. A surface shows the same content for most of its snapshots, so this is
-    far less text to search; repeats within a task fold before the shuffle."""
-    return hashed.select("content_hash", "content").dropDuplicates(["content_hash"])
+    far less text to search; repeats within a task fold before the shuffle. Hash and content are both keys, as
+    a first content per hash would be found by sorting all texts."""
+    return hashed.select("content_hash", "content").distinct()
 
 
 def _on_snapshots(hashed: DataFrame, per_content: DataFrame) -> DataFrame:
@@ -54,19 +57,26 @@ def score(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate(), placeh
     The redacted text is kept only where there is something to redact.
     """
     hashed = _hashed(snapshots)
-    contents = _contents(hashed)
+    return _with_redacted(_on_snapshots(hashed, _redacted(_contents(hashed), registry, gate, placeholder)))
+
+
+def _redacted(contents: DataFrame, registry: DataFrame, gate: Gate, placeholder: str) -> DataFrame:
+    """``content_hash, secrets, redacted, redacted_hash`` of the contents that hold known secrets."""
     found = known_hashes_by_id(
         contents.select("content_hash", candidate_hashes("content", gate).alias("_hashes")),
         ["content_hash"], "_hashes", registry,
     )
     dirty = contents.join(found, "content_hash")
     values = known_candidates("content", F.col("known_hashes"), gate)
-    redacted = dirty.select(
+    return dirty.select(
         "content_hash",
         F.size("known_hashes").alias("secrets"),
         replace_all(F.col("content"), values, placeholder).alias("redacted"),
     ).withColumn("redacted_hash", F.sha2("redacted", 256))
-    return _on_snapshots(hashed, redacted).select(
+
+
+def _with_redacted(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "surface_id", "ts", "content_hash", F.coalesce("secrets", F.lit(0)).alias("secrets"), "redacted", "redacted_hash"
     )
 
@@ -74,24 +84,88 @@ def score(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate(), placeh
 def count_only(snapshots: DataFrame, registry: DataFrame, gate: Gate = Gate()) -> DataFrame:
     """``surface_id, ts, content_hash, secrets``: the score without redacted text."""
     hashed = _hashed(snapshots)
-    hashes = _contents(hashed).select("content_hash", candidate_hashes("content", gate).alias("_hashes"))
+    return _with_count(_on_snapshots(hashed, _counts(_contents(hashed), registry, gate)))
+
+
+def _counts(contents: DataFrame, registry: DataFrame, gate: Gate) -> DataFrame:
+    """``content_hash, secrets`` of the contents that hold known secrets."""
+    hashes = contents.select("content_hash", candidate_hashes("content", gate).alias("_hashes"))
     rows = hashes.select("content_hash", F.explode_outer("_hashes").alias("hash")).filter(F.col("hash").isNotNull())
-    counts = known_values(rows, registry, ["content_hash"]).groupBy("content_hash").agg(
+    return known_values(rows, registry, ["content_hash"]).groupBy("content_hash").agg(
         F.count(F.lit(1)).cast("int").alias("secrets")
     )
-    return _on_snapshots(hashed, counts).select(
-        "surface_id", "ts", "content_hash", F.coalesce("secrets", F.lit(0)).alias("secrets")
+
+
+def _with_count(rows: DataFrame) -> DataFrame:
+    return rows.select("surface_id", "ts", "content_hash", F.coalesce("secrets", F.lit(0)).alias("secrets"))
+
+
+# --- snapshots that name stored contents ---------------------------------------------------------
+
+
+def scored_contents(contents: DataFrame, registry: DataFrame, gate: Gate = Gate(), store: str | None = None) -> DataFrame:
+    """``content_id, content_hash, secrets`` of ``contents (content_id, content)``, stored. Ids must be unique; equal contents are searched once."""
+    spark = contents.sparkSession
+    hashed = _hashed_contents(contents)
+    counts = _counts(_contents(hashed), registry, gate)
+    scores = hashed.select("content_id", "content_hash").join(counts, "content_hash", "left").select(
+        "content_id", "content_hash", F.coalesce("secrets", F.lit(0)).alias("secrets")
     )
+    path = store or folder(spark, "contents-")
+    scores.write.parquet(path)
+    return spark.read.schema(scores.schema).parquet(path)
+
+
+def _hashed_contents(contents: DataFrame) -> DataFrame:
+    content = F.coalesce("content", F.lit(""))
+    return contents.select("content_id", F.sha2(content, 256).alias("content_hash"), content.alias("content"))
+
+
+def count_named(snapshots: DataFrame, contents: DataFrame, registry: DataFrame, gate: Gate = Gate()) -> DataFrame:
+    """As ``count_only``, for snapshots that name their content: ``surface_id, ts, content_id`` and ``content_id, content``.
+
+    A snapshot of no known content shows nothing. Texts are hashed and searched once each, however many snapshots show them, and never
+    meet the snapshots: only ids, hashes and counts are joined. Contents that no snapshot names are left out before the search."""
+    scores = scored_contents(_named(contents, snapshots), registry, gate)
+    return _with_count(_on_named(snapshots, scores))
+
+
+def _named(contents: DataFrame, snapshots: DataFrame) -> DataFrame:
+    return contents.join(snapshots.select("content_id").distinct(), "content_id", "left_semi")
+
+
+def _on_named(snapshots: DataFrame, scores: DataFrame) -> DataFrame:
+    """Facts per ``content_id`` on the snapshots; a content shown very often is spread."""
+    rows = snapshots.select("surface_id", "ts", F.col("content_id").cast("string").alias("content_id"))
+    named = scores.withColumn("content_id", F.col("content_id").cast("string"))
+    joined = join_by_hash(rows, named, ["surface_id", "ts"], key="content_id")
+    return joined.withColumn("content_hash", F.coalesce("content_hash", F.lit(EMPTY_HASH)))
+
+
+def score_named(
+    snapshots: DataFrame, contents: DataFrame, registry: DataFrame, gate: Gate = Gate(), placeholder: str = "[REDACTED]"
+) -> DataFrame:
+    """As ``score``, for snapshots that name their content (see ``count_named``)."""
+    hashed = _hashed_contents(_named(contents, snapshots))
+    redacted = _redacted(_contents(hashed), registry, gate, placeholder)
+    return _with_redacted(_on_named(snapshots, hashed.select("content_id", "content_hash").join(redacted, "content_hash", "left")))
 
 
 def start_scoring(
     snapshots: DataFrame, registry: DataFrame, out: str, checkpoint: str, gate: Gate = Gate(),
-    placeholder: str = "[REDACTED]", trigger: dict | None = None,
+    placeholder: str = "[REDACTED]", trigger: dict | None = None, contents: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Score a snapshot stream into parquet. A replayed micro-batch overwrites its own folder."""
+    """Score a snapshot stream into parquet. A replayed micro-batch overwrites its own folder.
+
+    ``registry`` is read by every micro-batch and should be a stored table. With ``contents (content_id, content)`` the snapshots name
+    theirs (``score_named``)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        score(batch, registry, gate, placeholder).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        if contents is None:
+            scored = score(batch, registry, gate, placeholder)
+        else:
+            scored = score_named(batch, contents, registry, gate, placeholder)
+        scored.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     return (
         snapshots.writeStream.foreachBatch(write)
@@ -270,57 +344,64 @@ class SurfaceMonitor(StatefulProcessor):
             if action == "clear" or not self.clear_after_redact:
                 return
 
-    def _observe(self, key: str, s: dict, r, rows: list) -> None:
-        ts_us = r.ts.value // 1000 if hasattr(r.ts, "value") else int(r.ts.timestamp() * 1e6)
+    def _observe(self, key: str, s: dict, ts_us: int, content_hash: str, secrets: int, redacted_hash: str | None, rows: list) -> None:
         if s["ts_us"] is not None and ts_us < s["ts_us"]:
-            rows.append((key, ts_us, "late", int(r.secrets), r.content_hash, None))
+            rows.append((key, ts_us, "late", secrets, content_hash, None))
             return
         acted = s["redacted"] or s["cleared"]
-        if r.content_hash != s["hash"]:
+        if content_hash != s["hash"]:
             self._fire(key, s, ts_us, True, rows)
             acted = s["redacted"] or s["cleared"]
         s["ts_us"] = ts_us
-        same = r.content_hash == s["hash"] or (not self.recopy and acted and r.content_hash == s["source"])
+        same = content_hash == s["hash"] or (not self.recopy and acted and content_hash == s["source"])
         if same:
             self._fire(key, s, ts_us, False, rows)
             return
-        s["hash"] = s["source"] = r.content_hash
-        s["secrets"] = int(r.secrets)
+        s["hash"] = s["source"] = content_hash
+        s["secrets"] = secrets
         s["redacted"] = s["cleared"] = False
-        s["redacted_hash"] = r.redacted_hash
+        s["redacted_hash"] = redacted_hash
         s["changed_us"] = ts_us if s["secrets"] > 0 else None
         s["last_us"] = s["last_us"] if s["changed_us"] is None else ts_us
         if s["secrets"] > 0 and self.alerts:
-            rows.append((key, ts_us, "alert", s["secrets"], r.content_hash, ts_us))
+            rows.append((key, ts_us, "alert", s["secrets"], content_hash, ts_us))
 
     def _load(self) -> dict:
-        if not self.cell.exists():
-            return dict(zip(STATE_FIELDS, (None, None, 0, False, False, None, None, None, None)))
-        return dict(zip(STATE_FIELDS, self.cell.get()))
+        held = self.cell.get()
+        return dict(zip(STATE_FIELDS, (None, None, 0, False, False, None, None, None, None) if held is None else held))
+
+    def _timers(self, s: dict) -> list[int]:
+        return [-(-at // 1000) for at, _ in self._due(s)]
 
-    def _store(self, s: dict) -> None:
+    def _store(self, s: dict, before: list[int]) -> None:
+        """Store the state. ``before``: the timers of the state as it was loaded, which are known from it and need not be listed."""
         self.cell.update(tuple(s.values()))
-        for timer in list(self.handle.listTimers()):
+        now = self._timers(s)
+        for timer in set(before) - set(now):
             self.handle.deleteTimer(timer)
-        for at, _ in self._due(s):
-            self.handle.registerTimer(-(-at // 1000))
+        for timer in now:
+            self.handle.registerTimer(timer)
 
     @staticmethod
     def _frame(rows: list) -> Iterator[pd.DataFrame]:
         if rows:
-            df = pd.DataFrame(
-                rows, columns=["surface_id", "ts", "action", "secrets", "content_hash", "changed_at"]
-            )
+            columns = dict(zip(["surface_id", "ts", "action", "secrets", "content_hash", "changed_at"], zip(*rows)))
             for c in ("ts", "changed_at"):
-                df[c] = pd.to_datetime(df[c], unit="us")
-            yield df
+                columns[c] = np.array(["NaT" if t is None else t for t in columns[c]], "datetime64[us]")
+            yield pd.DataFrame(columns)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts", "content_hash"], kind="stable")
+        # Plain lists, as frames are slow for the few rows that most surfaces have.
+        seen = []
+        for batch in rows:
+            times = batch["ts"].to_numpy("datetime64[us]").astype("int64").tolist()
+            seen += zip(times, *(batch[c].tolist() for c in ("content_hash", "secrets", "redacted_hash")))
+        seen.sort(key=lambda r: r[:2])
         s, out = self._load(), []
-        for r in batch.itertuples(index=False):
-            self._observe(key[0], s, r, out)
-        self._store(s)
+        before = self._timers(s)
+        for ts_us, content_hash, secrets, redacted_hash in seen:
+            self._observe(key[0], s, ts_us, content_hash, secrets, redacted_hash, out)
+        self._store(s, before)
         yield from self._frame(out)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
@@ -329,12 +410,13 @@ class SurfaceMonitor(StatefulProcessor):
         row = initialState.astype(object).where(initialState.notna(), None).iloc[0]
         s = {f: row[f] if row[f] is None else int(row[f]) if f in whole else row[f] for f in STATE_FIELDS}
         s["redacted"], s["cleared"] = bool(s["redacted"]), bool(s["cleared"])
-        self._store(s)
+        self._store(s, [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         s, out = self._load(), []
+        before = self._timers(s)
         self._fire(key[0], s, expiredTimerInfo.getExpiryTimeInMs() * 1000, False, out)
-        self._store(s)
+        self._store(s, before)
         yield from self._frame(out)
 
 

@@ -259,6 +259,27 @@ def snapshots(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def named_snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """As ``snapshots``, with the id of the content instead of it: ``surface_id, ts, content_id``."""
+    return table(spark, d, "events").select(
+        F.col("user_id").cast("string").alias("surface_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.floor("value").cast("long").alias("content_id"),
+    )
+
+
+def contents(spark: SparkSession, d: str) -> DataFrame:
+    """What the surfaces of ``named_snapshots`` show: ``content_id, content``."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("content_id"), F.col("text").alias("content"))
+
+
+def stored(df: DataFrame, prefix: str) -> DataFrame:
+    """The rows written once and read back, for a query that needs them several times."""
+    path = folder(df.sparkSession, prefix)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch(spark: SparkSession, prefix: str) -> str:
     """A new folder in the shared checkpoint directory of the session."""
     return folder(spark, prefix)
