@@ -21,10 +21,14 @@ import stat
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from exposure.schema import CORPUS_PARTS
 
+# What a batch of rows holds, about; one part may be larger.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1_000
+
 
 @dataclass
 class Share(InputPartition):
@@ -123,6 +127,26 @@ def _rows(share: Share, opts: ListingOptions):
             yield path, None, None, None, 0, f"{type(e).__name__}: {e.strerror or e}"
 
 
+def _batches(share: Share, opts: ListingOptions) -> Iterator[pa.RecordBatch]:
+    """The rows in Arrow batches that end once they hold ``BATCH_BYTES`` of content or ``BATCH_ROWS`` rows. Rows given one by one are
+    gathered by their number alone, so ten thousand parts would be in memory at once."""
+    rows, held = [], 0
+    for row in _rows(share, opts):
+        rows.append(row)
+        held += len(row[3] or b"")
+        if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.timestamp("us", tz="UTC"), pa.int64(), pa.binary(), pa.int32(), pa.string()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+    return pa.RecordBatch.from_arrays(columns, ["path", "modified", "size", "content", "part_no", "error"])
+
+
 def _parts(path: str, most: int) -> Iterator[bytes]:
     """The content in parts of at most ``most`` bytes, each but the last cut behind a line end where it has one."""
     with open(path, "rb") as f:
@@ -149,7 +173,7 @@ class CorpusReader(DataSourceReader):
         return _shares(self.opts)
 
     def read(self, partition):
-        yield from _rows(partition, self.opts)
+        yield from _batches(partition, self.opts)
 
 
 class CorpusStreamReader(DataSourceStreamReader):
@@ -169,7 +193,7 @@ class CorpusStreamReader(DataSourceStreamReader):
         return _shares(self.opts, start["mtime"], end["mtime"])
 
     def read(self, partition):
-        yield from _rows(partition, self.opts)
+        yield from _batches(partition, self.opts)
 
 
 class CorpusSource(DataSource):
