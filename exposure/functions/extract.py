@@ -90,10 +90,11 @@ def plain_words(runs: str, least: int) -> str:
     return f"flatten(transform({_all(runs, pattern)}, w -> split(w, '[,:;]+')))"
 
 
-def json_pairs(text: str) -> str:
-    """``array<struct<key,value>>`` of every string value of a valid JSON text, else empty.
+def json_pairs(text: str, least: int = 1) -> str:
+    """``array<struct<key,value>>`` of every string value of at least ``least`` bytes of a valid JSON text, else empty.
 
-    Array elements and a bare top-level string have the key ``''``.
+    Array elements and a bare top-level string have the key ``''``. No value has more bytes than lie between the text's first and
+    last quote, as escapes are longer than what they stand for; texts where that is too little are not parsed.
     """
 
     def part(i: int) -> str:
@@ -109,9 +110,10 @@ def json_pairs(text: str) -> str:
         f"named_struct('key', if({keyed}, {unescape(part(1))}, ''), "
         f"'value', if({keyed}, {unescape(part(3))}, {unescape(part(1))}))"
     )
-    pairs = f"filter(transform({_all(text, _JSON_TOKEN)}, tok -> {pair}), p -> octet_length(p.value) > 0)"
+    pairs = f"filter(transform({_all(text, _JSON_TOKEN)}, tok -> {pair}), p -> octet_length(p.value) >= {least})"
     looks = S.raw(r"^[ \t\r\n]*+[{\[\"]")
-    valid = f"(CASE WHEN {text} rlike {looks} THEN {parse_json_sql(text)} END) IS NOT NULL"
+    quoted = f"octet_length(regexp_extract({text}, {S.raw('(?s)".*"')}, 0)) >= {least + 2}"
+    valid = f"(CASE WHEN {text} rlike {looks} AND {quoted} THEN {parse_json_sql(text)} END) IS NOT NULL"
     return f"CASE WHEN {valid} THEN {pairs} ELSE cast(array() AS array<struct<key:string,value:string>>) END"
 
 
@@ -182,7 +184,7 @@ def _from_words_sql(text: str, gate: Gate = Gate()) -> str:
 
 
 def _from_json_sql(text: str, gate: Gate = Gate()) -> str:
-    return _finish(S.let(json_pairs(text), _json_pieces), gate)
+    return _finish(S.let(json_pairs(text, max(1, gate.min_len)), _json_pieces), gate)
 
 
 def _candidates_sql(text: str, gate: Gate = Gate(), structured: bool = True) -> str:
@@ -195,7 +197,7 @@ def _candidates_sql(text: str, gate: Gate = Gate(), structured: bool = True) ->
 
     pieces = S.let(long_runs(text, n), of_runs)
     if structured:
-        pieces = f"concat({pieces}, {S.let(json_pairs(text), _json_pieces)})"
+        pieces = f"concat({pieces}, {S.let(json_pairs(text, max(1, gate.min_len)), _json_pieces)})"
     return f"if({text} IS NULL, {_NONE}, {_finish(pieces, gate)})"
 
 

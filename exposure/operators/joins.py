@@ -12,6 +12,15 @@ SALTS = 8
 HEAVY_KEYS, COUNTERS = 256, 10_000
 # A bitmap of key prefixes has 2^PREFIX_BITS bits, 2 MB, whatever the number of keys.
 PREFIX_BITS, BITMAP_BITS = 24, 1 << 15
+# Tasks for each core where rows are dealt evenly.
+TASKS_A_CORE = 4
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores, ahead of work that takes long for each of them.
+
+    A row group of a file is read by one task, and in narrow tables it holds a million rows. Deal the narrow rows, before texts are made of them."""
+    return rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:

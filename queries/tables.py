@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from exposure.functions.extract import candidate_hashes
 from exposure.functions.names import opaque_id
+from exposure.operators.joins import spread
 from exposure.params import Gate
 from exposure.shared import folder
 
@@ -110,6 +111,11 @@ def project_meta(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    """Customers dealt over all cores, to have texts made of them that take long to read."""
+    return spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
 def customer_json() -> F.Column:
     """A JSON text of customer columns with nested keys, an array and an assignment."""
     code = F.md5("c_name")
