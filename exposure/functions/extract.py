@@ -21,6 +21,7 @@ from exposure.functions.text import (
     UNICODE_SPACE,
     after_equals_sql,
     entropy_sql,
+    has_distinct_sql,
     is_high_value_key_sql,
     is_noise_sql,
     may_pass_sql,
@@ -127,8 +128,12 @@ def _tag(values: str, tag: str) -> str:
 
 
 def _finish(tagged: str, gate: Gate) -> str:
-    """Normalise, cut and gate raw pieces; sorted and distinct. All kinds go through one chain."""
-    cleaned = f"transform(array_distinct({tagged}), t -> concat(left(t, 1), {normalise_sql('substr(t, 2)')}))"
+    """Normalise, cut and gate raw pieces; sorted and distinct. All kinds go through one chain.
+
+    Normalising and cutting never lengthen a piece, so those with too few bytes are dropped first.
+    """
+    long_enough = f"filter({tagged}, t -> octet_length(t) > {gate.min_len})"
+    cleaned = f"transform(array_distinct({long_enough}), t -> concat(left(t, 1), {normalise_sql('substr(t, 2)')}))"
     rest = f"concat(left(t, 1), {normalise_sql(after_equals_sql('t'))})"
     cut = f"transform({cleaned}, t -> if(NOT startswith(t, '{_WHOLE}') AND instr(t, '=') > 0, {rest}, t))"
     named = f"startswith(t, '{_NAMED}')"
@@ -150,7 +155,7 @@ def _json_pieces(pairs: str) -> str:
 def _high_entropy_matches_sql(text: str, min_len: int = 12, min_entropy: float = 4.0) -> str:
     gate = Gate(min_len, min_entropy)
     passes = (
-        f"octet_length(m) >= {min_len} AND size(array_distinct(split(m, ''))) >= {gate.min_distinct} "
+        f"octet_length(m) >= {min_len} AND {has_distinct_sql('m', gate.min_distinct)} "
         f"AND {entropy_sql('m')} >= {min_entropy}D"
     )
     shortest = min(n for _, n in SHAPES)

@@ -20,6 +20,8 @@ ASCII_SPACE = r"\t\n\f\r "
 # The Unicode white space as the characters themselves.
 SPACE_CHARS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 QUOTES = "\"'`"
+# Characters of a string that are looked at first.
+HEAD_CHARS = 256
 
 # Words that mark a short string as a placeholder rather than a secret.
 NOISE_WORDS = (
@@ -88,14 +90,20 @@ def entropy_sql(c: str) -> str:
     """Shannon entropy in bits: character counts over the byte length, rounded to 9 digits.
 
     Each distinct character is counted by removing it from what is left of the string, so the
-    rest shrinks with every step and long strings stay cheap.
+    rest shrinks with every step and long strings stay cheap. Only the head is split into characters,
+    and then what is left after those of the head are removed.
     """
     share = f"(octet_length(acc.rest) - octet_length(rest)) / octet_length(ch) / octet_length({c})"
     bits = f"acc.bits - {S.let(share, lambda p: f'{p} * log2({p})')}"
     step = f"transform(array(replace(acc.rest, ch, '')), rest -> named_struct('rest', rest, 'bits', {bits}))[0]"
-    chars = f"array_remove(array_distinct(split({c}, '')), '')"
+
+    def chars(text: str) -> str:
+        return f"array_remove(array_distinct(split({text}, '')), '')"
+
     start = f"named_struct('rest', {c}, 'bits', cast(0 AS double))"
-    return f"round(aggregate({chars}, {start}, (acc, ch) -> {step}, acc -> acc.bits), 9)"
+    of_head = f"aggregate({chars(f'left({c}, {HEAD_CHARS})')}, {start}, (acc, ch) -> {step})"
+    bits = S.let(of_head, lambda h: f"aggregate({chars(f'{h}.rest')}, {h}, (acc, ch) -> {step}, acc -> acc.bits)")
+    return f"round({bits}, 9)"
 
 
 def is_noise_sql(c: str) -> str:
@@ -105,11 +113,17 @@ def is_noise_sql(c: str) -> str:
     return f"({words} OR {c} rlike {same})"
 
 
+def has_distinct_sql(c: str, least: int) -> str:
+    """At least so many distinct characters; a long string is only split as a whole where its head has fewer."""
+    head = f"size(array_distinct(split(left({c}, {HEAD_CHARS}), ''))) >= {least}"
+    return f"({head} OR char_length({c}) > {HEAD_CHARS} AND size(array_distinct(split({c}, ''))) >= {least})"
+
+
 def may_pass_sql(c: str, gate: Gate) -> str:
     """Cheap conditions every string that passes the entropy gate meets."""
     cheap = f"char_length({c}) >= {gate.min_chars}"
     if gate.min_distinct > 1:
-        cheap += f" AND size(array_distinct(split({c}, ''))) >= {gate.min_distinct}"
+        cheap += f" AND {has_distinct_sql(c, gate.min_distinct)}"
     return f"({cheap})"
 
 

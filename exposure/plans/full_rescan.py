@@ -100,7 +100,8 @@ def report(before: DataFrame, sources: Iterable[Source]) -> DataFrame:
     if bad is None:
         bad = spark.sql("SELECT '' AS source, '' AS error").limit(0)
     counted = bad.groupBy("source", "error").agg(F.count(F.lit(1)).alias("hashes"))
-    states = counted.agg(F.when(F.count(F.lit(1)) > 0, FAILED).otherwise(COMPLETED).alias("state"))
+    # A sum of the counts, not a count of the rows: with the same columns the messages' aggregation is reused.
+    states = counted.agg(F.when(F.sum("hashes") > 0, FAILED).otherwise(COMPLETED).alias("state"))
     facts = F.array(
         row("registry", **{c: F.col(c) for c in ("before", "after", "added", "removed")}),
         *[row("collect", source=F.lit(s.name), hashes=F.col(f"n{i}")) for i, s in enumerate(live)],

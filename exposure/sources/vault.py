@@ -63,5 +63,6 @@ def contributions(exports: DataFrame, source: str = "vault", ignore=()) -> DataF
 
 
 def invalid(exports: DataFrame, items: str = "items") -> DataFrame:
-    """One error row per listing that could not be read."""
-    return exports.filter(parse_items(F.col(items)).isNull()).select(F.lit("vault listing is not valid").alias("error"))
+    """One error row per listing that could not be read. The test is on the output of an outer generator, so that it stays where the rows have been dealt to."""
+    error = F.when(parse_items(F.col(items)).isNull(), F.array(F.lit("vault listing is not valid")))
+    return exports.select(F.explode_outer(error).alias("error")).filter(F.col("error").isNotNull())

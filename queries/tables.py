@@ -152,10 +152,10 @@ def customer_export() -> F.Column:
     return F.concat(F.lit('{"encrypted":'), encrypted, shape, F.lit(',"items":'), items, F.lit("}"))
 
 
-def document_content() -> F.Column:
+def document_content(path: F.Column | None = None) -> F.Column:
     """What the file of a document holds: a vault export for ``.json``, otherwise the text under
     a head line that fits its ending."""
-    path = document_path()
+    path = document_path() if path is None else path
     quoted = F.replace(F.replace("text", F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     code = F.concat(F.md5("source"), F.upper(F.md5("source")))
     return (
@@ -186,6 +186,14 @@ def document_files(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def document_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """As ``document_files`` without sizes. Contents are made of the rows that are left after filters on paths, and texts are not read where paths are all that is asked for."""
+    path = F.inline(F.array(F.struct(document_path().alias("path"))))
+    return table(spark, d, "documents").select("*", path).select(
+        "doc_id", "path", F.timestamp_seconds(F.lit(FIRST_DAY) + F.col("doc_id")).alias("modified"), document_content(F.col("path")).alias("content")
+    )
+
+
 def captures(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select(
         F.col("page_id").alias("capture_id"), (F.col("page_id") % 3 != 0).alias("ok"), F.col("html").alias("output")
