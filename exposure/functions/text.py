@@ -159,6 +159,7 @@ value_side = S.column_function(value_side_sql)
 entropy = S.column_function(entropy_sql)
 is_noise = S.column_function(is_noise_sql)
 is_plausible = S.column_function(is_plausible_sql)
+may_pass = S.column_function(may_pass_sql)
 
 
 def is_high_value_key_sql(key: str) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from exposure.functions.extract import candidate_hashes, high_entropy_hashes, high_entropy_hits
 from exposure.functions.globs import any_of, suspicious_format
 from exposure.functions.names import basename, masked_location, opaque_id
-from exposure.functions.text import entropy, let, parse_json
+from exposure.functions.text import entropy, let, may_pass, parse_json
 from exposure.operators.joins import join_by_hash, keep_where
 from exposure.operators.known import count_known
 from exposure.params import GENERIC_MIN_HITS, Gate
@@ -63,7 +63,7 @@ def json_items(v: Column, path: str = "$") -> Column:
 
 
 def _scored(value: Column) -> Column:
-    passes = (F.octet_length(value) >= 8) & (entropy(value) >= 4.0)
+    passes = (F.octet_length(value) >= 8) & may_pass(value, Gate(8, 4.0)) & (entropy(value) >= 4.0)
     return F.when(passes, 1).otherwise(0)
 
 

@@ -17,7 +17,7 @@ from queries.catalog import QUERIES, full_rescan_sources
 SF = "/root/testdata/sf0.01"
 
 
-@pytest.mark.parametrize("name", ["json_candidates", "vault_items"])
+@pytest.mark.parametrize("name", ["json_candidates", "vault_items", "vault_detect"])
 def test_one_row_group_is_read_by_many_tasks(spark, name):
     df = QUERIES[name](spark, SF)
     n = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
